@@ -19,7 +19,9 @@ MIN_WORDS = 10
 
 def _line(raw: Column) -> Column:
     """Words of the line, joined by single spaces."""
-    odd = raw.rlike("[\\t\\r\\x0B\\f]|  |^ | $")
+    odd = raw.startswith(" ") | raw.endswith(" ")
+    for c in ("\t", "\r", "\x0b", "\f", "  "):
+        odd = odd | raw.contains(c)
     return F.when(odd, F.btrim(F.regexp_replace(raw, "[ \\t\\r\\x0B\\f]+", " "))).otherwise(raw)
 
 
@@ -30,11 +32,12 @@ def _order(doc: str = "doc_id", line: str = "line_no", key: str = "tkey") -> Col
 def lines(text: DataFrame) -> DataFrame:
     """doc_id, tkey, line_no, line of every line with a word. text: doc_id, tkey, text."""
     split = text.select("doc_id", "tkey", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return split.select("doc_id", "tkey", "line_no", _line(F.col("raw")).alias("line")).filter("line <> ''")
+    worded = split.filter(F.btrim("raw", F.lit(" \t\r\x0b\f")) != "")
+    return worded.select("doc_id", "tkey", "line_no", _line(F.col("raw")).alias("line"))
 
 
 def _keys(min_words: int) -> Column:
-    """Hashes of a line's halves: two lines that are alike, with min_words or more words, share one."""
+    """Hashes of a line's halves, first and last in turn: two lines that are alike, with min_words or more words, share one."""
     half = lambda side, k: f"xxhash64('{side}', substring_index(line, ' ', {'-' if side == 's' else ''}({k})))"
     both = lambda k: f"{half('p', k)}, {half('s', k)}"
     return F.expr(f"CASE WHEN words < {min_words} THEN cast(array() AS array<bigint>) WHEN words % 2 = 1 THEN array({both('words DIV 2')}) ELSE array({both('words DIV 2')}, {both('words DIV 2 - 1')}) END")
@@ -55,22 +58,25 @@ def duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     not that one stays. Lines without words never go.
     """
     text = keyed(docs)
-    hashes = lines(text).withColumn("words", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    hashes = lines(text).withColumn("words", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     every = cut(hashes.select("doc_id", "tkey", "line_no", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), _keys(min_words).alias("keys")), "lines")
-    halves = every.select(F.explode("keys").alias("key"), "h", "g")
+    halves = every.select(F.posexplode("keys").alias("half", "key"), "h", "g")
     met = cut(halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key"), "halves")
-    near = halves.join(met, "key", "left_semi").select("h", "g").distinct().withColumn("near", F.lit(True))
+    near = halves.join(met, "key", "left_semi").groupBy("h", "g").agg(F.max(F.col("half") % 2 == 0).alias("same_first"), F.max(F.col("half") % 2 == 1).alias("same_last"))
     firsts = every.groupBy("h", "g").agg(F.min(_order()).alias("first"), F.count("*").alias("times"))
-    kinds = cut(firsts.join(near, ["h", "g"], "left").filter("near OR times > 1"), "kinds")
+    kinds = cut(firsts.join(near, ["h", "g"], "left").filter("same_first IS NOT NULL OR times > 1"), "kinds")
 
     # Words of one line of each kind that may have a partner.
-    asked = kinds.filter("near").groupBy("first.doc_id", "first.tkey").agg(F.collect_list(F.col("first.line_no")).alias("wanted"))
+    asked = kinds.filter("same_first IS NOT NULL").groupBy("first.doc_id", "first.tkey").agg(F.map_from_entries(F.collect_list(F.struct(F.col("first.line_no"), F.struct("same_first", "same_last")))).alias("wanted"))
     wanted = text.join(asked.withColumnRenamed("doc_id", "d").withColumnRenamed("tkey", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t"))).dropDuplicates(["doc_id", "tkey"])
-    shown = wanted.select("doc_id", "tkey", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).filter(F.array_contains("wanted", F.col("line_no")))
-    words = cut(shown.select(_order().alias("o"), _line(F.col("raw")).alias("line")).select("o", "line", F.split("line", " ").alias("words")), "words")
-
-    # role 0 is met by lines with another word at the same place, 1 (the line itself) by 2 (the line without a word).
-    lacking = words.select("o", "words", F.explode(F.expr("sequence(0, size(words) - 1)")).alias("at")).select("o", "at", F.expr("concat_ws(' ', slice(words, 1, at), slice(words, at + 2, size(words)))").alias("rest"))
+    shown = wanted.select("doc_id", "tkey", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).withColumn("same", F.element_at("wanted", F.col("line_no"))).filter("same IS NOT NULL")
+    words = cut(shown.select(_order().alias("o"), "same.*", _line(F.col("raw")).alias("line")).select("o", "same_first", "same_last", "line", F.split("line", " ").alias("words")), "words")
+
+    # role 0 is met by lines with another word at the same place, 1 (the line itself) by 2 (the line without a word). Where lines
+    # meet in a half, they differ in the other.
+    n = F.size("words")
+    at = F.sequence(F.when(F.col("same_last"), 0).otherwise(F.expr("size(words) DIV 2 - 1")), F.when(F.col("same_first"), n - 1).otherwise(n - F.expr("size(words) DIV 2")))
+    lacking = words.select("o", "line", n.alias("n"), F.explode(at).alias("at")).select("o", "at", F.expr("CASE at WHEN 0 THEN substring_index(line, ' ', 1 - n) WHEN n - 1 THEN substring_index(line, ' ', n - 1) ELSE concat(substring_index(line, ' ', at), ' ', substring_index(line, ' ', at + 1 - n)) END").alias("rest"))
     variants = lacking.select("o", F.explode(F.array(
         F.struct(F.lit(0).alias("role"), F.xxhash64("rest", "at").alias("a"), F.hash("at", "rest").alias("b")),
         F.struct(F.lit(2).alias("role"), F.xxhash64("rest").alias("a"), F.hash("rest").alias("b")),
