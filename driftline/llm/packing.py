@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, row_count_partitions, slices, utf8
-from .tokens import WordEncoder
+from .tokens import WordEncoder, encoder
 
 #: Lengths are rounded up to this many classes for the fit; exact lengths are used in what follows it.
 CLASSES = 256
@@ -34,11 +34,11 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -
     """doc_id, piece, start, length, ids_crc32 of every piece of every document. A null or empty text is the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        encode, end = encoder(WordEncoder, tokenizer).encode, np.asarray([end_id], "<u4").tobytes()
         for batch in (s for b in batches for s in slices(b)):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch), strict=True):
-                ids = encoder.encode(text) + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(utf8(batch)), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, slices, utf8
-from .tokens import ByteEncoder
+from .tokens import ByteEncoder, encoder
 
 #: Row groups a reader can skip or split by, and pages small enough that the column indexes single out a few documents.
 LAYOUT = {
@@ -35,9 +35,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = ByteEncoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        encode, end = encoder(ByteEncoder, tokenizer).encode, np.asarray([end_id], "<u4").tobytes()
         for b in (s for batch in batches for s in slices(batch)):
-            made = [encoder.encode(t) + end for t in utf8(b)]
+            made = [ids + end for ids in encode(utf8(b))]
             sizes = np.array([len(x) // 4 for x in made], np.int32)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), "<i4")))

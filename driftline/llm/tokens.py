@@ -4,60 +4,126 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from functools import lru_cache
 
 import numpy as np
 
 from .common import MEMO_WORDS
 
+#: Chunks that the tokenizer gets in one text.
+JOINED = 64
+
 
 class Encoder(dict):
     """Maps a chunk of text to its ids as little-endian unsigned 32-bit integers, memoised.
 
     A text is cut only where the tokenizer itself would cut it, whatever stands on either side, so the ids of the chunks in a
-    row are the ids of the text; the chunks repeat, so most of them are looked up.
+    row are the ids of the text; the chunks repeat, so most of them are looked up, and the others of a batch go to the
+    tokenizer together.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 3 * MEMO_WORDS):
         super().__init__()
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.of = Tokenizer.from_file(path)
-
-    def ids(self, text: str) -> bytes:
-        return np.asarray(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= MEMO_WORDS:
+        self.of, self.most = Tokenizer.from_file(path), most
+        self.bounds = np.zeros(self.of.get_vocab_size(), bool)
+        self.bounds[[i for token, i in self.of.get_vocab().items() if self.bound(token)]] = True
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.of.encode_batch_fast(texts, add_special_tokens=False)]
+
+    #: Whether ids that bound chunks are left out of them.
+    SEPARATED = False
+
+    def bound(self, token: str) -> bool:
+        raise NotImplementedError
+
+    def joined(self, chunks: list[bytes]) -> str:
+        """Chunks as one text in which their ids can be told apart: every chunk begins with an id of `bounds`, or one stands between them."""
+        raise NotImplementedError
+
+    def learn(self, new: set[bytes]) -> None:
+        """Puts chunks that the memo lacks into it."""
+        new = list(new)
+        groups = [new[at : at + JOINED] for at in range(0, len(new), JOINED)]
+        for group, e in zip(groups, self.of.encode_batch_fast([self.joined(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = array("I", e.ids)
+            at = np.flatnonzero(self.bounds[np.frombuffer(ids, np.uint32)])
+            starts, ends = (np.append(0, at + 1), np.append(at, len(ids))) if self.SEPARATED else (at, np.append(at[1:], len(ids)))
+            if len(starts) != len(group):  # an odd chunk bounds others; each is encoded by itself
+                self.update(zip(group, self.ids([self.joined([c]) for c in group]), strict=True))
+                continue
+            body = ids.tobytes()
+            self.update(zip(group, [body[4 * x : 4 * y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+
+
+    def looked_up(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The ids of texts that are cut into chunks."""
+        if len(self) > self.most:
             self.clear()
-        self[chunk] = ids = self.ids(chunk.decode())
-        return ids
+        found = [list(map(self.get, chunks)) for chunks in texts]
+        lacking = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        self.learn({chunks[i] for chunks, at in zip(texts, lacking, strict=True) for i in at})
+        for chunks, ids, at in zip(texts, found, lacking, strict=True):
+            for i in at:
+                ids[i] = self[chunks[i]]
+        return list(map(b"".join, found))
 
 
 class WordEncoder(Encoder):
-    """For a tokenizer that drops white space: every run of bytes between ASCII white space is a chunk."""
+    """For a tokenizer that drops white space and case: every run of bytes between ASCII white space is a chunk.
+
+    Where one mark follows a letter and white space follows it, the mark is a chunk of its own, as the tokenizer has it. Texts
+    with what may be a special token, whose case matters, are encoded whole.
+    """
+
+    MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=\s|\Z)")
+
+    #: A control character, which is an id of its own where it stands alone; texts that hold it are encoded whole.
+    SEPARATED = True
 
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+    def bound(self, token: str) -> bool:
+        return token == chr(256 + 2) + "</w>"
+
+    def joined(self, chunks: list[bytes]) -> str:
+        return b" \x02 ".join(chunks).decode()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        odd = [b"<|" in t or b"\x02" in t for t in texts]
+        found = self.looked_up([[] if o else self.MARK.sub(rb" \1", t.lower()).split() for t, o in zip(texts, odd, strict=True)])
+        return [self.ids([t.decode()])[0] if o else ids for t, o, ids in zip(texts, odd, found, strict=True)]
 
 
 class ByteEncoder(Encoder):
     """For a byte-level tokenizer whose chunks are a space with what follows up to the next space.
 
-    A space before something other than white space always starts a chunk. Texts with other spaces, or with what may be a
-    special token, are encoded whole.
+    A space before something other than white space always starts a chunk; the memo holds chunks without that space. Texts with
+    other spaces, or with what may be a special token, are encoded whole.
     """
 
     ODD = re.compile(rb" (?:[\s\x1c-\x1f\x80-\xff]|\Z)")
+    SPACES = re.compile(r" (?:\s|\Z)")
+
+    def bound(self, token: str) -> bool:
+        return token.startswith("\u0120")
 
-    def encode(self, text: bytes) -> bytes:
+    def joined(self, chunks: list[bytes]) -> str:
+        return b" ".join([b"", *chunks]).decode()
+
+    def whole(self, text: bytes) -> bool:
         # A byte over 0x7f may begin white space beyond ASCII, so only such spaces that a letter of two bytes follows go on.
-        if b"<|" in text or (odd := self.ODD.search(text)) and not self.plain(text, odd):
-            return self.ids(text.decode())
-        first, *rest = text.split(b" ")
-        return self[first] + b"".join(map(self.__getitem__, [b" " + x for x in rest])) if first or rest else b""
+        return b"<|" in text or bool(self.ODD.search(text)) and bool(self.SPACES.search(text.decode()))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        parts = [[t] if self.whole(t) else t.split(b" ") for t in texts]
+        heads = self.ids([p.pop(0).decode() for p in parts])
+        return list(map(bytes.__add__, heads, self.looked_up(parts)))
 
-    SPACES = re.compile(r" (?:\s|\Z)")
 
-    def plain(self, text: bytes, odd: re.Match) -> bool:
-        return not self.SPACES.search(text.decode())
+@lru_cache(maxsize=2)
+def encoder(kind: type[Encoder], path: str) -> Encoder:
+    """One for each Python worker, which keeps its memo from task to task."""
+    return kind(path)
