@@ -3,10 +3,10 @@
 Small (light) sets meet on enumerated subsets of fixed size: where at most one element may be missing, a set of n elements is
 listed under itself and under its n subsets of n - 1. Large (heavy) sets meet in inverted lists. A list for each single n-gram
 would be as long as its commonest n-gram is frequent, so the lists are kept for blocks: sets that differ in at most H elements
-agree wholly in one of H + 1 blocks of elements. Blocks without elements are not listed; where there are so few blocks that all
-others could differ, a set with such a block is also listed under its blocks' subsets that lack one element. (With more than
-FEW blocks, differences that hit every single one have a chance below 1e-12 and are left out.) The size that divides light from heavy is the one of least cost over the
-histogram of sizes.
+agree wholly in one of H + 1 blocks of elements. Blocks of few elements would agree by chance, so each of them is listed together
+with the block after it, and with that block's subsets that lack one element. That loses no pair: if all blocks in which two
+sets agree are followed by blocks that differ in two elements or more, the sets differ in more than H. The size that divides
+light from heavy is the one of least cost over the histogram of sizes.
 
 Lists are scanned, not paired: each member is first held against the list's least member; then, only where a list still spans
 several components, members of different components are held against each other. Copies have one node, so they are never
@@ -29,8 +29,8 @@ from .graph import components
 SIMILARITY = 90
 #: What an entry of an inverted list costs against an enumerated subset: heavy keys hold fewer elements, so more sets share one by chance.
 SCAN_COST = 3.0
-#: Up to so many blocks, differences in all of them are reckoned with.
-FEW = 40
+#: Blocks of so many elements at most are listed together with the next block.
+FEW = 3
 #: Nodes that a task remembers in order to list copies once.
 SEEN = 500_000
 
@@ -89,13 +89,17 @@ class Lists:
             with np.errstate(over="ignore"):
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(each[order], dtype=np.uint64)])
                 ends = np.searchsorted(block[order], np.arange(blocks + 1))
-                body, full = sums[ends[1:]] - sums[ends[:-1]], ends[1:] > ends[:-1]
+                body, few = sums[ends[1:]] - sums[ends[:-1]], np.diff(ends) <= FEW
                 salt = np.arange(blocks, dtype=np.uint64) * np.uint64(BASE) + np.uint64(group + 1 << 40)
-                out.append(mix(mix(body[full]) + salt[full]))
-                if blocks <= FEW and not full.all():
-                    salt = salt ^ np.uint64(0xC3C3 << 32)
-                    out.append(mix(mix(body[full]) + salt[full]))
-                    out.append(mix(mix(body[block] - each) + salt[block]))
+                if blocks == 1:
+                    few[:] = False
+                out.append(mix(mix(body[~few]) + salt[~few]))
+                if few.any():
+                    both, after = mix(mix(body) + (salt ^ np.uint64(0xC3C3 << 32))), np.roll(body, -1)
+                    out.append(mix(both[few] ^ mix(after[few])))
+                    before = (block - 1) % blocks
+                    lacks = few[before]
+                    out.append(mix(both[before[lacks]] ^ mix(body[block[lacks]] - each[lacks])))
         return np.concatenate(out)
 
     def light(self, s: np.ndarray) -> np.ndarray:
