@@ -2,7 +2,7 @@
 
 A document is the set of its n-grams: of words, of word endings and of word shapes. Each is an indicator, scaled by the
 log-ratio of how common it is among good and among bad documents, and a linear hinge-loss model over the scaled indicators is
-fitted by dual coordinate descent. Counts for the ratios come from all training rows; the fit takes a bounded sample.
+fitted by dual coordinate descent. Both take bounded samples of the labelled rows, so no text is shuffled.
 """
 
 from __future__ import annotations
@@ -19,12 +19,19 @@ from .common import MEMO_WORDS, cut, grams, slices, utf8
 
 #: Indicators share this many places by hash.
 BITS = 18
-#: Rows that the hinge-loss model is fitted on at most: those with the least hashes of doc_id, half of each class where there are as many.
+#: Labelled documents that the counts are taken from, about: beyond so many, an even share of them by hash of doc_id.
+LABELLED_ROWS = 200_000
+#: Of those, rows that the hinge-loss model is fitted on, about: half of each class where there are as many.
 FIT_ROWS = 12_000
 EPOCHS, COST, SMOOTHING = 6, 0.1, 1.0
 FOLDS = 3
 
 
+def share(doc_id: str, salt: int, part: float) -> Column:
+    """Whether a document is in the part, from 0 to 1, of all documents that its hash puts there."""
+    return F.pmod(F.xxhash64(F.col(doc_id), F.lit(salt)), F.lit(1 << 30)) < F.lit(int(min(1.0, part) * (1 << 30)))
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
 
@@ -63,17 +70,17 @@ def indicators(text: bytes, memo: Features) -> np.ndarray:
 def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, weight: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
     """The weights and bias that minimise |w|^2 / 2 + the weighted hinge losses, over rows scaled by the ratios to unit length."""
     w, bias, n = np.zeros(len(ratio)), 0.0, len(rows)
-    xs = [ratio[r] for r in rows]
-    xs = [x / max(np.linalg.norm(x), 1e-9) for x in xs]
+    scale = np.array([1 / max(np.linalg.norm(ratio[r]), 1e-9) for r in rows])
     alpha, top, order = np.zeros(n), cost * n / 100 * weight, np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(n):
             y = labels[i]
-            g = y * (w[rows[i]] @ xs[i] + bias) - 1
+            x = ratio[rows[i]] * scale[i]
+            g = y * (w[rows[i]] @ x + bias) - 1
             new = min(max(alpha[i] - g / 2.0, 0.0), top[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y
-                w[rows[i]] += step * xs[i]
+                w[rows[i]] += step * x
                 bias += step
                 alpha[i] = new
     return w, bias
@@ -137,13 +144,11 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     rates = p / (totals[:, None] + 2 * SMOOTHING)
     ratio = np.log(rates[1] / rates[0])
     taken = [min(int(totals[k]), max(fit_rows // 2, fit_rows - int(totals[1 - k]))) for k in (0, 1)]
-    picked = None
-    for k in (0, 1):
-        own = rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(taken[k])
-        picked = own if picked is None else picked.unionByName(own)
-    got = sets(picked).orderBy(F.xxhash64("doc_id"), "label").toArrow()  # fit_rows rows at most
-    places = [np.asarray(x) for x in got.column("places").to_pylist()]
-    y = np.where(np.asarray(got.column("label").to_pylist()) == 1, 1.0, -1.0)
+    part = F.when(F.col("label") == 0, share("doc_id", 1, taken[0] / int(totals[0]))).otherwise(share("doc_id", 1, taken[1] / int(totals[1])))
+    got = sets(rows.filter(part)).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()  # about fit_rows rows
+    lists = got.column("places").combine_chunks()
+    places = np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[1:-1])
+    y = np.where(got.column("label").to_numpy() == 1, 1.0, -1.0)
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     w, bias = dual_descent(places, y, ratio, weight)
     model = Model(ratio, w, bias)
@@ -173,8 +178,12 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, label of the labelled documents outside the held-out fold. The texts of these rows alone are shuffled."""
+    """doc_id, text, label of about LABELLED_ROWS labelled documents at most, outside the held-out fold.
+
+    Their labels are sent to the tasks, and the documents stay where they are.
+    """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(fold() != 1).groupBy("doc_id").agg(F.max("label").alias("label"))
+    marks = F.broadcast(marks.filter(share("doc_id", 0, LABELLED_ROWS / max(1, marks.count()))))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(fold() != 1).join(marks, "doc_id")
 
 
