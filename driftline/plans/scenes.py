@@ -60,11 +60,11 @@ _PX = "FROM boxes JOIN frames USING (image_id)"
 _LAT, _LON = "lat_top + ((y + h / 2) / height_px) * (lat_bottom - lat_top)", "lon_left + ((x + w / 2) / width_px) * (lon_right - lon_left)"
 
 
-@query(with_("boxes", "frames") + f"SELECT image_id, idx, {rs(_LAT, 10)} AS lat, {rs(_LON, 10)} AS lon {_PX}")
+@query(with_("boxes", "frames") + f"SELECT image_id, idx, {_LAT} AS lat, {_LON} AS lon {_PX}")
 def geo_px2ll(spark: SparkSession, sf: str) -> DataFrame:
     rows = boxes(spark, sf).join(frames(spark, sf), "image_id")
     lat, lon = geo.pixel_to_latlon(F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2)
-    return rows.select("image_id", "idx", r(lat, 10).alias("lat"), r(lon, 10).alias("lon"))
+    return rows.select("image_id", "idx", lat.alias("lat"), lon.alias("lon"))
 
 
 @query(with_("boxes", "frames") + f"SELECT image_id, idx, {rs('x + w / 2', 4)} AS u, {rs('y + h / 2', 4)} AS v {_PX}")
