@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import messages, scenes, tracks  # noqa: F401
+from . import displays, messages, scenes, tracks  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
