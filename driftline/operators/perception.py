@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,39 +12,38 @@ from driftline.config import DEFAULT, Config
 CLASSES = ("car", "van", "truck", "bus")
 
 
-def iou(a: Column, b: Column) -> Column:
-    """Of structs with x, y, w, h; 0 where the union is nothing."""
-    zero = F.lit(0.0)
-    across = F.greatest(zero, F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"]))
-    down = F.greatest(zero, F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"]))
-    both = across * down
-    union = a["w"] * a["h"] + b["w"] * b["h"] - both
-    return F.when(union > 0, both / union).otherwise(0.0)
+def greedy(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, threshold: float) -> np.ndarray:
+    """For each box, in order of precedence, the place of the keeper that it falls to, -1 if it stays. Boxes without area overlap nothing."""
+    area, right, low = w * h, x + w, y + h
+    fell = np.full(len(x), -1)
+    for k in range(len(x)):
+        if fell[k] >= 0:
+            continue
+        rest = slice(k + 1, None)
+        both = np.maximum(0, np.minimum(right[k], right[rest]) - np.maximum(x[k], x[rest])) * np.maximum(0, np.minimum(low[k], low[rest]) - np.maximum(y[k], y[rest]))
+        union = area[k] + area[rest] - both
+        share = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+        later = fell[rest]
+        later[(share >= threshold) & (later < 0)] = k
+    return fell
 
 
 def suppress(boxes: DataFrame, threshold: float = DEFAULT.detection.nms_iou, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Boxes with suppressed_by (null for those that stay), greedily by score, then by index.
 
-    by: ("image_id",) or, to keep classes apart, ("image_id", "cls"). One frame's boxes are folded in one row; a camera frame
-    bounds their number. The fold carries the keepers and what each of the others fell to.
+    by: ("image_id",) or, to keep classes apart, ("image_id", "cls"). A group is one camera frame's boxes, which bounds its
+    size; within it every keeper meets the boxes after it as arrays.
     """
-    box = F.struct((-F.col("score")).alias("order"), "idx", "x", "y", "w", "h")
-    grouped = boxes.groupBy(*by).agg(F.sort_array(F.collect_list(box)).alias("boxes"))
-    kind = "array<struct<order:double,idx:bigint,x:double,y:double,w:double,h:double>>"
-    start = F.struct(F.array().cast(kind).alias("kept"), F.array().cast("array<struct<idx:bigint,by:bigint>>").alias("gone"))
-
-    def step(state: Column, b: Column) -> Column:
-        over = F.filter(state["kept"], lambda k: iou(k, b) >= threshold)
-        free = F.size(over) == 0
-        return F.struct(
-            F.when(free, F.concat(state["kept"], F.array(b))).otherwise(state["kept"]).alias("kept"),
-            F.when(free, state["gone"]).otherwise(F.concat(state["gone"], F.array(F.struct(b["idx"].alias("idx"), F.get(over, F.lit(0))["idx"].alias("by"))))).alias("gone"),
-        )
-
-    typed = grouped.withColumn("boxes", F.col("boxes").cast(kind))
-    done = typed.select(*by, F.aggregate("boxes", start, step).alias("s"))
-    stay = F.transform("s.kept", lambda k: F.struct(k["idx"].alias("idx"), F.lit(None).cast("bigint").alias("by")))
-    return done.select(*by, F.explode(F.concat(stay, "s.gone")).alias("x")).select(*by, F.col("x.idx").alias("idx"), F.col("x.by").alias("suppressed_by"))
+    schema = ", ".join(f"{c} {boxes.schema[c].dataType.simpleString()}" for c in by) + ", idx long, suppressed_by long"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "idx"], ascending=[False, True], ignore_index=True)
+        fell = greedy(*(pdf[c].to_numpy(float) for c in "xywh"), threshold)
+        keeper = pd.array(pdf["idx"].to_numpy()[fell], "Int64")
+        keeper[fell < 0] = pd.NA
+        return pdf[[*by, "idx"]].assign(suppressed_by=keeper)
+
+    return boxes.select(*by, F.col("idx").cast("long").alias("idx"), "score", "x", "y", "w", "h").groupBy(*by).applyInPandas(run, schema)
 
 
 def detections(boxes: DataFrame, frames: DataFrame, cfg: Config = DEFAULT, per_class: bool = False) -> DataFrame:
