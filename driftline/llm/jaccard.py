@@ -9,8 +9,8 @@ sets agree are followed by blocks that differ in two elements or more, the sets
 light from heavy is the one of least cost over the histogram of sizes.
 
 Lists are scanned, not paired: each member is first held against the list's least member; then, only where a list still spans
-several components, members of different components are held against each other. Copies have one node, so they are never
-expanded. All links between different sets are found; those inside a component may be left unchecked, as they join nothing.
+several components, members of different components are held against each other where their sizes and short sketches do not
+rule a link out. Copies have one node, so they are never expanded. All links between different sets are found; those inside a component may be left unchecked, as they join nothing.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SIMILARITY = 90
 SCAN_COST = 3.0
 #: Blocks of so many elements at most are listed together with the next block.
 FEW = 3
+#: Bits of a short sketch, which lists carry, as 64-bit numbers.
+SHORT = ("bits_0", "bits_1", "bits_2", "bits_3")
 #: Nodes that a task remembers in order to list copies once.
 SEEN = 500_000
 
@@ -130,15 +132,16 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
 
 
 def sets(text: DataFrame, n: int) -> DataFrame:
-    """doc_id, tkey, node, size, sketch of every document."""
+    """doc_id, tkey, node, size, sketch and short sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
         for b in (s for batch in batches for s in slices(batch)):
             made = [shingles(memo, t, n) for t in utf8(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array([node_of(s) for s in made], pa.int64()), pa.array([len(s) for s in made], pa.int64()), pa.array([sketch_of(s) for s in made], pa.binary())], ["doc_id", "tkey", "node", "size", "sketch"])
+            short = np.array([np.frombuffer(parities(s, 64 * len(SHORT)), np.int64) for s in made]).reshape(-1, len(SHORT))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array([node_of(s) for s in made], pa.int64()), pa.array([len(s) for s in made], pa.int64()), pa.array([sketch_of(s) for s in made], pa.binary()), *map(pa.array, short.T.copy())], ["doc_id", "tkey", "node", "size", "sketch", *SHORT])
 
-    return text.mapInArrow(run, "doc_id long, tkey long, node long, size long, sketch binary")
+    return text.mapInArrow(run, "doc_id long, tkey long, node long, size long, sketch binary, " + ", ".join(f"{c} long" for c in SHORT))
 
 
 def listed(text: DataFrame, n: int, lists: Lists) -> DataFrame:
@@ -164,14 +167,18 @@ def listed(text: DataFrame, n: int, lists: Lists) -> DataFrame:
     return text.select("text").mapInArrow(run, "key long, node long")
 
 
-def sketch_of(s: np.ndarray) -> bytes:
-    """Bits, about one for each element, that each element with their place flips: the bits in which two sketches differ are
-    at most as many as the elements in which the sets do."""
-    bits = max(64, 1 << max(len(s) - 1, 1).bit_length())
+def parities(s: np.ndarray, bits: int) -> bytes:
+    """Bits that each element with their place flips: the bits in which two such sketches differ are at most as many as the
+    elements in which the sets do."""
     out = np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(out.astype(np.uint8)).tobytes()
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """About one bit for each element."""
+    return parities(s, max(64, 1 << max(len(s) - 1, 1).bit_length()))
+
+
 def differ(a: bytes, b: bytes) -> int:
     """At least in how many elements the sets of two sketches differ."""
     x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
@@ -192,7 +199,7 @@ def possible(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (u, v), those whose sets link. texts: node, text."""
+    """Of pairs (u, v), those whose sets link. texts: node, text; only those of the pairs are sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, last, held = WordHash(), None, np.empty(0, np.uint64)
@@ -206,6 +213,8 @@ def linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
                 keep.append(100 * both >= percent * (len(held) + len(other) - both))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = texts.join(ends, "node", "left_semi")
     a = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
     z = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
     return pairs.join(z, "v").join(a, "u").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
@@ -219,24 +228,25 @@ def classes(docs: DataFrame, n: int = 3, percent: int = SIMILARITY) -> DataFrame
     """
     text = keyed(docs)
     every = cut(sets(text, n), "sets")
-    nodes = cut(every.filter("size > 0").groupBy("node", "size").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.xxhash64("doc_id", "tkey"), "doc_id", "tkey")).alias("of"), F.min("sketch").alias("sketch")), "nodes")
+    nodes = cut(every.filter("size > 0").groupBy("node", "size").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.xxhash64("doc_id", "tkey"), "doc_id", "tkey")).alias("of"), *(F.min(c).alias(c) for c in ("sketch", *SHORT))), "nodes")
     histogram = {r["size"]: r["n"] for r in nodes.filter(F.col("size") <= 2 * light_limit(percent) + 1).groupBy("size").agg(F.count("*").alias("n")).collect()}
     members = Window.partitionBy("key")
     found = listed(text, n, Lists(percent, boundary(histogram, percent)))
     scanned = cut(found.withColumn("least", F.min("node").over(members)).withColumn("most", F.max("node").over(members)).filter("least <> most").select("key", "node", "least").distinct(), "lists")
-    asked = cut(scanned.select("node").distinct().join(nodes, "node").select("node", "size", "sketch", "of.doc_id", "of.tkey"), "asked")
+    asked = cut(scanned.select("node").distinct().join(nodes, "node").select("node", "size", "sketch", *SHORT, "of.doc_id", "of.tkey"), "asked")
     wanted = asked.select("node", F.col("doc_id").alias("d"), "tkey")
     texts = cut(text.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (text["tkey"] == wanted["tkey"])).select("node", "text").dropDuplicates(["node"]), "texts")
     first = scanned.filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    links = cut(linked(possible(first, asked, percent), texts, n, percent), "links")
+    links = cut(linked(cut(possible(first, asked, percent), "pairs"), texts, n, percent), "links")
     joined = cut(components(links), "components")
     labelled = scanned.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     several = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    open_ = cut(labelled.join(several, "key"), "open")
-    one = open_.select("key", F.col("node").alias("u"), F.col("component").alias("cu"))
-    two = open_.select("key", F.col("node").alias("v"), F.col("component").alias("cv"))
-    rest = one.join(two, "key").filter("u < v AND cu <> cv").select("u", "v").distinct()
-    more = cut(linked(possible(rest, asked, percent), texts, n, percent), "links")
+    open_ = cut(labelled.join(several, "key").join(asked.select("node", "size", *SHORT), "node"), "open")
+    one, two = (open_.select("key", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("size").alias(f"size_{c}"), *(F.col(b).alias(f"{b}_{c}") for b in SHORT)) for c in "uv")
+    apart = " + ".join(f"bit_count({b}_u ^ {b}_v)" for b in SHORT)
+    near = f"100 * least(size_u, size_v) >= {percent} * greatest(size_u, size_v) AND {100 + percent} * ({apart}) <= {100 - percent} * (size_u + size_v)"
+    rest = one.join(two, "key").filter(f"u < v AND cu <> cv AND {near}").select("u", "v").distinct()
+    more = cut(linked(cut(possible(rest, asked, percent), "pairs"), texts, n, percent), "links")
     if not more.isEmpty():
         joined = cut(components(links.unionByName(more)), "components")
     named = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

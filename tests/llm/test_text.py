@@ -136,6 +136,15 @@ def test_aliases_of_blocked_urls(spark):
     assert got == {1: ("block", "com/en/"), 2: ("block", None), 3: ("block", None), 4: ("allow", None), 5: ("allow", None), 6: ("allow", None), 7: ("allow", "example.com/en/7"), 8: ("allow", None), 9: ("block", "com/en/")}
 
 
+def test_short_sketches_rule_out_no_link():
+    rng = np.random.default_rng(5)
+    for size in (1, 20, 300, 4000):
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        b = np.union1d(a[size // 10 :], rng.integers(0, 1 << 63, size // 15).astype(np.uint64))
+        x, y = (np.frombuffer(jaccard.parities(s, 256), np.uint8) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_no_link_is_lost():
     """Sets that link meet under a key, whatever the boundary between light and heavy."""
     rng = np.random.default_rng(1)
