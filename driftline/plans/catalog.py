@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import displays, messages, scenes, sources, tracks  # noqa: F401
+from . import displays, messages, scenes, shapes, sources, tracks  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
