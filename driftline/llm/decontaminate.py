@@ -1,8 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-The test items are the query set: they are held against all documents, in blocks of bounded size. Of each item's n-grams the
-rarer half in the training text are seeds, whatever their counts, so that no item is without; the others are seeds only if few
-documents have them. Where a document has seeds of an item on about one diagonal, the passage around is aligned with the item.
+The test items are the query set: they are held against all documents, in blocks of bounded size. All n-grams of an item are
+seeds, however many documents have them: those that an edited leak keeps may be the commonest of its item, as each copy of the
+leak counts. Where a document has seeds of an item on about one diagonal, the passage around is aligned with the item, unless
+it holds too few of the item's words for any alignment to be a leak.
 """
 
 from __future__ import annotations
@@ -14,19 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import cut, slices, utf8
 
-#: Words in a seed; a seed beyond an item's rarer half occurs in at most this share of documents.
-SEED, RARE = 3, 1e-4
+#: Words in a seed.
+SEED = 3
 #: Scores of an alignment, and the least score of a leak as a share of the item aligned with itself.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.6
-#: Seeds a passage must share with the item, as a share of the item's seeds (one at least).
-SEEDED = 0.1
 #: Items shorter than this are too little to tell by.
 MIN_WORDS = 8
 #: Bytes of item text that are sent to the tasks at a time; more items take more passes.
 BLOCK_BYTES = 16 << 20
+#: Hits of a text that are held at a time; where it has more, its items are taken in parts.
+MOST_HITS = 1 << 21
 
 STRIP = b".,;:!?\"'()[]{}"
 FOUND = "doc_id long, item_id long, score double, first_word long, last_word long, item_words int"
@@ -62,7 +63,8 @@ class Items:
         self.code = np.concatenate(codes) if codes else np.empty(0, np.int64)
         order = np.argsort(self.code, kind="stable")
         self.item, self.place, self.code = self.item[order], self.place[order], self.code[order]
-        self.seed = np.ones(len(self.code), bool)
+        self.bags = [np.unique(w, return_counts=True) for _, w in self.words]
+        self.slack = np.array([max(3, len(w) // 4) for _, w in self.words], np.int64)
 
     def codes(self, words: np.ndarray) -> np.ndarray:
         """A number for each n-gram of known words, -1 for others."""
@@ -76,25 +78,33 @@ class Items:
         out[~known] = -1
         return out
 
-    def rarer(self, counts: dict[int, int], docs: int) -> None:
-        """Leaves each item the rarer half of its n-grams, and those that few documents have."""
-        many = np.array([counts.get(int(c), 0) for c in self.code], np.int64)
-        self.seed = many <= RARE * docs
-        for i in range(len(self.words)):
-            at = np.flatnonzero(self.item == i)
-            order = at[np.argsort(many[at], kind="stable")]
-            self.seed[order[: -(-len(order) // 2)]] = True
-        self.item, self.place, self.code = self.item[self.seed], self.place[self.seed], self.code[self.seed]
-        self.seeds = np.bincount(self.item, minlength=len(self.words))
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the text, and rows of this table, that have one n-gram."""
+    def hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in the text, and rows of this table, that have one n-gram; all of an item at once."""
         code = self.codes(words)
         at = np.flatnonzero(code >= 0)
-        lo, hi = np.searchsorted(self.code, code[at], "left"), np.searchsorted(self.code, code[at], "right")
-        times = hi - lo
-        where = np.repeat(at, times)
-        return where, np.repeat(lo, times) + np.arange(len(where)) - np.repeat(np.cumsum(times) - times, times)
+        parts = [(0, len(self.words))]
+        while parts:
+            first, end = parts.pop()
+            rows = np.arange(len(self.code)) if end - first == len(self.words) else np.flatnonzero((self.item >= first) & (self.item < end))
+            own = self.code if len(rows) == len(self.code) else self.code[rows]
+            lo, hi = np.searchsorted(own, code[at], "left"), np.searchsorted(own, code[at], "right")
+            times = hi - lo
+            if times.sum() > MOST_HITS and end - first > 1:
+                parts += [(first, (first + end) // 2), ((first + end) // 2, end)]
+                continue
+            where = np.repeat(at, times)
+            if len(where):
+                yield where, rows[np.repeat(lo, times) + np.arange(len(where)) - np.repeat(np.cumsum(times) - times, times)]
+
+    def enough(self, i: int, passage: np.ndarray) -> bool:
+        """Whether a passage has as many of an item's words as a leak needs: each can match once, and nothing else scores."""
+        least = LEAST * len(self.words[i][1])
+        if len(passage) < least:
+            return False
+        kinds, times = self.bags[i]
+        at = np.minimum(np.searchsorted(kinds, passage), len(kinds) - 1)
+        held = np.bincount(at[kinds[at] == passage], minlength=len(kinds))
+        return int(np.minimum(held, times).sum()) >= least
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -125,32 +135,47 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 def passages(doc_words: np.ndarray, items: Items) -> list[tuple[int, float, int, int, int]]:
     """(item, score, first word, last word, words of the item) of each leak in a text."""
-    where, row = items.hits(doc_words)
-    found = []
-    if not len(where):
-        return found
-    item, diagonal = items.item[row], where - items.place[row]
-    order = np.lexsort((diagonal, item))
-    where, item, diagonal = where[order], item[order], diagonal[order]
-    for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(item)) + 1):
-        number, words = items.words[item[part[0]]]
-        slack = max(3, len(words) // 4)
-        # Seeds whose diagonals are close together speak for one passage.
-        for near in np.split(part, np.flatnonzero(np.diff(diagonal[part]) > slack) + 1):
-            if len(np.unique(where[near])) < max(1, int(SEEDED * items.seeds[item[part[0]]])):
-                continue
-            lo = max(0, int(diagonal[near].min()) - slack)
-            hi = min(len(doc_words), int(diagonal[near].max()) + len(words) + slack)
-            score, a, z = align(words, doc_words[lo:hi])
-            share = score / (MATCH * len(words))
-            if share >= LEAST:
-                found.append((number, share, lo + a, lo + z, len(words)))
-    best: dict[tuple[int, int], tuple] = {}
-    for x in found:  # one passage may be seeded from several diagonals
-        key = (x[0], x[3])
-        if key not in best or x[1] > best[key][1]:
-            best[key] = x
-    return list(best.values())
+    out = []
+    for where, row in items.hits(doc_words):
+        item, diagonal = items.item[row], where - items.place[row]
+        order = np.lexsort((diagonal, item))
+        item, diagonal = item[order], diagonal[order]
+        # Seeds whose diagonals are close together speak for one passage, or for several in a row.
+        ends = np.append(np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > items.slack[item[1:]])), len(item) - 1)
+        starts = np.append(0, ends[:-1] + 1)
+        found: dict[int, list[tuple]] = {}
+        for i, least, most in zip(item[starts].tolist(), diagonal[starts].tolist(), diagonal[ends].tolist(), strict=True):
+            number, words = items.words[i]
+            slack = int(items.slack[i])
+            spans = [(max(0, least - slack), min(len(doc_words), most + len(words) + slack))]
+            while spans:
+                lo, hi = spans.pop()
+                if not items.enough(i, doc_words[lo:hi]):
+                    continue
+                score, a, z = align(words, doc_words[lo:hi])
+                share = score / (MATCH * len(words))
+                if share >= LEAST:
+                    found.setdefault(i, []).append((number, share, lo + a, lo + z, len(words)))
+                    spans += [(lo, lo + a), (lo + z + 1, hi)]
+        for same in found.values():  # one passage may be seeded from several diagonals, which may cut it at an end
+            kept: list[tuple] = []
+            for x in sorted(same, key=lambda x: (-x[1], x[2], x[3])):
+                if all(x[3] < y[2] or x[2] > y[3] for y in kept):
+                    kept.append(x)
+            out += kept
+    return out
+
+
+def blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, so many bytes of their texts at a time."""
+    block, size = [], 0
+    for item, own in benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator():
+        if size > most:
+            yield block
+            block, size = [], 0
+        block.append((item, own))
+        size += len(own or "")
+    yield block
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -162,38 +187,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     """
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, blocks, size = benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator(), [[]], 0
-    for item, own in rows:  # the query set, of which one block is held at a time in a task
-        if size > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, own))
-        size += len(own or "")
     out = None
-    for block in blocks:
+    for block in blocks(benchmark, block_bytes):  # the query set, of which one block is held at a time
         items = Items(block)
-        shared = spark.sparkContext.broadcast(items)
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items, docs = shared.value, 0
-            memo, codes = Words(items.known), np.unique(items.code)
-            counts = np.zeros(len(codes) + 1, np.int64)
-            for b in (s for batch in batches for s in slices(batch)):
-                for t in utf8(b):
-                    words = t.split()
-                    c = items.codes(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)))
-                    c = np.unique(c[c >= 0])
-                    at = np.minimum(np.searchsorted(codes, c), max(len(codes) - 1, 0))
-                    counts[at[codes[at] == c] if len(codes) else []] += 1
-                    docs += 1
-            counts[-1] = docs
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, -1)[some]), pa.array(counts[some])], ["code", "n"])
-
         if not items.words:
             continue
-        counted = {r["code"]: r["n"] for r in text.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()}  # a row for each n-gram of the block at most
-        items.rarer(counted, counted.get(-1, 0))
         ready = spark.sparkContext.broadcast(items)
 
         def find(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
@@ -208,6 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
-        part = text.mapInArrow(find, FOUND)
+        part = cut(text.mapInArrow(find, FOUND), "leaks")
+        ready.destroy()
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], FOUND) if out is None else out

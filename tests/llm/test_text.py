@@ -129,6 +129,39 @@ def test_leaks(spark):
     assert got.keys() == {(1, 9), (2, 9)} and got[1, 9] == 1 and got[2, 9] > 0.8
 
 
+@pytest.mark.parametrize("every", [5, 4])
+@pytest.mark.parametrize("copies", [1, 400])
+def test_edited_leaks_however_many(spark, every, copies):
+    """Every fifth or fourth word replaced, alone or in many copies beside one that is whole: what the edits leave is then commonest."""
+    item = [f"word{i}" for i in range(40)]
+    edited = " ".join("other" if i % every == every - 1 else w for i, w in enumerate(item))
+    rows = [(i, f"a{i} b {edited} c") for i in range(copies)] + [(1000, " ".join(["x", *item, "y"])), (1001, "nothing of the kind " * 30)]
+    tests = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    for docs in (rows, rows[:copies]):
+        got = {r.doc_id for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), tests).collect()}
+        assert got == {r[0] for r in docs} - {1001}
+
+
+def test_leaks_by_brute_force(monkeypatch):
+    """Every passage that the alignment of whole texts finds and that shares a seed, once; whether hits are taken in parts or not."""
+    rng = np.random.default_rng(3)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 60, n))) for k, n in enumerate((8, 12, 25, 40, 40, 60))]
+    made = decontaminate.Items(items)
+    for most in (decontaminate.MOST_HITS, 4):
+        monkeypatch.setattr(decontaminate, "MOST_HITS", most)
+        for share in (0, 0.1, 0.2, 0.25, 0.3):
+            for k, text in items:
+                words = [x if rng.random() >= share else "gone" for x in text.split()]
+                doc = " ".join([f"w{x}" for x in rng.integers(0, 60, 50)] + words + [f"w{x}" for x in rng.integers(0, 60, 50)] + words).split()
+                numbers = np.array([made.known.get(w.encode(), -1) for w in doc], np.int64)
+                got = [x for x in decontaminate.passages(numbers, made) if x[0] == k]
+                own = dict(made.words)[k]
+                score = decontaminate.align(own, numbers)[0] / (2 * len(own))
+                seeded = bool({tuple(words[i : i + 3]) for i in range(len(words) - 2)} & {tuple(text.split()[i : i + 3]) for i in range(len(own) - 2)})
+                if score >= decontaminate.LEAST and seeded:
+                    assert len(got) == 2 and max(x[1] for x in got) == score
+
+
 def test_aliases_of_blocked_urls(spark):
     link = '<link rel="canonical" href="{}">'
     rows = [(1, "http://a.com/en/1", ""), (2, "http://b.net/x", link.format("http://a.com/en/1")), (3, "http://c.net/y", '<meta http-equiv="refresh" content="0; url=http://b.net/x">'), (4, "http://d.net/z", ""), (5, None, None), (6, "no url", link.format("http://a.com/en/1")), (7, "http://example.com/en/7", link.format("http://e.net/q")), (8, "http://e.net/q", link.format("http://a.com/en/2")), (9, "http://a.com/en/2", "")]
