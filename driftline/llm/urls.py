@@ -27,6 +27,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
+def query_of(url: Column) -> Column:
+    """What follows the path's '?', without the fragment; empty if there is none."""
+    return F.regexp_extract(url, "^[^?#]*[?]([^#]*)", 1)
+
+
 def rule_number(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """The place of the longest rule that fits, else null. Of equally long ones the first wins. Rules are a parameter, a few of them."""
     out = None
@@ -42,38 +47,40 @@ def _named(number: Column, names: Sequence[str]) -> Column:
 
 
 def edges(pages: DataFrame, html: str = "html") -> DataFrame:
-    """u, v: host and path of a page and of what it redirects to or names as canonical. Relative links are resolved."""
+    """u, v: host, path and query of a page and of what it redirects to or names as canonical. Relative links are resolved."""
     tag = F.array_distinct(F.concat(
         F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0)),
         F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0)),
     ))
-    some = pages.filter(F.col(html).rlike(r"(?i)canonical|http-equiv")).select("host", "path", F.explode(tag).alias("tag"))
+    some = pages.filter(F.col(html).rlike(r"(?i)canonical|http-equiv")).select("host", "path", "query", F.explode(tag).alias("tag"))
     link = F.trim(F.coalesce(F.nullif(F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)))
+    link = F.regexp_replace(link, "(?i)&(?:amp|#0*38|#x0*26);", "&")
     host, path = host_and_path(F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), "link")).otherwise(F.col("link")))
-    own = F.when(F.col("link").startswith("/"), F.regexp_extract("link", "^[^?#]*", 0)).otherwise(F.concat(F.regexp_extract("path", "^(.*/)?", 0), F.regexp_extract("link", "^[^?#]*", 0)))
+    own = F.when(F.col("link").startswith("/"), F.regexp_extract("link", "^[^?#]*", 0)).when(F.col("link").rlike("^[?#]"), F.col("path")).otherwise(F.concat(F.regexp_extract("path", "^(.*/)?", 0), F.regexp_extract("link", "^[^?#]*", 0)))
+    query = F.when(F.col("link").startswith("#"), F.col("query")).otherwise(query_of(F.col("link")))
     absolute = F.col("link").rlike("^([A-Za-z][A-Za-z0-9+.-]*:)?//")
-    to = some.withColumn("link", link).filter("link <> ''").select("host", "path", F.when(absolute, host).otherwise(F.col("host")).alias("to_host"), F.when(absolute, path).otherwise(own).alias("to_path"))
-    return to.select(F.struct("host", "path").alias("u"), F.struct(F.col("to_host").alias("host"), F.col("to_path").alias("path")).alias("v")).distinct()
+    to = some.withColumn("link", link).filter("link <> ''").select("host", "path", "query", F.when(absolute, host).otherwise(F.col("host")).alias("to_host"), F.when(absolute, path).otherwise(own).alias("to_path"), query.alias("to_query"))
+    return to.select(F.struct("host", "path", "query").alias("u"), F.struct(F.col("to_host").alias("host"), F.col("to_path").alias("path"), F.col("to_query").alias("query")).alias("v")).distinct()
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", id_column: str = "page_id") -> DataFrame:
     """page id, host, path, rule, verdict of every page.
 
-    A page's own rule always holds. Others are blocked if their component has a blocked url and no allowed one; what is in no
+    Rules look at host and path; aliases are urls with their query, without the fragment. A page's own rule always holds. Others are blocked if their component has a blocked url and no allowed one; what is in no
     component, or in one that no rule reaches, gets the default. Null and malformed urls have an empty host and path and fit no
     rule; pages of one url are judged alike; an empty table gives no rows; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
-    own = pages.select(F.col(id_column), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
+    own = pages.select(F.col(id_column), host.alias("host"), path.alias("path"), F.when(host == "", "").otherwise(query_of(F.col("url"))).alias("query"), F.col("html").cast("string").alias("html"))
     found = cut(edges(own.filter("host <> ''")), "aliases")
     names, verdicts = [h + p for _, h, p in rules], [v for v, _, _ in rules]
-    numbered = own.select(id_column, "host", "path", rule_number(F.col("host"), F.col("path"), rules).alias("number"))
+    numbered = own.select(id_column, "host", "path", "query", rule_number(F.col("host"), F.col("path"), rules).alias("number"))
     if found.isEmpty():
         judged = numbered.withColumn("alias", F.lit(None).cast("string"))
     else:
-        group = components(found).select("node.host", "node.path", "component").withColumn("ruled", _named(rule_number(F.col("host"), F.col("path"), rules), verdicts))
+        group = components(found).select("node.host", "node.path", "node.query", "component").withColumn("ruled", _named(rule_number(F.col("host"), F.col("path"), rules), verdicts))
         allowed, blocked = F.max(F.col("ruled") == "allow"), F.max(F.col("ruled") == "block")
         held = group.groupBy("component").agg(F.when(allowed, "allow").when(blocked, "block").alias("alias"))
-        aliases = cut(group.join(held, "component").filter("alias IS NOT NULL").select("host", "path", "alias"), "held")
-        judged = numbered.join(aliases, ["host", "path"], "left")
+        aliases = cut(group.join(held, "component").filter("alias IS NOT NULL").select("host", "path", "query", "alias"), "held")
+        judged = numbered.join(aliases, ["host", "path", "query"], "left")
     return judged.select(id_column, "host", "path", _named(F.col("number"), names).alias("rule"), F.coalesce(_named(F.col("number"), verdicts), "alias", F.lit(default)).alias("verdict"))

@@ -169,6 +169,17 @@ def test_aliases_of_blocked_urls(spark):
     assert got == {1: ("block", "com/en/"), 2: ("block", None), 3: ("block", None), 4: ("allow", None), 5: ("allow", None), 6: ("allow", None), 7: ("allow", "example.com/en/7"), 8: ("allow", None), 9: ("block", "com/en/")}
 
 
+def test_pages_of_one_path_are_told_apart_by_query(spark):
+    link, blocked = '<link rel="canonical" href="{}">', "http://a.com/en/1"
+    rows = [
+        (1, "http://b.net/i?id=1", link.format(blocked)), (2, "http://b.net/i?id=2", ""), (3, "http://b.net/i", ""), (4, "http://b.net/i?id=1#top", ""),
+        (5, "http://c.net/d/i?a=5&b=1", link.format("?a=6&amp;b=1")), (6, "http://c.net/d/i?a=6&b=1", link.format(blocked)), (7, "http://c.net/d/i?a=7&b=1", link.format("#part")), (8, "http://c.net/d/", ""),
+        (9, "http://e.net/i?id=1", link.format("http://example.com/en/7?x=1")), (10, "http://e.net/i?id=2", link.format(blocked)),
+    ]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.RULES).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {1, 4, 5, 6, 10} and len(got) == 10
+
+
 def test_short_sketches_rule_out_no_link():
     rng = np.random.default_rng(5)
     for size in (1, 20, 300, 4000):
