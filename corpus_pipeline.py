@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import decontaminate, jaccard, lines, packing, quality
-from driftline.llm.common import cut
+from driftline.llm.common import cut, text_key
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +28,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark, edited or not."""
-    leaks = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = cut(leaks.select(F.col("doc_id").alias("_leaked")).distinct(), "leaks")
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+    leaks = decontaminate.keyed_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = cut(leaks.select(F.col("doc_id").alias("_leaked"), F.col("tkey").alias("_text")).distinct(), "leaks")
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_leaked")) & (text_key() == F.col("_text")), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, utf8
+from .common import cut, keyed, slices, utf8
 
 #: Words in a seed.
 SEED = 3
@@ -30,7 +30,7 @@ BLOCK_BYTES = 16 << 20
 MOST_HITS = 1 << 21
 
 STRIP = b".,;:!?\"'()[]{}"
-FOUND = "doc_id long, item_id long, score double, first_word long, last_word long, item_words int"
+FOUND = "doc_id long, tkey long, item_id long, score double, first_word long, last_word long, item_words int"
 
 
 class Words(dict):
@@ -185,8 +185,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     are not looked for; repeated documents are each reported; items that repeat are reported by each id; an empty table on
     either side gives no rows; other columns are ignored.
     """
+    return keyed_leaks(docs, benchmark, block_bytes).drop("tkey")
+
+
+def keyed_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The leaks, and in tkey which text of a doc_id holds them."""
     spark = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = keyed(docs)
     out = None
     for block in blocks(benchmark, block_bytes):  # the query set, of which one block is held at a time
         items = Items(block)
@@ -197,12 +202,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
         def find(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
             items = ready.value
             memo = Words(items.known)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
             for b in (s for batch in batches for s in slices(batch)):
                 got = []
-                for doc, t in zip(b.column("doc_id").to_pylist(), utf8(b), strict=True):
+                for doc, key, t in zip(b.column("doc_id").to_pylist(), b.column("tkey").to_pylist(), utf8(b), strict=True):
                     words = t.split()
-                    got += [(doc, *x) for x in passages(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), items)]
+                    got += [(doc, key, *x) for x in passages(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), items)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 

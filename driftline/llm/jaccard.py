@@ -226,6 +226,11 @@ def classes(docs: DataFrame, n: int = 3, percent: int = SIMILARITY) -> DataFrame
     Null and empty texts have no set and are linked with nothing: their component is their own id. Rows with equal sets are one
     node, however many; a null id is never the least of a component with others; an empty table gives no rows.
     """
+    return labelled(docs, n, percent).drop("component")
+
+
+def labelled(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The classes, and in component a number for each component, which is null for texts without a set."""
     text = keyed(docs)
     every = cut(sets(text, n), "sets")
     nodes = cut(every.filter("size > 0").groupBy("node", "size").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.xxhash64("doc_id", "tkey"), "doc_id", "tkey")).alias("of"), *(F.min(c).alias(c) for c in ("sketch", *SHORT))), "nodes")
@@ -239,9 +244,9 @@ def classes(docs: DataFrame, n: int = 3, percent: int = SIMILARITY) -> DataFrame
     first = scanned.filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
     links = cut(linked(cut(possible(first, asked, percent), "pairs"), texts, n, percent), "links")
     joined = cut(components(links), "components")
-    labelled = scanned.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    several = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    open_ = cut(labelled.join(several, "key").join(asked.select("node", "size", *SHORT), "node"), "open")
+    marked = scanned.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    several = marked.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+    open_ = cut(marked.join(several, "key").join(asked.select("node", "size", *SHORT), "node"), "open")
     one, two = (open_.select("key", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("size").alias(f"size_{c}"), *(F.col(b).alias(f"{b}_{c}") for b in SHORT)) for c in "uv")
     apart = " + ".join(f"bit_count({b}_u ^ {b}_v)" for b in SHORT)
     near = f"100 * least(size_u, size_v) >= {percent} * greatest(size_u, size_v) AND {100 + percent} * ({apart}) <= {100 - percent} * (size_u + size_v)"
@@ -251,15 +256,16 @@ def classes(docs: DataFrame, n: int = 3, percent: int = SIMILARITY) -> DataFrame
         joined = cut(components(links.unionByName(more)), "components")
     named = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = cut(named.select("node", "size", "component").join(least, "component").select("node", "size", "component_id"), "named")
-    return every.join(named, ["node", "size"], "left").select("doc_id", "tkey", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = cut(named.select("node", "size", "component").join(least, "component").select("node", "size", "component", "component_id"), "named")
+    return every.join(named, ["node", "size"], "left").select("doc_id", "tkey", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows, with all their columns, of documents that are the least of their component. Of rows of one id with different
-    texts the one of the least text hash stays; rows equal in both are one document and stay or go together."""
-    kept = cut(classes(docs, n, percent), "classes")
-    first = kept.filter("n_shingles > 0 AND doc_id <=> component_id").groupBy("doc_id").agg(F.min("tkey").alias("tkey"))
+    """The rows, with all their columns, of documents that are the least of their component. Of a component's rows of the least
+    id with different texts the one of the least text hash stays; rows equal in both are one document and stay or go together.
+    Rows of different components never replace each other, also where they share an id or have none."""
+    kept = cut(labelled(docs, n, percent), "classes")
+    first = kept.filter("n_shingles > 0 AND doc_id <=> component_id").groupBy("component", "doc_id").agg(F.min("tkey").alias("tkey")).drop("component")
     found = kept.filter("n_shingles = 0").select("doc_id", "tkey").distinct().unionByName(first).select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"))
     of = (F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_t"))
     return docs.join(cut(found, "kept"), of, "left_semi")

@@ -228,6 +228,20 @@ def test_odd_rows_of_the_others(spark):
     assert {r.doc_id: r.text for r in lines.dedup(docs).collect()}[9] == "a line of ten words that is long enough to count\n"
 
 
+def test_unlinked_documents_of_one_id_or_none_stay(spark, tmp_path):
+    import corpus_pipeline as pipe
+
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(None, a), (None, b), (1, c), (1, d), (2, f"{a} end"), (None, f"{b} end"), (3, d), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(tuple(r) for r in jaccard.representatives(docs).collect())
+    near = {(None, b), (None, f"{b} end")} & kept.keys()
+    assert len(near) == 1 and kept == Counter([*near, (2, f"{a} end"), (1, c), (1, d), (None, ""), (None, None)])
+    spark.createDataFrame([(7, a), (8, c)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = Counter(tuple(r) for r in pipe.drop_leaks(spark, docs, str(tmp_path)).collect())
+    assert left == Counter(rows) - Counter([(None, a), (2, f"{a} end"), (1, c)])
+
+
 def test_repeats_by_hash(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = spark.createDataFrame([(1, f"a b {passage} c"), (2, f"{passage} d e"), (3, "short")], "doc_id long, text string")
