@@ -48,13 +48,15 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items are detector boxes of their supplier's frame, on a coarse raster so that many overlap."""
+def boxes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Line items are detector boxes of their supplier's frame, on a coarse raster so that many overlap. As the comparison's SQL
+    does, those under a score of 0.3 are left out, unless the whole table is asked for."""
     from pyspark.sql import Window
 
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
     c = F.col
-    rows = table(spark, sf_dir, "lineitem").filter("l_discount >= 0.03e0")
+    rows = table(spark, sf_dir, "lineitem")
+    rows = rows if whole else rows.filter("l_discount >= 0.03e0")
     return rows.select(
         c("l_suppkey").alias("image_id"), (F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)) - 1).alias("idx"),
         F.element_at(F.array(*map(F.lit, ("car", "van", "truck", "bus"))), (c("l_linenumber") % 4 + 1).cast("int")).alias("cls"), (c("l_discount") * 10).alias("score"),

@@ -149,7 +149,7 @@ def det_georef(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def det_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    return per.funnel(per.detections(boxes(spark, sf), sized(spark, sf)))
+    return per.funnel(per.detections(boxes(spark, sf, whole=True), sized(spark, sf)))
 
 
 _PRED = "SELECT image_id, string_agg(cls || ' ' || CAST(CAST(floor(score * 100) AS INTEGER) AS VARCHAR) || 'e-2 ' || CAST(CAST(x AS INTEGER) AS VARCHAR) || ' ' || CAST(CAST(y AS INTEGER) AS VARCHAR) || ' ' || CAST(CAST(w AS INTEGER) AS VARCHAR) || ' ' || CASE WHEN image_id % 7 = 0 AND idx = 3 THEN '-1' WHEN image_id % 7 = 1 AND idx = 2 THEN 'x' ELSE CAST(CAST(floor(h) AS INTEGER) AS VARCHAR) END, ' ' ORDER BY idx) AS prediction FROM boxes WHERE idx < 12 GROUP BY image_id"

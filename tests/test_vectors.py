@@ -76,6 +76,16 @@ def test_suppression_by_brute_force(spark):
     assert {(r.image_id, r.idx): r.suppressed_by for r in perception.suppress(df).collect()} == want
 
 
+def test_funnel_counts_the_whole_table(spark):
+    from compare import DATA
+
+    from driftline.plans import scenes
+
+    items = spark.read.parquet(f"{DATA}/sf0.001/lineitem.parquet").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") * 10 >= 0.35).alias("passed"))
+    got = {r.image_id: (r.raw, r.after_score) for r in scenes.det_funnel(spark, f"{DATA}/sf0.001").collect()}
+    assert got == {r.l_suppkey: (r.n, r.passed) for r in items.collect()}
+
+
 def test_predictions(spark):
     rows = spark.createDataFrame([(1, "car 0.9 1 2 3 4 truck 0.8 5"), (2, "car 0.9 1 2 3 4"), (3, "boat 0.9 1 2 3 4"), (4, "car 1.5 1 2 3 4"), (5, "")], "image_id long, prediction string")
     got = {r.image_id: (r.fault.rule, r.fault.group) if r.fault else len(r.boxes) for r in perception.parse_predictions(rows).collect()}
