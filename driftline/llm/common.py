@@ -19,13 +19,18 @@ SLICE_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; an own one only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it names none, only a session whose tasks share the
+    driver's disk gets one in that disk's temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = at.get() if at.isDefined() else tempfile.mkdtemp(prefix="driftline-")
-        if not at.isDefined():
-            spark.sparkContext.setCheckpointDir(named)
+        context = spark.sparkContext
+        at = context._jsc.sc().getCheckpointDir()
+        if at.isDefined():
+            named = at.get()
+        elif context.master.split("[")[0] == "local":
+            context.setCheckpointDir(named := tempfile.mkdtemp(prefix="driftline-"))
+        else:
+            raise ValueError("spark.checkpoint.dir names no folder; it must be one that the driver and all executors share")
     return named.rstrip("/")
 
 
@@ -40,6 +45,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> str:
+    """A column's name, quoted: it may hold dots."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that df has no column of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_key(text: str = "text") -> Column:
     """Together with doc_id it tells apart rows of one doc_id with different texts; rows equal in both are one document."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

@@ -1,16 +1,17 @@
 """Jaccard join of documents on sets of word n-grams: a size-aware heavy-light join.
 
 Small (light) sets meet on enumerated subsets of fixed size: where at most one element may be missing, a set of n elements is
-listed under itself and under its n subsets of n - 1. Large (heavy) sets meet in inverted lists. A list for each single n-gram
-would be as long as its commonest n-gram is frequent, so the lists are kept for blocks: sets that differ in at most H elements
-agree wholly in one of H + 1 blocks of elements. Blocks of few elements would agree by chance, so each of them is listed together
-with the block after it, and with that block's subsets that lack one element. That loses no pair: if all blocks in which two
-sets agree are followed by blocks that differ in two elements or more, the sets differ in more than H. The size that divides
-light from heavy is the one of least cost over the histogram of sizes.
-
-Lists are scanned, not paired: each member is first held against the list's least member; then, only where a list still spans
-several components, members of different components are held against each other where their sizes and short sketches do not
-rule a link out. Copies have one node, so they are never expanded. All links between different sets are found; those inside a component may be left unchecked, as they join nothing.
+listed under itself and under its n subsets of n - 1. Large (heavy) sets meet in inverted lists of single elements. Linked sets
+share most of their elements, so they share one of their first few in any order that is the same for all sets; a set is listed
+under those alone. The order is from rare to frequent, as a sketch that counts all elements of all documents tells them, which
+keeps the lists short; its errors change the order and so the work, but no result. The size that divides light from heavy is the
+one of least cost: enumerated subsets on the one hand, the measured lengths of the lists to be scanned on the other.
+
+Lists are scanned, not paired. Each member is first held against the list's hub, its member that is in most lists: in a group
+of edited copies that is the text that the others were made from. Only where a list still spans several components, members of
+different components are held against each other where their sizes and short sketches do not rule a link out. Copies have one
+node, so they are never expanded. All links between different sets are found; those inside a component may be left unchecked, as
+they join nothing.
 """
 
 from __future__ import annotations
@@ -19,20 +20,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, WordHash, cut, grams, hashed, keyed, mix, slices, utf8
+from .common import BASE, WordHash, cut, grams, hashed, keyed, mix, slices, spare, text_key, utf8
 from .graph import components
 
 #: Two sets link at this many hundredths of common among all elements.
 SIMILARITY = 90
-#: What an entry of an inverted list costs against an enumerated subset: heavy keys hold fewer elements, so more sets share one by chance.
-SCAN_COST = 3.0
-#: Blocks of so many elements at most are listed together with the next block.
-FEW = 3
+#: What a comparison with a member of an inverted list costs against the listing of a key.
+SCAN_COST = 0.5
+#: Counters of the sketch of element frequencies: of fixed size, whatever the input. Twice the counters, about a seventh off the noise in the frequencies.
+COUNTERS = 1 << 20
+#: The sketch is added up in so many pieces.
+PIECES = 64
 #: Bits of a short sketch, which lists carry, as 64-bit numbers.
 SHORT = ("bits_0", "bits_1", "bits_2", "bits_3")
+#: Up to so many ids of texts (24 bytes each) are sent to all executors to pick the texts; of more, the texts are shuffled.
+SENT_ROWS = 500_000
 #: Nodes that a task remembers in order to list copies once.
 SEEN = 500_000
 
@@ -43,7 +49,10 @@ def shingles(memo: WordHash, text: bytes, n: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     h = hashed(memo, words)
-    return np.unique(grams(h, n)) if len(h) >= n else mix(grams(h, len(h)) ^ np.uint64(len(h)))
+    if len(h) < n:
+        return mix(grams(h, len(h)) ^ np.uint64(len(h)))
+    s = np.sort(grams(h, n))
+    return s[np.append(True, s[1:] != s[:-1])]
 
 
 def node_of(s: np.ndarray) -> int:
@@ -65,44 +74,33 @@ def light_limit(percent: int) -> int:
     return n
 
 
+def prefix_length(n: int, percent: int) -> int:
+    """Linked sets share an element among the first so many of either, in any one order: they have percent of it in common."""
+    return n - -(-n * percent // 100) + 1
+
+
+def load(counts: np.ndarray) -> float:
+    """What a counter holds of elements other than the one that is looked up, on average."""
+    return float(counts.sum(dtype=np.float64)) / len(counts)
+
+
 class Lists:
-    """Which keys a set is listed under."""
+    """Which keys a set is listed under. counts: how often the elements of each counter occur."""
 
-    def __init__(self, percent: int, boundary: int):
+    def __init__(self, percent: int, boundary: int, counts: np.ndarray | None = None):
         self.percent, self.boundary = percent, boundary
-        self.edges = [1]  # the sizes at which classes begin: linked sets are of one class or of neighbouring ones
-        while self.edges[-1] < 1 << 31:
-            self.edges.append(self.edges[-1] * 100 // percent + 1)
+        self.counts = np.zeros(1, np.uint32) if counts is None else counts
 
-    def class_of(self, n: int) -> int:
-        return int(np.searchsorted(self.edges, n, "right")) - 1
+    def prefix(self, s: np.ndarray) -> np.ndarray:
+        """The rarest elements of a set; those of equal counters in the order of their hashes."""
+        spread = mix(s)
+        often = self.counts[(spread & np.uint64(len(self.counts) - 1)).astype(np.int64)].astype(np.uint64)
+        rank = np.minimum(often, np.uint64((1 << 24) - 1)) << np.uint64(40) | spread >> np.uint64(24)
+        n = prefix_length(len(s), self.percent)
+        return s if n >= len(s) else s[np.lexsort((s, rank))[:n]]
 
     def heavy(self, s: np.ndarray) -> np.ndarray:
-        out = []
-        c = self.class_of(len(s))
-        spread, each = mix(s), mix(s ^ np.uint64(BASE))
-        for group in (c - 1, c):  # here meet a smaller set of this class and a larger one of this or the next
-            if group < 0:
-                continue
-            most = self.edges[group + 1] - 1
-            blocks = far(most, most * 100 // self.percent, self.percent) + 1
-            block = (spread % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            with np.errstate(over="ignore"):
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(each[order], dtype=np.uint64)])
-                ends = np.searchsorted(block[order], np.arange(blocks + 1))
-                body, few = sums[ends[1:]] - sums[ends[:-1]], np.diff(ends) <= FEW
-                salt = np.arange(blocks, dtype=np.uint64) * np.uint64(BASE) + np.uint64(group + 1 << 40)
-                if blocks == 1:
-                    few[:] = False
-                out.append(mix(mix(body[~few]) + salt[~few]))
-                if few.any():
-                    both, after = mix(mix(body) + (salt ^ np.uint64(0xC3C3 << 32))), np.roll(body, -1)
-                    out.append(mix(both[few] ^ mix(after[few])))
-                    before = (block - 1) % blocks
-                    lacks = few[before]
-                    out.append(mix(both[before[lacks]] ^ mix(body[block[lacks]] - each[lacks])))
-        return np.concatenate(out)
+        return mix(self.prefix(s) ^ np.uint64(BASE))
 
     def light(self, s: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -121,36 +119,89 @@ class Lists:
         return np.concatenate(out)
 
 
-def boundary(sizes: dict[int, int], percent: int) -> int:
-    """The largest light size, of all that enumeration is exact for, with the least cost over the sizes' histogram."""
-    lists, most = Lists(percent, 0), light_limit(percent)
-    probe = np.arange(1, most * 2 + 2, dtype=np.uint64)
-    light = {n: n + 1 for n in range(1, most + 1)}
-    heavy = {n: len(lists.heavy(probe[:n])) * SCAN_COST for n in range(1, most * 2 + 2)}
-    cost = lambda b: sum(c * ((light[n] if n <= b else 0) + (heavy[n] if 100 * n >= percent * (b + 1) else 0)) for n, c in sizes.items() if n in heavy)
-    return min(range(most + 1), key=lambda b: (cost(b), b))
+def small_limit(percent: int) -> int:
+    """Up to this size the boundary decides how a set is listed."""
+    return 100 * (light_limit(percent) + 1) // percent + 1
 
 
-def sets(text: DataFrame, n: int) -> DataFrame:
-    """doc_id, tkey, node, size, sketch and short sketch of every document."""
+def boundary(sizes: dict[int, tuple[int, float]], percent: int) -> int:
+    """The largest light size, of all that enumeration is exact for, with the least cost.
+
+    sizes: of each small size, how many sets there are and how long all the lists are, together, that they would be in as heavy ones.
+    """
+    light = {n: n + 1 if 100 * (n - 1) >= percent * n else 1 for n in range(1, light_limit(percent) + 1)}
+    heavy = lambda n, c, long: c * prefix_length(n, percent) + SCAN_COST * long
+    cost = lambda b: sum((c * light[n] if n <= b else 0) + (heavy(n, c, long) if 100 * n >= percent * (b + 1) else 0) for n, (c, long) in sizes.items())
+    return min(range(light_limit(percent) + 1), key=lambda b: (cost(b), b))
+
+
+def sets(text: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, tkey, node, size, sketch, short sketch and, of a small set, its elements, of every document; besides them rows
+    with nothing but a piece of the sketch of element frequencies and its number, a few from each task."""
+    names = ["doc_id", "tkey", "node", "size", "sketch", *SHORT, "small", "piece", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * len(SHORT), pa.binary(), pa.int32(), pa.binary()]
+    most = small_limit(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
+        memo, counts = WordHash(), np.zeros(COUNTERS, np.uint32)
         for b in (s for batch in batches for s in slices(batch)):
             made = [shingles(memo, t, n) for t in utf8(b)]
+            for s in made:  # a text's own elements are different from each other, but not always their counters
+                np.add.at(counts, (mix(s) & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
             short = np.array([np.frombuffer(parities(s, 64 * len(SHORT)), np.int64) for s in made]).reshape(-1, len(SHORT))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array([node_of(s) for s in made], pa.int64()), pa.array([len(s) for s in made], pa.int64()), pa.array([sketch_of(s) for s in made], pa.binary()), *map(pa.array, short.T.copy())], ["doc_id", "tkey", "node", "size", "sketch", *SHORT])
+            small = [s.tobytes() if 0 < len(s) <= most else None for s in made]
+            cols = [b.column("doc_id"), b.column("tkey"), [node_of(s) for s in made], [len(s) for s in made], [sketch_of(s) for s in made], *short.T.copy(), small, [None] * len(made), [None] * len(made)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        held = [(i, piece.tobytes()) for i, piece in enumerate(np.split(counts, PIECES)) if piece.any()]
+        if held:
+            cols = [*[[None] * len(held)] * (len(names) - 2), [i for i, _ in held], [p for _, p in held]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    return text.mapInArrow(run, "doc_id long, tkey long, node long, size long, sketch binary, " + ", ".join(f"{c} long" for c in SHORT) + ", small binary, piece int, counts binary")
+
 
-    return text.mapInArrow(run, "doc_id long, tkey long, node long, size long, sketch binary, " + ", ".join(f"{c} long" for c in SHORT))
+def frequencies(made: DataFrame) -> np.ndarray:
+    """The sketch of element frequencies, of COUNTERS entries. made: piece, counts of each task."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for piece, counts in zip(b.column("piece").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                held[piece] = held.get(piece, 0) + np.frombuffer(counts, np.uint32).astype(np.uint64)
+        for piece, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())], ["piece", "counts"])
+
+    # Some pieces in each task: tasks first add up what they have read, so that a piece's rows are as few as the tasks.
+    some = made.mapInArrow(add, "piece int, counts binary").repartition(min(PIECES, 8), "piece").mapInArrow(add, "piece int, counts binary")
+    out = np.zeros(COUNTERS, np.uint32)
+    each = COUNTERS // PIECES
+    for r in some.toLocalIterator():
+        out[r["piece"] * each : (r["piece"] + 1) * each] = np.frombuffer(r["counts"], np.uint32)
+    return out
+
+
+def measured(small: DataFrame, percent: int, counts: Broadcast) -> dict[int, tuple[int, float]]:
+    """Of each small size, how many sets there are, and the lengths of the lists that they would be in. small: node, small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = Lists(percent, 0, counts.value)
+        noise = load(lists.counts)
+        for b in batches:
+            made = [np.frombuffer(x, np.uint64) for x in b.column("small").to_pylist()]
+            long = [float(np.maximum(lists.counts[(mix(lists.prefix(s)) & np.uint64(COUNTERS - 1)).astype(np.int64)] - noise, 1).sum()) for s in made]
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in made], pa.int32()), pa.array(long, pa.float64())], ["size", "long"])
+
+    rows = small.select("small").mapInArrow(run, "size int, long double").groupBy("size").agg(F.count("*").alias("n"), F.sum("long").alias("long"))
+    return {r["size"]: (r["n"], r["long"]) for r in rows.collect()}  # a row for each small size
 
 
-def listed(text: DataFrame, n: int, lists: Lists) -> DataFrame:
-    """key, node: what each set is listed under. Copies within a task are listed once."""
+def listed(text: DataFrame, n: int, percent: int, boundary: int, counts: Broadcast) -> DataFrame:
+    """node, keys (64 bits each) of the sets. Copies within a task are listed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = WordHash(), set()
+        memo, seen, lists = WordHash(), set(), Lists(percent, boundary, counts.value)
         for b in (s for batch in batches for s in slices(batch)):
-            keys, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            nodes, keys = [], []
             for t in utf8(b):
                 s = shingles(memo, t, n)
                 node = node_of(s)
@@ -159,12 +210,13 @@ def listed(text: DataFrame, n: int, lists: Lists) -> DataFrame:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
-                k = lists.keys(s)
-                keys.append(k)
-                nodes.append(np.full(len(k), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                nodes.append(node)
+                keys.append(lists.keys(s).view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            of = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), of], ["node", "keys"])
 
-    return text.select("text").mapInArrow(run, "key long, node long")
+    return text.select("text").mapInArrow(run, "node long, keys array<long>")
 
 
 def parities(s: np.ndarray, bits: int) -> bytes:
@@ -198,8 +250,8 @@ def possible(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(z, "v").filter(near).select("u", "v", "size_u", "size_v", "sketch_u", "sketch_v").mapInArrow(run, "u long, v long")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (u, v), those whose sets link. texts: node, text; only those of the pairs are sent."""
+def linked(pairs: DataFrame, nodes: DataFrame, text: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of pairs (u, v), those whose sets link. nodes: node and, of a document that has its set, doc_id and tkey; only the texts of the pairs are read out of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, last, held = WordHash(), None, np.empty(0, np.uint64)
@@ -214,7 +266,9 @@ def linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = texts.join(ends, "node", "left_semi")
+    wanted = cut(ends.join(nodes, "node").select("node", F.col("doc_id").alias("d"), F.col("tkey").alias("t")), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted
+    texts = cut(text.join(few, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t"))).select("node", "text").dropDuplicates(["node"]), "texts")
     a = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
     z = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
     return pairs.join(z, "v").join(a, "u").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
@@ -232,26 +286,30 @@ def classes(docs: DataFrame, n: int = 3, percent: int = SIMILARITY) -> DataFrame
 def labelled(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The classes, and in component a number for each component, which is null for texts without a set."""
     text = keyed(docs)
-    every = cut(sets(text, n), "sets")
+    made = cut(sets(text, n, percent), "sets")
+    every = made.filter("piece IS NULL").drop("piece", "counts", "small")
     nodes = cut(every.filter("size > 0").groupBy("node", "size").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.xxhash64("doc_id", "tkey"), "doc_id", "tkey")).alias("of"), *(F.min(c).alias(c) for c in ("sketch", *SHORT))), "nodes")
-    histogram = {r["size"]: r["n"] for r in nodes.filter(F.col("size") <= 2 * light_limit(percent) + 1).groupBy("size").agg(F.count("*").alias("n")).collect()}
-    members = Window.partitionBy("key")
-    found = listed(text, n, Lists(percent, boundary(histogram, percent)))
-    scanned = cut(found.withColumn("least", F.min("node").over(members)).withColumn("most", F.max("node").over(members)).filter("least <> most").select("key", "node", "least").distinct(), "lists")
-    asked = cut(scanned.select("node").distinct().join(nodes, "node").select("node", "size", "sketch", *SHORT, "of.doc_id", "of.tkey"), "asked")
-    wanted = asked.select("node", F.col("doc_id").alias("d"), "tkey")
-    texts = cut(text.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (text["tkey"] == wanted["tkey"])).select("node", "text").dropDuplicates(["node"]), "texts")
-    first = scanned.filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    links = cut(linked(cut(possible(first, asked, percent), "pairs"), texts, n, percent), "links")
+    counts = docs.sparkSession.sparkContext.broadcast(frequencies(made.filter("piece IS NOT NULL").select("piece", "counts")))  # of COUNTERS entries
+    light = boundary(measured(made.filter("small IS NOT NULL").select("node", "small").dropDuplicates(["node"]), percent, counts), percent)
+    entries = cut(listed(text, n, percent, light, counts), "entries").select(F.explode("keys").alias("key"), "node")
+    shared = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("key")
+    lists = cut(entries.join(shared, "key").distinct(), "lists")
+
+    asked = cut(lists.groupBy("node").agg(F.count("*").alias("lists")).join(nodes, "node").select("node", "lists", "size", "sketch", *SHORT, "of.doc_id", "of.tkey"), "asked")
+    ranked = lists.join(asked.select("node", "lists"), "node")
+    hubs = ranked.groupBy("key").agg(F.max_by("node", "lists").alias("hub"))
+    first = ranked.join(hubs, "key").filter("node <> hub").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
+    links = cut(linked(cut(possible(first, asked, percent), "pairs"), asked, text, n, percent), "links")
     joined = cut(components(links), "components")
-    marked = scanned.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+
+    marked = lists.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     several = marked.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
     open_ = cut(marked.join(several, "key").join(asked.select("node", "size", *SHORT), "node"), "open")
     one, two = (open_.select("key", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("size").alias(f"size_{c}"), *(F.col(b).alias(f"{b}_{c}") for b in SHORT)) for c in "uv")
     apart = " + ".join(f"bit_count({b}_u ^ {b}_v)" for b in SHORT)
     near = f"100 * least(size_u, size_v) >= {percent} * greatest(size_u, size_v) AND {100 + percent} * ({apart}) <= {100 - percent} * (size_u + size_v)"
     rest = one.join(two, "key").filter(f"u < v AND cu <> cv AND {near}").select("u", "v").distinct()
-    more = cut(linked(cut(possible(rest, asked, percent), "pairs"), texts, n, percent), "links")
+    more = cut(linked(cut(possible(rest, asked, percent), "pairs"), asked, text, n, percent), "links")
     if not more.isEmpty():
         joined = cut(components(links.unionByName(more)), "components")
     named = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -261,11 +319,14 @@ def labelled(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows, with all their columns, of documents that are the least of their component. Of a component's rows of the least
-    id with different texts the one of the least text hash stays; rows equal in both are one document and stay or go together.
-    Rows of different components never replace each other, also where they share an id or have none."""
+    """The rows, with all their columns, of documents that are the least of their component.
+
+    Of a component's rows of the least id with different texts the one of the least text hash stays; rows equal in both are one
+    document and stay or go together. Rows of different components never replace each other, also where they share an id or have
+    none; null and empty texts are in no component and stay. Columns may have any names; an empty table stays empty.
+    """
+    d, t = spare(docs, "d", "t")
     kept = cut(labelled(docs, n, percent), "classes")
     first = kept.filter("n_shingles > 0 AND doc_id <=> component_id").groupBy("component", "doc_id").agg(F.min("tkey").alias("tkey")).drop("component")
-    found = kept.filter("n_shingles = 0").select("doc_id", "tkey").distinct().unionByName(first).select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"))
-    of = (F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_t"))
-    return docs.join(cut(found, "kept"), of, "left_semi")
+    found = kept.filter("n_shingles = 0").select("doc_id", "tkey").distinct().unionByName(first).select(F.col("doc_id").alias(d), F.col("tkey").alias(t))
+    return docs.join(cut(found, "kept"), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (text_key() == F.col(t)), "left_semi")

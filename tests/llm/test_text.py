@@ -192,6 +192,7 @@ def test_short_sketches_rule_out_no_link():
 def test_no_link_is_lost():
     """Sets that link meet under a key, whatever the boundary between light and heavy."""
     rng = np.random.default_rng(1)
+    often = rng.integers(0, 50, 1 << 10).astype(np.uint32)
     for percent in (90, 80):
         for n in (*range(1, 40), 70, 150, 400):
             a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
@@ -201,8 +202,26 @@ def test_no_link_is_lost():
                 both = len(np.intersect1d(a, b))
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     for boundary in (0, jaccard.light_limit(percent)):
-                        keys = jaccard.Lists(percent, boundary)
-                        assert len(np.intersect1d(keys.keys(a), keys.keys(b)))
+                        for counts in (None, often):
+                            keys = jaccard.Lists(percent, boundary, counts)
+                            assert len(np.intersect1d(keys.keys(a), keys.keys(b)))
+
+
+def test_rare_elements_come_first():
+    s = np.arange(1, 101, dtype=np.uint64) << np.uint64(3)
+    counts = np.zeros(1 << 16, np.uint32)
+    at = (jaccard.mix(s) & np.uint64(len(counts) - 1)).astype(np.int64)
+    counts[at] = 100 + np.arange(100)
+    lists = jaccard.Lists(90, 0, counts)
+    assert jaccard.prefix_length(100, 90) == 11
+    assert set(lists.prefix(s).tolist()) == set(s[np.argsort(counts[at], kind="stable")][:11].tolist())
+
+
+def test_boundary_follows_the_lists():
+    """Short lists leave all sets heavy; where lists are long, subsets are enumerated."""
+    short = {n: (100, 100.0) for n in range(1, jaccard.small_limit(90) + 1)}
+    long = {n: (100, 1e7) for n in short}
+    assert jaccard.boundary(short, 90) < jaccard.boundary(long, 90) == jaccard.light_limit(90)
 
 
 LONG = " ".join(f"w{i % 977}x{i // 977}" for i in range(60_000))
@@ -212,7 +231,7 @@ KEPT = {"op1": lambda d: packing.pack(d, WORDS).filter("piece = 0"), "op2": subs
 
 @pytest.mark.parametrize("name", KEPT)
 def test_odd_rows(spark, name):
-    docs = spark.createDataFrame([(*x, 1, 2, "k") for x in ODD], "doc_id long, text string, node int, bucket int, key string")
+    docs = spark.createDataFrame([(*x, 1, 2, "k") for x in ODD], "doc_id long, text string, node int, bucket int, `key` string")
     got = KEPT[name](docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(x[0] for x in ODD)
     assert KEPT[name](docs.limit(0)).count() == 0
