@@ -3,7 +3,8 @@
 Two lines are alike if one becomes the other by inserting, deleting or replacing one word at most. Each line emits its variants
 with one word deleted as hashed keys; lines with an equal variant meet. A key's group gives its earliest line only, so groups are
 aggregated and never paired. Lines that share neither their first nor their last half with another line cannot have a partner,
-and emit no variants.
+and emit no variants. A line's variants are hashed out of sums over its words, not written out, so a very long line costs no more
+for each word than a short one.
 """
 
 from __future__ import annotations
@@ -47,6 +48,11 @@ def lines(text: DataFrame) -> DataFrame:
 HALVES = ("first_0", "last_0", "first_1", "last_1")
 
 
+#: Hashes of a word at its place. A line, with or without a word, is known by the XOR of its words' hashes, so that all of a
+#: line's variants take time in proportion to its words; sums are kept for every BLOCK words.
+HASHES, ZERO, BLOCK = {"a": "xxhash64", "b": "hash"}, {"a": "0L", "b": "0"}, 32
+
+
 def _halves(min_words: int) -> list[Column]:
     out = []
     for name in HALVES:
@@ -90,14 +96,17 @@ def duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     # role 0 is met by lines with another word at the same place, 1 (the line itself) by 2 (the line without a word). Where lines
     # meet in a half, they differ in the other.
-    n = F.size("words")
-    at = F.sequence(F.when(F.col("same_last"), 0).otherwise(F.expr("size(words) DIV 2 - 1")), F.when(F.col("same_first"), n - 1).otherwise(n - F.expr("size(words) DIV 2")))
-    lacking = words.select("o", "line", n.alias("n"), F.explode(at).alias("at")).select("o", "at", F.expr("CASE at WHEN 0 THEN substring_index(line, ' ', 1 - n) WHEN n - 1 THEN substring_index(line, ' ', n - 1) ELSE concat(substring_index(line, ' ', at), ' ', substring_index(line, ' ', at + 1 - n)) END").alias("rest"))
+    hashed = words.select("o", "same_first", "same_last", *(F.expr(f"transform(words, (x, i) -> {h}(x, i + {shift}))").alias(f"{c}{name}") for c, h in HASHES.items() for name, shift in (("x", 0), ("y", -1))))
+    summed = hashed.select("*", *(F.expr(f"zip_with({c}x, {c}y, (x, y) -> x ^ y)").alias(f"{c}d") for c in HASHES), *(F.expr(f"aggregate({c}{name}, {ZERO[c]}, (a, x) -> a ^ x)").alias(f"{c}{name}_all") for c in HASHES for name in "xy"))
+    blocks = summed.select("*", *(F.expr(f"aggregate(sequence(0, size({c}d) DIV {BLOCK}), array({ZERO[c]}), (p, k) -> concat(p, array(aggregate(slice({c}d, k * {BLOCK} + 1, {BLOCK}), element_at(p, -1), (a, x) -> a ^ x))))").alias(f"{c}p") for c in HASHES))
+    at = "sequence(CASE WHEN same_last THEN 0 ELSE n DIV 2 - 1 END, CASE WHEN same_first THEN n - 1 ELSE n - n DIV 2 END)"
+    rest = lambda c: f"{c}y_all ^ {c}y[at] ^ aggregate(slice({c}d, at - at % {BLOCK} + 1, at % {BLOCK}), {c}p[at DIV {BLOCK}], (a, x) -> a ^ x)"
+    lacking = blocks.withColumn("n", F.size("ad")).select("o", F.explode(F.expr(f"transform({at}, at -> struct(at, {rest('a')} AS a, {rest('b')} AS b))")).alias("v")).select("o", "v.*")
     variants = lacking.select("o", F.explode(F.array(
-        F.struct(F.lit(0).alias("role"), F.xxhash64("rest", "at").alias("a"), F.hash("at", "rest").alias("b")),
-        F.struct(F.lit(2).alias("role"), F.xxhash64("rest").alias("a"), F.hash("rest").alias("b")),
+        F.struct(F.lit(0).alias("role"), F.xxhash64("a", "at").alias("a"), F.hash("b", "at").alias("b")),
+        F.struct(F.lit(2).alias("role"), F.xxhash64("a").alias("a"), F.hash("b").alias("b")),
     )).alias("k")).select("o", "k.*")
-    variants = cut(variants.unionByName(words.select("o", F.lit(1).alias("role"), F.xxhash64("line").alias("a"), F.hash("line").alias("b"))), "variants")
+    variants = cut(variants.unionByName(summed.select("o", F.lit(1).alias("role"), F.xxhash64("ax_all").alias("a"), F.hash("bx_all").alias("b"))), "variants")
     earliest = variants.groupBy("a", "b").agg(*(F.min(F.when(F.col("role") == r, F.col("o"))).alias(f"o{r}") for r in (0, 1, 2)), F.count("*").alias("n")).filter("n > 1").drop("n")
     partner = F.expr("CASE role WHEN 0 THEN o0 WHEN 1 THEN o2 ELSE o1 END")
     met = variants.join(earliest, ["a", "b"]).select("o", partner.alias("p")).filter("p < o").groupBy("o").agg(F.min("p").alias("p"))
