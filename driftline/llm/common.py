@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,17 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordB
         yield batch.slice(at, rows)
 
 
+def portions(batch: pa.RecordBatch, most: int = 4 << 20, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Rows with so many bytes of text at a time, or one row of more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The column's texts as UTF-8; null counts as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -101,7 +101,8 @@ def plan(histogram: dict[int, int], size: int, classes: int = CLASSES) -> list[t
     """(lengths, how many sequences hold just those) for all pieces of the histogram.
 
     Repeat counts of the patterns are fitted to the histogram of classes, rounded, and held to what is there; exact lengths,
-    longest first, then take the patterns' places. What is left, longest first, goes where it leaves the least room.
+    longest first, then take the patterns' places. What is left, longest first, goes where it leaves the least room; last, sequences
+    with room are dissolved and packed again where that makes fewer of them.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
     done: list[tuple[tuple[int, ...], int]] = []
@@ -154,9 +155,14 @@ def plan(histogram: dict[int, int], size: int, classes: int = CLASSES) -> list[t
                         queues[k].pop(0)
                 count -= t
                 room[size - sum(taken)].append([tuple(taken), t])
-    rest = sorted(((n, c) for q in queues.values() for n, c in q if c), reverse=True)
+    fill({n: c for q in queues.values() for n, c in q if c}, room, size)
+    return tightened(done + [(g, c) for groups in room.values() for g, c in groups if c], size)
+
+
+def fill(left: dict[int, int], room: dict[int, list[list]], size: int) -> None:
+    """Puts pieces, longest first, where they leave the least room; room: by what is free, groups [lengths, count]."""
     frees = sorted(room)
-    for n, count in rest:
+    for n, count in sorted(left.items(), reverse=True):
         while count:
             i = bisect.bisect_left(frees, n)
             if i == len(frees):
@@ -178,7 +184,26 @@ def plan(histogram: dict[int, int], size: int, classes: int = CLASSES) -> list[t
             if free not in room:
                 bisect.insort(frees, free)
             room[free].append(group)
-    return done + [(g, c) for groups in room.values() for g, c in groups if c]
+
+
+def tightened(made: list[tuple[tuple[int, ...], int]], size: int) -> list[tuple[tuple[int, ...], int]]:
+    """The sequences, or fewer: those with more than some room are dissolved and packed again, down to ever less room, until
+    there are as few as the tokens need or all have been dissolved."""
+    total = lambda groups: sum(c for _, c in groups)
+    least = -(-sum(sum(g) * c for g, c in made) // size)
+    for most in (size // 4, size // 16, size // 64, size // 256, 0, -1):
+        if total(made) <= least:
+            break
+        pool: dict[int, int] = defaultdict(int)
+        for g, c in made:
+            if size - sum(g) > most:
+                for n in g:
+                    pool[n] += c
+        room: dict[int, list[list]] = defaultdict(list)
+        fill(pool, room, size)
+        again = [(g, c) for g, c in made if size - sum(g) <= most] + [(g, c) for groups in room.values() for g, c in groups if c]
+        made = min(made, again, key=total)
+    return made
 
 
 def places(made: list[tuple[tuple[int, ...], int]], size: int) -> np.ndarray:

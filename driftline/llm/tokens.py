@@ -8,6 +8,8 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import MEMO_WORDS
 
@@ -98,14 +100,24 @@ class WordEncoder(Encoder):
 
 
 class ByteEncoder(Encoder):
-    """For a byte-level tokenizer whose chunks are a space with what follows up to the next space.
+    """For a byte-level tokenizer whose chunks are a space with what follows up to the next space, or a newline with what follows.
 
-    A space before something other than white space always starts a chunk; the memo holds chunks without that space. Texts with
-    other spaces, or with what may be a special token, are encoded whole.
+    A space before something other than white space always starts a chunk, and so does a newline between two other characters;
+    the memo holds the former without the space. Marks at a chunk's end are ids of their own, so that a word is learnt once
+    whatever mark follows it. Texts with other spaces, or with what may be a special token, are encoded whole.
     """
 
     ODD = re.compile(rb" (?:[\s\x1c-\x1f\x80-\xff]|\Z)")
     SPACES = re.compile(r" (?:\s|\Z)")
+    MARKS = b".,;:!?"
+    #: First bytes of characters beyond ASCII among which there is white space.
+    WIDE = frozenset(b"\xc2\xe1\xe2\xe3")
+
+    def __init__(self, path: str, most: int = 3 * MEMO_WORDS):
+        super().__init__(path, most)
+        self.tails: dict[bytes, bytes] = {}
+        self.newline = np.zeros(len(self.bounds), bool)
+        self.newline[self.of.token_to_id("\u010a")] = True
 
     def bound(self, token: str) -> bool:
         return token.startswith("\u0120")
@@ -117,10 +129,64 @@ class ByteEncoder(Encoder):
         # A byte over 0x7f may begin white space beyond ASCII, so only such spaces that a letter of two bytes follows go on.
         return b"<|" in text or bool(self.ODD.search(text)) and bool(self.SPACES.search(text.decode()))
 
+    def edged(self, line: bytes) -> bool:
+        """Whether a line begins or ends with what may be white space, or is empty."""
+        if not line or line[0] <= 32 or line[0] in self.WIDE or line[-1] <= 32:
+            return True
+        return line[-1] > 127 and line[-4:].decode(errors="ignore")[-1:].isspace()
+
+    def spaced(self, text: bytes) -> bytes:
+        """The text with a space before every newline that starts a chunk."""
+        lines = text.split(b"\n")
+        return text if any(map(self.edged, lines)) else b" \n".join(lines)
+
+    def apart(self, group: list[bytes], bounds: np.ndarray, between: bytes) -> None:
+        """Puts chunks into the memo that are encoded as one text, in which each of them begins with an id of bounds."""
+        ids = self.ids([between.join(group).decode()])[0]
+        at = np.flatnonzero(bounds[np.frombuffer(ids, np.uint32)]).tolist()
+        if len(at) == len(group):
+            self.update(zip(group, [ids[4 * x : 4 * y] for x, y in zip(at, [*at[1:], len(ids) // 4], strict=True)], strict=True))
+        else:
+            self.update(zip(group, self.ids([c.decode() for c in group]), strict=True))
+
+    def learn(self, new: set[bytes]) -> None:
+        breaks = [c for c in new if c[:1] == b"\n"]
+        for at in range(0, len(breaks), JOINED):
+            self.apart(breaks[at : at + JOINED], self.newline, b"")
+        stems = {c: stem for c in new if c[-1:] in self.MARKS and (stem := c.rstrip(self.MARKS))[-1:].isalpha() and c[:1] != b"\n"}
+        super().learn({w for w in {stems.get(c, c) for c in new.difference(breaks)} if w not in self})
+        for c, stem in stems.items():
+            mark = c[len(stem) :]
+            if mark not in self.tails:
+                if len(self.tails) > MEMO_WORDS:
+                    self.tails.clear()
+                self.tails[mark] = self.ids([mark.decode()])[0]
+            self[c] = self[stem] + self.tails[mark]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [[t] if self.whole(t) else t.split(b" ") for t in texts]
-        heads = self.ids([p.pop(0).decode() for p in parts])
-        return list(map(bytes.__add__, heads, self.looked_up(parts)))
+        """The texts' ids. Arrow numbers the different chunks of all the texts, so that each of them is looked up once."""
+        if len(self) > self.most:
+            self.clear()
+        whole = [self.whole(t) for t in texts]
+        parts = pc.split_pattern(pa.array([b"" if w else self.spaced(t) for t, w in zip(texts, whole, strict=True)], pa.binary()), b" ")
+        at = parts.offsets.to_numpy()
+        first = parts.values.take(pa.array(at[:-1])).to_pylist()
+        numbered = parts.values.dictionary_encode()
+        chunks = numbered.dictionary.to_pylist()
+        found = list(map(self.get, chunks))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        self.learn({chunks[i] for i in lacking})
+        for i in lacking:
+            found[i] = self[chunks[i]]
+        found += self.ids([(t if w else f).decode() for t, w, f in zip(texts, whole, first, strict=True)])
+        place = numbered.indices.to_numpy().astype(np.int64)
+        place[at[:-1]] = np.arange(len(chunks), len(found))  # no space stands before a text's first chunk
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins, own = np.cumsum(sizes) - sizes, sizes[place]
+        ends = np.cumsum(own)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begins[place] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = 4 * np.append(0, ends)[at]
+        return [ids[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
