@@ -116,8 +116,7 @@ class ByteEncoder(Encoder):
     def __init__(self, path: str, most: int = 3 * MEMO_WORDS):
         super().__init__(path, most)
         self.tails: dict[bytes, bytes] = {}
-        self.newline = np.zeros(len(self.bounds), bool)
-        self.newline[self.of.token_to_id("\u010a")] = True
+        self.newline = self.of.token_to_id("\u010a")
 
     def bound(self, token: str) -> bool:
         return token.startswith("\u0120")
@@ -140,10 +139,10 @@ class ByteEncoder(Encoder):
         lines = text.split(b"\n")
         return text if any(map(self.edged, lines)) else b" \n".join(lines)
 
-    def apart(self, group: list[bytes], bounds: np.ndarray, between: bytes) -> None:
-        """Puts chunks into the memo that are encoded as one text, in which each of them begins with an id of bounds."""
-        ids = self.ids([between.join(group).decode()])[0]
-        at = np.flatnonzero(bounds[np.frombuffer(ids, np.uint32)]).tolist()
+    def apart(self, group: list[bytes]) -> None:
+        """Puts chunks into the memo that begin with the newline they hold; encoded as one text they part at its id."""
+        ids = self.ids([b"".join(group).decode()])[0]
+        at = np.flatnonzero(np.frombuffer(ids, np.uint32) == self.newline).tolist()
         if len(at) == len(group):
             self.update(zip(group, [ids[4 * x : 4 * y] for x, y in zip(at, [*at[1:], len(ids) // 4], strict=True)], strict=True))
         else:
@@ -151,8 +150,11 @@ class ByteEncoder(Encoder):
 
     def learn(self, new: set[bytes]) -> None:
         breaks = [c for c in new if c[:1] == b"\n"]
-        for at in range(0, len(breaks), JOINED):
-            self.apart(breaks[at : at + JOINED], self.newline, b"")
+        plain = [c for c in breaks if c.count(b"\n") == 1 and not self.edged(c[1:])]
+        for at in range(0, len(plain), JOINED):
+            self.apart(plain[at : at + JOINED])
+        odd = list({*breaks}.difference(plain))
+        self.update(zip(odd, self.ids([c.decode() for c in odd]), strict=True))
         stems = {c: stem for c in new if c[-1:] in self.MARKS and (stem := c.rstrip(self.MARKS))[-1:].isalpha() and c[:1] != b"\n"}
         super().learn({w for w in {stems.get(c, c) for c in new.difference(breaks)} if w not in self})
         for c, stem in stems.items():

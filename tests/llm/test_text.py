@@ -90,6 +90,49 @@ def test_ids_of_odd_texts(kind):
         assert encoder.encode([t.encode() for t in ODD_TEXTS]) == [array("I", ids(path, t)).tobytes() for t in ODD_TEXTS]
 
 
+def test_ids_of_many_odd_texts():
+    """Newlines, marks and odd spaces in any order, learnt together."""
+    import random
+
+    from driftline.llm.tokens import ByteEncoder
+
+    random.seed(1)
+    parts = ["a", "Bc", "é", "1", ".", ",", "'s", "\n", "\n", " ", "\u3000", "\t", "\u2003", "\u00a0", "!?", "<|", "\x1c"]
+    made = ["".join(random.choices(parts, k=random.randint(1, 14))) for _ in range(4000)]
+    encoder = ByteEncoder(BYTES)
+    assert [encoder.encode([t.encode()])[0] for t in made[:500]] + encoder.encode([t.encode() for t in made[500:]]) == encoder.ids(made)
+
+
+def test_token_files_of_repeated_ids(spark, tmp_path):
+    """start and ids follow the files' order also where ids repeat; files have delta and dictionary pages, page indexes, and prune."""
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(1, "a b c " * k) for k in (30, 1, 4)] * 3 + [(None, None)] * 5 + [(k, f"text {k}") for k in range(2, 3000)], "doc_id long, text string")
+    path = f"{tmp_path}/ids"
+    token_files.write(docs, path, BYTES)
+    files = token_files.read(spark, path)
+    held = files.orderBy("shard", "row").collect()
+    want, at = Counter(), 0
+    for r in held:
+        want[r.doc_id, at, r.n_tokens, zlib.crc32(array("I", r.ids).tobytes())] += 1
+        at += r.n_tokens
+    assert Counter(tuple(r) for r in token_files.digest(files).collect()) == want
+    assert [r.doc_id for r in held] == sorted((r.doc_id for r in held), key=lambda x: (x is not None, x or 0))
+    several = [f for f in map(pq.ParquetFile, map(str, tmp_path.glob("ids/*.parquet"))) if f.metadata.num_rows > 100]
+    for f in several:
+        cols = {f.metadata.row_group(0).column(i).path_in_schema.split(".")[0]: f.metadata.row_group(0).column(i) for i in range(f.metadata.num_columns)}
+        assert "DELTA_BINARY_PACKED" in cols["doc_id"].encodings and "RLE_DICTIONARY" in cols["ids"].encodings
+        assert cols["doc_id"].has_offset_index and cols["doc_id"].has_column_index and cols["doc_id"].statistics.has_min_max
+    assert several and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,77)]" in files.filter("doc_id = 77")._jdf.queryExecution().toString()
+    assert files.filter("doc_id = 77").count() == 1
+
+
+def test_plan_needs_as_few_sequences_as_the_tokens():
+    rng = np.random.default_rng(2)
+    lengths = Counter(np.minimum(4096, rng.lognormal(6, 1, 6000).astype(int) + 1).tolist())
+    assert sum(n for _, n in packing.plan(dict(lengths), 4096)) == -(-sum(k * n for k, n in lengths.items()) // 4096)
+
+
 def test_repetition(spark, texts):
     for r in queries.op6_repetition(spark, SMALL).collect():
         text = texts[r.doc_id] or ""
