@@ -228,14 +228,14 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) ->
     hold the end id alone and are packed like others; rows that repeat are packed once each; an empty table gives no rows;
     other columns than doc_id and text are ignored. Pieces that equal each other in all columns may change places.
     """
-    rows = cut(pieces(docs, tokenizer, size, end_id), "pieces")
+    rows = cut(pieces(docs, tokenizer, size, end_id).withColumn("at", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     table = places(plan(counts, size), size)
     buckets = row_count_partitions(sum(counts.values()), RANKED_ROWS)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "at"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "at")
     ranked = rows.withColumn("rank", F.row_number().over(within) - 1).join(base, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
     shared = docs.sparkSession.sparkContext.broadcast(table)  # a few rows for each length at most, whatever the input
 

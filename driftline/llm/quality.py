@@ -190,6 +190,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, learnt from the labelled rows that are not held out.
 
+    The ratios are taken from about LABELLED_ROWS of those rows at most, the model is fitted on about fit_rows of them, both even
+    shares by hash; every whole text is scored.
+
     Null and empty texts have one indicator, their length's; rows that repeat score alike; an empty table gives none; labels of
     one document that differ count as good; other columns are ignored.
     """
@@ -198,7 +201,11 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
 
 
 def keep(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows, with all their columns, that the model does not reject."""
+    """The rows, with all their columns, whatever their names, that the model does not reject.
+
+    Null and empty texts are judged by their length's indicator, very long ones whole; repeated rows are judged alike; an empty
+    table stays empty. Without a model, as where no row is labelled, all rows stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,12 +20,12 @@ NUMBERED_ROWS = 50_000
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, and the dimensions as longs; a null text counts as empty in all but its size of 1."""
+    """doc_id, size, text_crc32, the dimensions as longs, and a number that tells rows apart; a null text counts as empty in all but its size of 1."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.length(text).alias("chars"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("breaks"))
     octaves = lambda c: F.floor(F.log2(c.cast("double") + 1) * 4096).cast("long")
     tie = F.shiftleft(F.col("text_crc32"), 31).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit(2**31 - 1)))
-    return rows.select("doc_id", "size", "text_crc32", octaves(F.col("size")).alias("d_bytes"), octaves(F.col("breaks")).alias("d_lines"), F.floor((F.col("size") - 1 - F.col("chars")) * 100_000 / F.greatest(F.col("size"), F.lit(1))).cast("long").alias("d_script"), F.col("text_crc32").alias("d_hash"), tie.alias("tie"))
+    return rows.select("doc_id", "size", "text_crc32", octaves(F.col("size")).alias("d_bytes"), octaves(F.col("breaks")).alias("d_lines"), F.floor((F.col("size") - 1 - F.col("chars")) * 100_000 / F.greatest(F.col("size"), F.lit(1))).cast("long").alias("d_script"), F.col("text_crc32").alias("d_hash"), tie.alias("tie"), F.monotonically_increasing_id().alias("at"))
 
 
 def _table(spark, columns: str, rows: list[str]) -> DataFrame:
@@ -45,7 +45,8 @@ def _halve(rows: DataFrame, first_half: dict[int, float], spans: dict[str, float
     ends = rows.groupBy("node").agg(*(f(d).alias(f"{f.__name__}_{d}") for d in DIMENSIONS for f in (F.min, F.max)), F.sum("size").alias("bytes")).collect()
     at = {}
     for r in ends:
-        by = max(range(len(DIMENSIONS)), key=lambda i: ((r[f"max_{DIMENSIONS[i]}"] - r[f"min_{DIMENSIONS[i]}"]) / spans[DIMENSIONS[i]], i))
+        wide = [(r[f"max_{d}"] - r[f"min_{d}"]) / spans[d] for d in DIMENSIONS[:-1]]
+        by = wide.index(max(wide)) if any(wide) else len(wide)  # the hash is no metadata: it is cut where nothing else differs
         d = DIMENSIONS[by]
         at[r["node"]] = {"by": by, "lo": r[f"min_{d}"], "hi": r[f"max_{d}"], "before": 0, "aim": r["bytes"] * first_half[r["node"]], "room": TOLERANCE * r["bytes"], "value": None, "cut": None}
     while open_ := {k: x for k, x in at.items() if x["cut"] is None}:
@@ -81,7 +82,8 @@ def split(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     Copies of a text share a shard unless a cut that is to halve the bytes goes through them; then their ids decide. Null and
     empty texts have size 1; rows equal in id and text stay together; an empty table gives no rows; other columns are ignored.
-    A hot group of copies is divided by id, and slots are numbered in small buckets, so no task holds a whole shard.
+    A hot group of copies is divided by id, and slots are numbered in small buckets, over which rows that repeat wholly are spread,
+    so no task holds a whole shard.
     """
     rows = cut(metadata(docs), "metadata")
     whole = rows.agg(F.count("*").alias("n"), *(f(d).alias(f"{f.__name__}_{d}") for d in DIMENSIONS for f in (F.min, F.max))).first()
@@ -107,9 +109,9 @@ def split(docs: DataFrame, shards: int = 16) -> DataFrame:
         rows = rows.join(cuts, "node", "left").withColumn("node", moved).drop("by", "value", "upto", "below", "above")
     placed = rows.join(_table(rows.sparkSession, "node, shard", [f"({k}, {first})" for k, (first, _) in nodes.items()] or ["(0, 0)"]), "node")
     buckets = row_count_partitions(whole["n"], NUMBERED_ROWS)
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "at"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size", "at")
     numbered = placed.withColumn("k", F.row_number().over(within) - 1).join(base, ["shard", "bucket"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("k")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

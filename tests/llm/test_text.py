@@ -1,5 +1,6 @@
 """The text operators against SQL where SQL can express them, else against brute force, and on odd rows."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -269,7 +270,15 @@ def test_boundary_follows_the_lists():
 
 LONG = " ".join(f"w{i % 977}x{i // 977}" for i in range(60_000))
 ODD = [(1, None), (2, ""), (3, "same text here"), (3, "same text here"), (4, "same text here"), (None, "no id at all"), (5, LONG), (6, LONG + " end"), (7, "one"), (8, "\n\n"), (9, "a line of ten words that is long enough to count\n" * 3)]
-KEPT = {"op1": lambda d: packing.pack(d, WORDS).filter("piece = 0"), "op2": substrings.dedup, "op4": lambda d: quality.score(d, None), "op5": lines.report, "op6": repetition.judge, "op7": lambda d: token_files.round_trip(d, BYTES), "op9": jaccard.classes, "op10": sharding.split}
+
+
+@functools.cache
+def model(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.train(quality.training_rows(docs, labels))
+
+
+KEPT = {"op1": lambda d: packing.pack(d, WORDS).filter("piece = 0"), "op2": substrings.dedup, "op4": lambda d: quality.score(d, model(d.sparkSession)), "op5": lines.report, "op6": repetition.judge, "op7": lambda d: token_files.round_trip(d, BYTES), "op9": jaccard.classes, "op10": sharding.split}
 
 
 @pytest.mark.parametrize("name", KEPT)
@@ -311,6 +320,60 @@ def test_repeats_by_hash(spark):
     assert got == {1: (60, hashlib.sha256(b"a b c").hexdigest()), 2: (60, hashlib.sha256(b"d e").hexdigest()), 3: (0, hashlib.sha256(b"short").hexdigest())}
 
 
+CLASHING = ["removed", "_d", "_t", "_leaked", "_text", "_gone", "node", "size", "u"]
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_odd_rows_of_a_stage(spark, number):
+    """Nulls, repeated rows, a very long text and columns named like the helpers; what a stage does not reject comes out as it was."""
+    import corpus_pipeline as pipe
+
+    rows = [(*x, "en", "s", 99, *CLASHING) for x in ODD]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in CLASHING))
+    stage = pipe.STAGES[number][1]
+    got = stage(spark, docs, SMALL)
+    if number < 4:
+        assert got.columns == docs.columns and stage(spark, docs.limit(0), SMALL).count() == 0
+        found = Counter(tuple(r) for r in got.collect())
+        changed = found - Counter(rows)
+        assert not changed if number != 1 else {r[:2] + (r[4],) for r in changed} == {(9, "a line of ten words that is long enough to count\n", 49)}
+        assert number == 0 or found[(1, None, *rows[0][2:])] == found[(2, "", *rows[0][2:])] == 1
+    else:
+        assert Counter(r.doc_id for r in got.filter("piece = 0").collect()) == Counter(x[0] for x in ODD)
+
+
+def test_hinge_loss_by_plain_descent():
+    """The solver reaches the least of its objective: plain descent on that objective gets to no lower value."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 30, 8)) for _ in range(120)]
+    y = np.where([(5 in r) != (rng.random() < 0.1) for r in rows], 1, -1)
+    ratio, weight, cost = rng.normal(0, 1, 30), np.ones(120), 1.0
+    x = np.zeros((120, 31))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.linalg.norm(ratio[r])
+        x[i, 30] = 1  # the bias is a weight like others
+    top = cost * len(rows) / 100 * weight
+    value = lambda v: v @ v / 2 + (top * np.maximum(0, 1 - y * (x @ v))).sum()
+    v, best = np.zeros(31), np.inf
+    for step in range(1, 60_000):
+        slack = y * (x @ v) < 1
+        v -= (v - x.T @ (top * y * slack)) / (step + 50)
+        best = min(best, value(v)) if step % 50 == 0 else best
+    w, bias = quality.dual_descent(rows, y, ratio, weight, cost, epochs=300)
+    assert value(np.append(w, bias)) <= best * 1.002
+
+
+def test_ratios_by_counting(spark):
+    """An indicator's log-count ratio follows how often either class has it."""
+    rows = spark.createDataFrame([(i, "good words here" if i % 2 else "bad words there", i % 2) for i in range(60)], "doc_id long, text string, label int")
+    made = quality.train(rows)
+    at = lambda text: set(quality.indicators(text, quality.Features()).tolist())
+    good, bad = at(b"good words here"), at(b"bad words there")
+    assert all(made.ratio[k] > 0.5 for k in good - bad) and all(made.ratio[k] < -0.5 for k in bad - good) and all(abs(made.ratio[k]) < 1e-6 for k in good & bad)
+    scores = {r.doc_id: r.score for r in quality.score(rows.drop("label"), made).collect()}
+    assert all((s >= 0.5) == bool(k % 2) for k, s in scores.items())
+
+
 def test_pipeline(spark, texts):
     import corpus_pipeline as pipe
 
@@ -323,3 +386,72 @@ def test_pipeline(spark, texts):
     assert all(a >= b > 0 for a, b in zip(counts, counts[1:], strict=False))
     assert docs.filter(F.length("text") != F.col("n_chars")).count() == 0
     assert pipe.run(spark, SMALL).select("doc_id").distinct().count() == counts[-1]
+
+
+def plain_lines(texts):
+    """Removed lines by comparing every line with every earlier one."""
+    def alike(a, b):
+        if a == b:
+            return True
+        if min(len(a), len(b)) < lines.MIN_WORDS or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        long, short = (a, b) if len(a) > len(b) else (b, a)
+        return any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
+
+    seen, out = [], {}
+    for doc in sorted(texts):
+        kept = []
+        for raw in (texts[doc] or "").split("\n"):
+            words = re.findall(r"[^ \t\r\x0B\f]+", raw)
+            if not words or not any(alike(words, s) for s in seen):
+                kept.append(raw)
+            if words:
+                seen.append(words)
+        out[doc] = "\n".join(kept)
+    return out
+
+
+def test_stages_by_brute_force(spark):
+    """Lines, near duplicates and leaks of a fixture with planted cases, each on what the stage before kept."""
+    import corpus_pipeline as pipe
+
+    rng = np.random.default_rng(9)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4000, n))
+    some = [line(14) for _ in range(12)]
+    items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(3).collect()]
+    texts = {}
+    for k in range(60):
+        own = [line(15) for _ in range(6)]
+        if k % 4 == 0:
+            words = some[k % 12].split()
+            words[3] = f"edit{k}"
+            own.insert(2, " ".join(words))
+        texts[k] = "\n".join(own)
+        if k % 10 == 7:
+            texts[k] += "\n" + items[k % 3]
+        if k % 6 == 5:
+            words = texts[k - 3].replace("\n", " ").split()
+            words[10] = "other"
+            texts[k] = "\n".join(" ".join(words[i : i + 13]) for i in range(0, len(words), 13))
+    docs = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
+    after = {r.doc_id: r.text for r in pipe.drop_lines(spark, docs, SMALL).collect()}
+    plain = plain_lines(texts)
+    assert after == {k: t if t != texts[k] else texts[k] for k, t in plain.items() if t.strip()} and any(after[k] != texts[k] for k in after)
+
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in after.items() if (w := t.lower().split())}
+    least = dict.fromkeys(after)
+    for k in after:
+        least[k] = k
+    for a in sorted(sets):  # links, then the least of what they reach
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((least[a], least[b]))
+                least = {k: x if v == y else v for k, v in least.items()}
+    kept = pipe.drop_near_copies(spark, spark.createDataFrame(list(after.items()), docs.schema), SMALL)
+    left = {r.doc_id: r.text for r in kept.collect()}
+    assert left.keys() == set(least.values()) < after.keys()
+
+    held = {r.doc_id for r in pipe.drop_leaks(spark, kept, SMALL).collect()}
+    assert held == {k for k in left if not any(" ".join(i.split()) in " ".join(left[k].split()) for i in items)} and held < left.keys()
