@@ -60,6 +60,15 @@ def out_of_scope(cited_zones: Column, own_zones: Column) -> Column:
     return F.array_sort(F.array_except(cited_zones, own_zones))
 
 
+def confidence(score: Column, p0: Column, p1: Column, slack: float = 0.01) -> Column:
+    """An assessor's score where its answer is sound: all from 0 to 1, two probabilities that add up to 1, the second the score.
+
+    Null for any other answer; then the rules stand alone. The level never changes by it.
+    """
+    share = lambda x: x.isNotNull() & ~F.isnan(x) & x.between(0, 1)
+    return F.when(share(score) & share(p0) & share(p1) & (F.abs(p0 + p1 - 1) <= slack) & (F.abs(p1 - score) <= slack), score)
+
+
 def repeated(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("times")).filter("times > 1")
 
