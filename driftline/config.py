@@ -94,7 +94,7 @@ class Config:
         problems = []
         if self.matching.low_conf_m > self.matching.gate_m:
             problems.append("low_conf_m is over gate_m")
-        if not self.base.critical_m <= self.base.warning_m <= self.base.observation_m:
+        if not self.base.critical_m < self.base.warning_m < self.base.observation_m:
             problems.append("the rings do not nest")
         if self.warning.watch_conf > self.warning.alert_conf:
             problems.append("watch_conf is over alert_conf")

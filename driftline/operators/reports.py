@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.config import DEFAULT, Config
+from driftline.functions.geo import box_distance
 
 from .behaviour import as_of_join
 from .matching import pairs
@@ -182,14 +183,18 @@ def motion_results(claims: DataFrame, fixes: DataFrame, cfg: Config = DEFAULT) -
 def relevant(reports: DataFrame, frames: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """image_id, report_id of reports filed in the two hours up to a frame's capture that name no other place.
 
-    reports: report_id, t_s, zone_id, kind, located. frames: image_id, capture_s, zone_id. Both sides meet in buckets of the
-    look-back's length, so the range join is an equi join with at most two buckets a frame.
+    A report with coordinates counts where they lie in the frame's footprint or within the gate around it, whatever zone it
+    names; one with a zone alone where that is the frame's; one without a place everywhere, unless it is irrelevant.
+    reports: report_id, t_s, zone_id, kind, located, e_m, n_m. frames: image_id, capture_s, zone_id, west, east, south, north.
+    Both sides meet in buckets of the look-back's length, so the range join is an equi join with at most two buckets a frame.
     """
     width = cfg.matching.report_lookback_s
     r = reports.withColumn("bucket", F.floor(F.col("t_s") / width))
-    f = frames.select("image_id", "capture_s", F.col("zone_id").alias("sector"), F.explode(F.array(F.floor(F.col("capture_s") / width), F.floor(F.col("capture_s") / width) - 1)).alias("bucket"))
+    f = frames.select("image_id", "capture_s", "west", "east", "south", "north", F.col("zone_id").alias("sector"), F.explode(F.array(F.floor(F.col("capture_s") / width), F.floor(F.col("capture_s") / width) - 1)).alias("bucket"))
     both = r.join(f, "bucket").filter((F.col("t_s") <= F.col("capture_s")) & (F.col("t_s") >= F.col("capture_s") - width))
-    return both.filter(F.when(F.col("zone_id").isNotNull(), F.col("zone_id") == F.col("sector")).otherwise(F.col("kind") != "irrelevant")).select("image_id", "report_id")
+    away = box_distance(*map(F.col, ("e_m", "n_m", "west", "east", "south", "north")))
+    here = F.when(F.col("located"), away <= cfg.matching.report_gate_m).when(F.col("zone_id").isNotNull(), F.col("zone_id") == F.col("sector")).otherwise(F.col("kind") != "irrelevant")
+    return both.filter(here).select("image_id", "report_id")
 
 
 def fold_verdicts(rows: DataFrame) -> DataFrame:

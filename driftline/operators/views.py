@@ -41,7 +41,7 @@ def live(fixes: DataFrame, captures: DataFrame, alerts: DataFrame, clock_s: floa
 
 def passes(level_rank: Column, wanted: Column) -> Column:
     """Whether a level passes a filter: all, judged, unassessed, or a level's name."""
-    named = F.element_at(F.array(F.lit("CLEAR"), F.lit("WATCH"), F.lit("ALERT")), level_rank.cast("int") + 1)
+    named = F.when(level_rank == 0, "CLEAR").when(level_rank == 1, "WATCH").when(level_rank == 2, "ALERT")
     return F.when(wanted == "all", True).when(wanted == "judged", level_rank.isNotNull()).when(wanted == "unassessed", level_rank.isNull()).otherwise(F.coalesce(named == wanted, F.lit(False)))
 
 

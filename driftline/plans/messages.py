@@ -177,12 +177,12 @@ def rpt_sector(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("report_id", F.array_join(F.transform(rep.sector_checks(), lambda c: F.concat(c["claim"], F.lit("="), c["result"])), ",").alias("checks"))
 
 
-@query(_PARSED + """, f AS (SELECT s_suppkey AS image_id, (s_suppkey % 480) * 6e1 AS capture_s, 'Z' || lpad(CAST(s_suppkey % 25 + 1 AS VARCHAR), 2, '0') AS sector FROM supplier)
-SELECT f.image_id, report_id FROM parsed p JOIN f ON p.t_s <= capture_s AND p.t_s >= capture_s - 7200 WHERE CASE WHEN zone_id IS NOT NULL THEN zone_id = sector ELSE kind <> 'irrelevant' END""")
+@query(_PARSED + """, f AS (SELECT s_suppkey AS image_id, (s_suppkey % 480) * 6e1 AS capture_s, 'Z' || lpad(CAST(s_suppkey % 25 + 1 AS VARCHAR), 2, '0') AS sector, s_suppkey % 7 * 120e0 - 360 AS e0 FROM supplier)
+SELECT f.image_id, report_id FROM parsed p JOIN f ON p.t_s <= capture_s AND p.t_s >= capture_s - 7200 WHERE CASE WHEN lat IS NOT NULL THEN sqrt(greatest(e0 - 60 - e_m, 0, e_m - e0 - 60) ** 2 + greatest(-50 - n_m, 0, n_m - 50) ** 2) <= 150 WHEN zone_id IS NOT NULL THEN zone_id = sector ELSE kind <> 'irrelevant' END""")
 def join_report_frame(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
-    f = table(spark, sf, "supplier").select(k.alias("image_id"), ((k % 480) * 60.0).alias("capture_s"), F.format_string("Z%02d", k % 25 + 1).alias("zone_id"))
-    return rep.relevant(parsed(spark, sf).drop("image_id"), f)
+    f = table(spark, sf, "supplier").select(k.alias("image_id"), ((k % 480) * 60.0).alias("capture_s"), F.format_string("Z%02d", k % 25 + 1).alias("zone_id"), ((k % 7) * 120.0 - 420).alias("west"), ((k % 7) * 120.0 - 300).alias("east"), F.lit(-50.0).alias("south"), F.lit(50.0).alias("north"))
+    return rep.relevant(parsed(spark, sf).drop("image_id").withColumn("located", F.col("lat").isNotNull()), f)
 
 
 @query(with_("ranked") + f"""SELECT track_id AS report_id, {rs('sqrt((ae - be) ** 2 + (an - bn) ** 2)', 3)} AS moved_m, CASE WHEN sqrt((ae - be) ** 2 + (an - bn) ** 2) > 25 THEN 'pass' ELSE 'fail' END AS motion_result FROM (SELECT track_id, coalesce(be0, e_m) AS be, coalesce(bn0, n_m) AS bn, e_m AS ae, n_m AS an FROM (SELECT track_id, arg_max(e_m, t_s) AS e_m, arg_max(n_m, t_s) AS n_m, arg_min(e_m, abs(t_s - (t_last - 600))) FILTER (WHERE abs(t_s - (t_last - 600)) <= 300) AS be0, arg_min(n_m, abs(t_s - (t_last - 600))) FILTER (WHERE abs(t_s - (t_last - 600)) <= 300) AS bn0 FROM ranked GROUP BY track_id))""")

@@ -214,3 +214,35 @@ def test_breakdown_sums_to_the_score(spark):
     rows = spark.createDataFrame([(0.335, 0.115, 0.114, 0.106), (0.5, 0.125, 0.125, 0.25)], "s double, a double, b double, c double")
     for s, parts in rows.select("s", rules.breakdown(F.col("s"), [F.col("a"), F.col("b"), F.col("c")])).collect():
         assert sum(parts) == int(np.floor(s * 100 + 0.5))
+
+
+def test_reports_of_a_frame(spark):
+    """Coordinates come before a zone's name and are held to the footprint; an irrelevant report counts only by its place."""
+    from driftline.operators import reports
+
+    rows = [
+        (1, 100.0, "Z01", "sighting", True, 200.0, 0.0), (2, 100.0, "Z01", "sighting", True, 300.0, 0.0), (3, 100.0, "Z02", "sighting", True, 0.0, 0.0), (4, 100.0, "Z01", "sighting", False, None, None),
+        (5, 100.0, "Z02", "sighting", False, None, None), (6, 100.0, None, "irrelevant", False, None, None), (7, 100.0, None, "irrelevant", True, 0.0, 0.0), (8, 100.0, None, "unknown", False, None, None), (9, 9000.0, None, "unknown", False, None, None),
+    ]
+    r = spark.createDataFrame(rows, "report_id long, t_s double, zone_id string, kind string, located boolean, e_m double, n_m double")
+    f = spark.createDataFrame([(1, 7300.0, "Z01", -60.0, 60.0, -50.0, 50.0)], "image_id long, capture_s double, zone_id string, west double, east double, south double, north double")
+    assert {x.report_id for x in reports.relevant(r, f).collect()} == {1, 3, 4, 7, 8}
+
+
+def test_levels_and_their_filters(spark):
+    from pyspark.sql import functions as F
+
+    from driftline.operators import views
+
+    rows = spark.createDataFrame([(None,), (0,), (1,), (2,)], "level_rank int")
+    for wanted, want in {"all": {None, 0, 1, 2}, "judged": {0, 1, 2}, "unassessed": {None}, "ALERT": {2}, "CLEAR": {0}}.items():
+        assert {r.level_rank for r in rows.filter(views.passes(F.col("level_rank"), F.lit(wanted))).collect()} == want
+
+
+def test_a_lone_sector_is_the_circle(spark):
+    from driftline.operators import views
+
+    zones = spark.createDataFrame([("Z01", 0, 0.0, 100.0, 10.0, 20.0)], "zone_id string, zone_no int, zone_e double, zone_n double, radius_m double, buffer_m double")
+    assert [tuple(r) for r in views.sectors(zones).collect()] == [("Z01", 0.0, 360.0, 130.0)]
+    two = zones.unionByName(zones.selectExpr("'Z02' zone_id", "1 zone_no", "100e0 zone_e", "0e0 zone_n", "radius_m", "buffer_m"))
+    assert {r.zone_id: (r.from_deg, r.to_deg) for r in views.sectors(two).collect()} == {"Z01": (225.0, 405.0), "Z02": (45.0, 225.0)}
