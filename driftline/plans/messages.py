@@ -185,11 +185,12 @@ def join_report_frame(spark: SparkSession, sf: str) -> DataFrame:
     return rep.relevant(parsed(spark, sf).drop("image_id").withColumn("located", F.col("lat").isNotNull()), f)
 
 
-@query(with_("ranked") + f"""SELECT track_id AS report_id, {rs('sqrt((ae - be) ** 2 + (an - bn) ** 2)', 3)} AS moved_m, CASE WHEN sqrt((ae - be) ** 2 + (an - bn) ** 2) > 25 THEN 'pass' ELSE 'fail' END AS motion_result FROM (SELECT track_id, coalesce(be0, e_m) AS be, coalesce(bn0, n_m) AS bn, e_m AS ae, n_m AS an FROM (SELECT track_id, arg_max(e_m, t_s) AS e_m, arg_max(n_m, t_s) AS n_m, arg_min(e_m, abs(t_s - (t_last - 600))) FILTER (WHERE abs(t_s - (t_last - 600)) <= 300) AS be0, arg_min(n_m, abs(t_s - (t_last - 600))) FILTER (WHERE abs(t_s - (t_last - 600)) <= 300) AS bn0 FROM ranked GROUP BY track_id))""")
+@query(with_("ranked") + f"""SELECT track_id AS report_id, {rs('sqrt((ae - be) ** 2 + (an - bn) ** 2)', 3)} AS moved_m, CASE WHEN CASE track_id % 4 WHEN 0 THEN sqrt((ae - be) ** 2 + (an - bn) ** 2) > 25 WHEN 1 THEN sqrt((ae - be) ** 2 + (an - bn) ** 2) <= 25 WHEN 2 THEN sqrt(be ** 2 + bn ** 2) - sqrt(ae ** 2 + an ** 2) > 25 ELSE sqrt(ae ** 2 + an ** 2) - sqrt(be ** 2 + bn ** 2) > 25 END THEN 'pass' ELSE 'fail' END AS motion_result FROM (SELECT track_id, coalesce(be0, e_m) AS be, coalesce(bn0, n_m) AS bn, e_m AS ae, n_m AS an FROM (SELECT track_id, arg_max(e_m, t_s) AS e_m, arg_max(n_m, t_s) AS n_m, arg_min(e_m, abs(t_s - (t_last - 600))) FILTER (WHERE abs(t_s - (t_last - 600)) <= 300) AS be0, arg_min(n_m, abs(t_s - (t_last - 600))) FILTER (WHERE abs(t_s - (t_last - 600)) <= 300) AS bn0 FROM ranked GROUP BY track_id))""")
 def rpt_motion(spark: SparkSession, sf: str) -> DataFrame:
-    """A claim of movement about each track, filed at its last fix."""
+    """A claim about each track's motion, of each kind in turn, filed at its last fix."""
+    kinds = F.array(*map(F.lit, ("moving", "stopped", "toward_base", "receding")))
     f = fixes(spark, sf)
-    claims = f.groupBy("track_id").agg(F.max("t_s").alias("t_s")).select(F.col("track_id").alias("report_id"), "track_id", "t_s", F.lit("moving").alias("motion"))
+    claims = f.groupBy("track_id").agg(F.max("t_s").alias("t_s")).select(F.col("track_id").alias("report_id"), "track_id", "t_s", F.element_at(kinds, (F.col("track_id") % 4 + 1).cast("int")).alias("motion"))
     return rep.motion_results(claims, f).select("report_id", r("moved_m", 3).alias("moved_m"), "motion_result")
 
 

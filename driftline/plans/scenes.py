@@ -213,9 +213,9 @@ def match_quality(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("matched", (F.col("rate") + 0.0).alias("rate"), *(r(c).alias(c) for c in ("median_m", "p90_m", "max_m")), "within_5", "within_10", "within_25")
 
 
-@query(with_("frames", "scene") + "SELECT image_id, track_id FROM (SELECT s_suppkey AS image_id, (s_suppkey % 480) * 6e1 AS capture_s FROM supplier) JOIN (SELECT track_id, floor(t_s / 60) * 60 % 28800 AS t FROM scene) ON t = capture_s")
+@query(with_("frames", "scene") + "SELECT image_id, track_id FROM (SELECT s_suppkey AS image_id, (s_suppkey % 480) * 6e1 AS capture_s FROM supplier) JOIN (SELECT track_id, floor(t_s / 60) * 60 % 600 AS t FROM scene) ON t = capture_s")
 def join_capture(spark: SparkSession, sf: str) -> DataFrame:
-    t = scene_tracks(spark, sf).select("track_id", (F.floor(F.col("t_s") / 60) * 60 % 28800).cast("double").alias("capture_s"))
+    t = scene_tracks(spark, sf).select("track_id", (F.floor(F.col("t_s") / 60) * 60 % 600).cast("double").alias("capture_s"))
     return frames(spark, sf).join(t, "capture_s").select("image_id", "track_id")
 
 
