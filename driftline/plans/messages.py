@@ -168,12 +168,14 @@ def ev_trust(spark: SparkSession, sf: str) -> DataFrame:
     return near(spark, sf).groupBy("verdict").agg(F.count("*").alias("reports")).select("verdict", rep.trust(F.col("verdict")).alias("trust"), "reports")
 
 
-@query(_PARSED + """, d AS (SELECT image_id, count(*) AS n_seen, count(*) FILTER (WHERE cls IN ('truck', 'bus')) AS n_heavy FROM (SELECT l_suppkey % 10 AS image_id, ['car', 'van', 'truck', 'bus'][l_linenumber % 4 + 1] AS cls FROM lineitem WHERE l_quantity = 50 AND l_linenumber < 7 AND l_suppkey % 3 = 0) GROUP BY image_id)
-SELECT report_id, CASE WHEN kind = 'negative_claim' THEN CASE WHEN coalesce(n_seen, 0) = 0 THEN 'heavy_absent=untestable' WHEN n_heavy = 0 THEN 'heavy_absent=pass' ELSE 'heavy_absent=fail' END WHEN kind = 'zone_status' THEN CASE WHEN image_id = 3 THEN 'calm=fail' WHEN coalesce(n_seen, 0) > 0 THEN 'calm=pass' ELSE 'calm=untestable' END ELSE 'location=untestable' END AS checks FROM parsed LEFT JOIN d USING (image_id) WHERE lat IS NULL AND zone_id IS NOT NULL""")
+@query(with_("dets", "judged") + _PARSED.removeprefix("WITH RECURSIVE").join([", ", ""]) + """, d AS (SELECT image_id, count(*) AS n_seen, count(*) FILTER (WHERE cls IN ('truck', 'bus')) AS n_heavy FROM dets GROUP BY image_id), al AS (SELECT image_id, count(*) AS n_alarming FROM judged JOIN scene USING (track_id) WHERE level = 'ALERT' GROUP BY image_id)
+SELECT report_id, CASE WHEN kind = 'negative_claim' THEN CASE WHEN coalesce(n_seen, 0) = 0 THEN 'heavy_absent=untestable' WHEN n_heavy = 0 THEN 'heavy_absent=pass' ELSE 'heavy_absent=fail' END WHEN kind = 'zone_status' THEN CASE WHEN n_alarming > 0 THEN 'calm=fail' WHEN n_seen > 0 THEN 'calm=pass' ELSE 'calm=untestable' END ELSE 'location=untestable' END AS checks FROM parsed LEFT JOIN d USING (image_id) LEFT JOIN al USING (image_id) WHERE lat IS NULL AND zone_id IS NOT NULL""")
 def rpt_sector(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").filter("l_quantity = 50 AND l_linenumber < 7 AND l_suppkey % 3 = 0")
-    seen = li.groupBy((F.col("l_suppkey") % 10).alias("image_id")).agg(F.count("*").alias("n_seen"), F.count_if((F.col("l_linenumber") % 4).isin(2, 3)).alias("n_heavy"))
-    rows = parsed(spark, sf).filter("lat IS NULL AND zone_id IS NOT NULL").join(seen, "image_id", "left").fillna(0, ["n_seen", "n_heavy"]).withColumn("n_alarming", (F.col("image_id") == 3).cast("int"))
+    from .tracks import judged
+
+    seen = scene_detections(spark, sf).groupBy("image_id").agg(F.count("*").alias("n_seen"), F.count_if(F.col("cls").isin("truck", "bus")).alias("n_heavy"))
+    alarming = judged(spark, sf).filter("level = 'ALERT'").join(scene_tracks(spark, sf).select("track_id", "image_id"), "track_id").groupBy("image_id").agg(F.count("*").alias("n_alarming"))
+    rows = parsed(spark, sf).filter("lat IS NULL AND zone_id IS NOT NULL").join(seen, "image_id", "left").join(alarming, "image_id", "left").fillna(0, ["n_seen", "n_heavy", "n_alarming"])
     return rows.select("report_id", F.array_join(F.transform(rep.sector_checks(), lambda c: F.concat(c["claim"], F.lit("="), c["result"])), ",").alias("checks"))
 
 

@@ -48,16 +48,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def boxes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Line items are detector boxes of their supplier's frame, on a coarse raster so that many overlap. As the comparison's SQL
-    does, those under a score of 0.3 are left out, unless the whole table is asked for."""
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items are detector boxes of their supplier's frame, on a coarse raster so that many overlap."""
     from pyspark.sql import Window
 
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
     c = F.col
-    rows = table(spark, sf_dir, "lineitem")
-    rows = rows if whole else rows.filter("l_discount >= 0.03e0")
-    return rows.select(
+    return table(spark, sf_dir, "lineitem").select(
         c("l_suppkey").alias("image_id"), (F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)) - 1).alias("idx"),
         F.element_at(F.array(*map(F.lit, ("car", "van", "truck", "bus"))), (c("l_linenumber") % 4 + 1).cast("int")).alias("cls"), (c("l_discount") * 10).alias("score"),
         ((c("l_partkey") % 40) * 24.0).alias("x"), ((c("l_orderkey") % 30) * 18.0).alias("y"), (20 + c("l_quantity") * 0.5).alias("w"), (20 + c("l_tax") * 200).alias("h"),
@@ -121,7 +118,7 @@ CASE WHEN loiter_min >= 30 THEN {'kind': 'loiter', 'family': 'surveillance', 'st
     "judged": """SELECT *, CASE level_rank WHEN 2 THEN 'ALERT' WHEN 1 THEN 'WATCH' ELSE 'CLEAR' END AS level, least(1, greatest(0, (0.5e0 * coalesce(1 - least(1, eta_s / 1800), 0) + 0.3e0 * (1 - least(1, range_m / 3200)) + 0.2e0 * conf) * CASE WHEN heavy THEN 1.25e0 ELSE 1 END)) AS priority FROM (SELECT *, CASE WHEN len(list_filter(raw, lambda s: s.strong)) > 0 OR len(list_distinct(list_transform(raw, lambda s: s.family))) > 1 THEN 2 WHEN len(raw) > 0 THEN 1 ELSE 0 END AS level_rank, list_concat(list_filter(raw, lambda s: s.strong), list_filter(raw, lambda s: NOT s.strong)) AS signals FROM signalled)""",
     "frames": """SELECT s_suppkey AS image_id, CAST(960 + 400 * (s_suppkey % 3) AS INTEGER) AS width_px, CAST(540 + 225 * (s_suppkey % 3) AS INTEGER) AS height_px, 39.9e0 + (s_suppkey % 50) / 1e3 AS lat_top, CASE WHEN s_suppkey % 37 = 0 THEN 39.9e0 + (s_suppkey % 50) / 1e3 + 4e-3 ELSE 39.9e0 + (s_suppkey % 50) / 1e3 - 4e-3 END AS lat_bottom, 32.8e0 + (s_suppkey % 90) / 1e3 AS lon_left, 32.8e0 + (s_suppkey % 90) / 1e3 + 9.3e-3 + (s_suppkey % 11) / 1e4 AS lon_right, (s_suppkey % 480) * 6e1 AS capture_s FROM supplier""",
     "sized": """SELECT *, abs(lon_right - lon_left) * (111412.84e0 * cos(radians(lat_top)) - 93.5e0 * cos(3 * radians(lat_top)) + 0.118e0 * cos(5 * radians(lat_top))) / width_px AS gsd_x, abs(lat_top - lat_bottom) * (111132.92e0 - 559.82e0 * cos(2 * radians(lat_top)) + 1.175e0 * cos(4 * radians(lat_top))) / height_px AS gsd_y FROM frames""",
-    "boxes": """SELECT l_suppkey AS image_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) - 1 AS idx, ['car', 'van', 'truck', 'bus'][l_linenumber % 4 + 1] AS cls, l_discount * 10 AS score, (l_partkey % 40) * 24e0 AS x, (l_orderkey % 30) * 18e0 AS y, 20 + l_quantity * 0.5e0 AS w, 20 + l_tax * 200 AS h FROM lineitem WHERE l_discount >= 0.03e0""",
+    "boxes": """SELECT l_suppkey AS image_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) - 1 AS idx, ['car', 'van', 'truck', 'bus'][l_linenumber % 4 + 1] AS cls, l_discount * 10 AS score, (l_partkey % 40) * 24e0 AS x, (l_orderkey % 30) * 18e0 AS y, 20 + l_quantity * 0.5e0 AS w, 20 + l_tax * 200 AS h FROM lineitem""",
     "scene": """SELECT track_id % 10 + CAST(floor(track_id / 150) AS BIGINT) * 10 AS image_id, track_id, t_s, e_m / 40 AS e_m, n_m / 40 AS n_m FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY t_s DESC, fix_no DESC) AS back FROM fixes) WHERE back = 1""",
     "dets": """SELECT image_id, track_id * 2 AS det_id, e_m + (track_id * 7) % 40 AS e_m, n_m + (track_id * 3) % 11 AS n_m, CASE WHEN track_id % 4 = 0 THEN 'truck' ELSE 'car' END AS cls, (track_id % 10) / 1e1 AS score FROM scene WHERE track_id % 6 <> 0 UNION ALL SELECT image_id, track_id * 2 + 1, e_m + 5, n_m + 4, 'van', 0.9e0 FROM scene WHERE track_id % 5 = 0""",
 }

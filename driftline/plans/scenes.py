@@ -149,20 +149,20 @@ def det_georef(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def det_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    return per.funnel(per.detections(boxes(spark, sf, whole=True), sized(spark, sf)))
+    return per.funnel(per.detections(boxes(spark, sf), sized(spark, sf)))
 
 
-_PRED = "SELECT image_id, string_agg(cls || ' ' || CAST(CAST(floor(score * 100) AS INTEGER) AS VARCHAR) || 'e-2 ' || CAST(CAST(x AS INTEGER) AS VARCHAR) || ' ' || CAST(CAST(y AS INTEGER) AS VARCHAR) || ' ' || CAST(CAST(w AS INTEGER) AS VARCHAR) || ' ' || CASE WHEN image_id % 7 = 0 AND idx = 3 THEN '-1' WHEN image_id % 7 = 1 AND idx = 2 THEN 'x' ELSE CAST(CAST(floor(h) AS INTEGER) AS VARCHAR) END, ' ' ORDER BY idx) AS prediction FROM boxes WHERE idx < 12 GROUP BY image_id"
+_PRED = "SELECT image_id, string_agg(cls || ' ' || CAST(CAST(floor(score * 100) AS INTEGER) AS VARCHAR) || 'e-2 ' || CAST(CAST(x AS INTEGER) AS VARCHAR) || ' ' || CAST(CAST(y AS INTEGER) AS VARCHAR) || ' ' || CAST(CAST(w AS INTEGER) AS VARCHAR) || ' ' || CASE WHEN image_id % 7 = 0 AND idx = 3 THEN '-1' WHEN image_id % 7 = 1 AND idx = 2 THEN 'x' ELSE CAST(CAST(floor(h) AS INTEGER) AS VARCHAR) END, ' ' ORDER BY idx) AS prediction FROM boxes GROUP BY image_id"
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     c, whole = F.col, lambda x: F.floor(x).cast("string")
     last = F.when((c("image_id") % 7 == 0) & (c("idx") == 3), "-1").when((c("image_id") % 7 == 1) & (c("idx") == 2), "x").otherwise(whole(c("h")))
     word = F.concat_ws(" ", "cls", F.concat(whole(c("score") * 100), F.lit("e-2")), whole(c("x")), whole(c("y")), whole(c("w")), last)
-    return boxes(spark, sf).filter("idx < 12").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", word.alias("s")))).alias("g")).select("image_id", F.array_join(F.transform("g", lambda x: x["s"]), " ").alias("prediction"))
+    return boxes(spark, sf).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", word.alias("s")))).alias("g")).select("image_id", F.array_join(F.transform("g", lambda x: x["s"]), " ").alias("prediction"))
 
 
-@query(with_("boxes") + "SELECT image_id, CASE WHEN image_id % 7 = 0 AND n > 3 THEN 'size' WHEN image_id % 7 = 1 AND n > 2 THEN 'number_parse' ELSE 'ok' END AS outcome, CASE WHEN image_id % 7 = 0 AND n > 3 THEN 3 WHEN image_id % 7 = 1 AND n > 2 THEN 2 END AS bad_group, CASE WHEN image_id % 7 = 0 AND n > 3 OR image_id % 7 = 1 AND n > 2 THEN 0 ELSE n END AS n_boxes FROM (SELECT image_id, count(*) AS n FROM boxes WHERE idx < 12 GROUP BY image_id)")
+@query(with_("boxes") + "SELECT image_id, CASE WHEN image_id % 7 = 0 AND n > 3 THEN 'size' WHEN image_id % 7 = 1 AND n > 2 THEN 'number_parse' ELSE 'ok' END AS outcome, CASE WHEN image_id % 7 = 0 AND n > 3 THEN 3 WHEN image_id % 7 = 1 AND n > 2 THEN 2 END AS bad_group, CASE WHEN image_id % 7 = 0 AND n > 3 OR image_id % 7 = 1 AND n > 2 THEN 0 ELSE n END AS n_boxes FROM (SELECT image_id, count(*) AS n FROM boxes GROUP BY image_id)")
 def src_predstring(spark: SparkSession, sf: str) -> DataFrame:
     got = per.parse_predictions(predictions(spark, sf))
     return got.select("image_id", F.coalesce("fault.rule", F.lit("ok")).alias("outcome"), F.col("fault.group").alias("bad_group"), F.when(F.col("boxes").isNull(), 0).otherwise(F.size("boxes")).alias("n_boxes"))
