@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import displays, messages, scenes, shapes, sources, tracks, views  # noqa: F401
+from . import activity, displays, messages, scenes, shapes, sources, tracks, views  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
