@@ -95,3 +95,15 @@ def ledger(spend: DataFrame, soft: float, hard: float) -> DataFrame:
     w = Window.partitionBy("purpose").orderBy("at", "e_key")
     total = F.sum(F.round(F.col("cost") * 100).cast("long")).over(w) / 100
     return spend.withColumn("total", total).withColumn("soft", F.col("total") > soft).withColumn("hard", F.col("total") > hard)
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """One row: images, answers, fallbacks, cache_hits, valid_rate, total_cost, median_ms (the upper one) of runs of a model.
+
+    runs: valid, cached, cents, latency_ms. Runs are counted by latency first, so the median is looked up in a short table.
+    """
+    c = F.col
+    per = runs.groupBy("latency_ms").agg(F.count("*").alias("n"), F.count_if("valid").alias("valid"), F.count_if("cached").alias("cached"), F.sum("cents").alias("cents"))
+    upto = F.aggregate(F.array_sort(F.collect_list(F.struct("latency_ms", "n"))), F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at")), lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when((acc["at"].isNull()) & (acc["seen"] + x["n"] > F.floor(F.sum("n") / 2)), x["latency_ms"].cast("long")).otherwise(acc["at"]).alias("at")))["at"]
+    whole = per.agg(F.sum("n").alias("images"), F.sum("valid").alias("answers"), F.sum("cached").alias("cache_hits"), F.sum("cents").alias("cents"), upto.alias("median_ms"))
+    return whole.select("images", "answers", (c("images") - c("answers")).alias("fallbacks"), "cache_hits", F.round(c("answers") / c("images"), 4).alias("valid_rate"), (c("cents") / 100).alias("total_cost"), "median_ms")
