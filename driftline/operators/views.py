@@ -85,3 +85,57 @@ POINTS = ("K", "KD", "D", "GD", "G", "GB", "B", "KB")
 def heading_text(degrees: Column) -> Column:
     eighth = (_whole(F.pmod(degrees, F.lit(360.0)) / 45) % 8 + 1).cast("int")
     return F.when(degrees.isNull(), "—").otherwise(F.concat(F.element_at(F.array(*map(F.lit, POINTS)), eighth), F.lit(" "), _grouped(_whole(degrees)), F.lit("°")))
+
+
+def frame_log(frames: DataFrame, levels: DataFrame, decisions: DataFrame, clock_s: float) -> DataFrame:
+    """image_id, capture_s, level, n_alert, n_watch, decision of every frame captured by a clock.
+
+    levels: image_id, level of each vehicle. decisions: image_id, seq, verdict, of which a frame's last one counts.
+    """
+    counts = levels.groupBy("image_id").agg(F.count_if(F.col("level") == "ALERT").alias("n_alert"), F.count_if(F.col("level") == "WATCH").alias("n_watch"))
+    last = decisions.groupBy("image_id").agg(F.max_by("verdict", "seq").alias("decision"))
+    rows = frames.filter(F.col("capture_s") <= clock_s).select("image_id", "capture_s").join(counts, "image_id", "left").join(last, "image_id", "left").fillna(0, ["n_alert", "n_watch"])
+    return rows.select("image_id", "capture_s", F.when(F.col("n_alert") > 0, "ALERT").when(F.col("n_watch") > 0, "WATCH").otherwise("CLEAR").alias("level"), "n_alert", "n_watch", "decision")
+
+
+def motion(fixes: DataFrame, vehicles: DataFrame, clock_s: float, window_s: float, most: int = 12) -> DataFrame:
+    """track_id, level, score, points, far_m, axis_m of the range curves drawn: the vehicles of highest score that have two points.
+
+    vehicles: track_id, level, score; those in CLEAR are not drawn. axis_m is the furthest point drawn, up to the next kilometre, two at least.
+    """
+    shown = vehicles.filter(F.col("level").isin("ALERT", "WATCH"))
+    curves = fixes.filter(F.col("t_s").between(clock_s - window_s, clock_s)).groupBy("track_id").agg(F.count("*").alias("points"), F.max(F.hypot("e_m", "n_m")).alias("far_m")).filter("points >= 2")
+    drawn = curves.join(shown, "track_id").orderBy(F.desc("score"), "track_id").limit(most)
+    axis = F.greatest(F.lit(2000.0), F.ceil(F.max("far_m").over(Window.partitionBy(F.lit(1))) / 1000) * 1000.0)
+    return drawn.select("track_id", "level", "score", "points", "far_m", axis.alias("axis_m"))
+
+
+def recorded(requests: DataFrame, alerts: DataFrame) -> DataFrame:
+    """request_id, target_id, level, error of every decision that a reviewer asks to record.
+
+    requests: request_id, image_id, track_id (null: the frame's alert of highest priority), operator, note. alerts: image_id,
+    track_id, level, priority. error: no_operator_or_note, no_alert or null; with an error there is no target.
+    """
+    c, named = F.col, lambda x: F.trim(F.coalesce(F.col(x), F.lit(""))) != ""
+    one = alerts.groupBy("image_id", "track_id").agg(F.max("level").alias("level"), F.max("priority").alias("priority"))
+    lead = one.groupBy("image_id").agg(F.max_by(F.struct("track_id", "level"), F.struct("priority", -c("track_id"))).alias("lead"))
+    own = one.select("image_id", "track_id", c("level").alias("own_level"))
+    rows = requests.join(lead, "image_id", "left").join(own, ["image_id", "track_id"], "left")
+    target = F.when(c("track_id").isNull(), c("lead")).when(c("own_level").isNotNull(), F.struct("track_id", c("own_level").alias("level")))
+    error = F.when(~(named("operator") & named("note")), "no_operator_or_note").when(target.isNull(), "no_alert")
+    return rows.select("request_id", error.alias("error"), F.when(error.isNull(), target).alias("x")).select("request_id", c("x.track_id").alias("target_id"), "x.level", "error")
+
+
+def found_reports(reports: DataFrame, zones: DataFrame, words: str = "", zone: str = "", kind: str | None = None, most: int = 25) -> DataFrame:
+    """report_id, kind, zone_id, n_found: the first reports by id whose text holds some words, in a zone by id or name, of a kind.
+
+    n_found counts all that fit. reports: report_id, text, zone_id, kind; repeated ids count once. Case is ignored.
+    """
+    lower = lambda x: F.lower(F.coalesce(x, F.lit("")))
+    rows = reports.filter(F.contains(lower(F.col("text")), F.lit(words.lower())))
+    if zone:
+        named = zones.filter(F.contains(lower(F.col("zone_id")), F.lit(zone.lower())) | F.contains(lower(F.col("name")), F.lit(zone.lower()))).select("zone_id")
+        rows = rows.join(named, "zone_id", "left_semi")
+    rows = (rows.filter(F.col("kind") == kind) if kind else rows).groupBy("report_id").agg(F.min(F.struct("kind", "zone_id")).alias("x"))
+    first = rows.orderBy("report_id").limit(most)
+    return first.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n_found")))).select("report_id", "x.*", "n_found")

@@ -246,3 +246,31 @@ def test_a_lone_sector_is_the_circle(spark):
     assert [tuple(r) for r in views.sectors(zones).collect()] == [("Z01", 0.0, 360.0, 130.0)]
     two = zones.unionByName(zones.selectExpr("'Z02' zone_id", "1 zone_no", "100e0 zone_e", "0e0 zone_n", "radius_m", "buffer_m"))
     assert {r.zone_id: (r.from_deg, r.to_deg) for r in views.sectors(two).collect()} == {"Z01": (225.0, 405.0), "Z02": (45.0, 225.0)}
+
+
+def test_headlines_of_tracks_that_enter_no_zone(spark):
+    from driftline.operators import activity
+
+    rows = [(t, i, 600.0 * i, e, 0.0) for t, es in {1: [9000, 9000, 9000, 9000, 9000], 2: [9000, 8000, 7000, 6000, 5000], 3: [5000, 6000, 7000, 8000, 9000], 4: [9000, 8000, 7000, 8000, 9000], 5: [5000, 4000, 2200, 4000, 5000], 6: [5000, 4000, 1000, 4000, 5000], 7: [9000]}.items() for i, e in enumerate(map(float, es))]
+    fixes = spark.createDataFrame(rows, "track_id long, fix_no long, t_s double, e_m double, n_m double")
+    zones = spark.createDataFrame([("Z01", 1, "near", 1000.0, 0.0, 250.0, 1000.0)], "zone_id string, zone_no long, name string, zone_e double, zone_n double, radius_m double, buffer_m double")
+    points = activity.route(fixes, 3000.0)
+    got = {x.track_id: (x.kind, x.name, round(x.value, 3)) for x in activity.headline(activity.summary(points, 25.0), activity.passes(points, zones)).collect()}
+    assert got == {1: ("parked", None, 40.0), 2: ("approaching", None, 4000.0), 3: ("receding", None, 4000.0), 4: ("roaming", None, 4000.0), 5: ("buffer", "near", 19.722), 6: ("zone", "near", 19.167), 7: ("roaming", None, 0.0)}
+
+
+def test_route_ends_between_fixes_at_the_clock(spark):
+    from driftline.operators import activity
+
+    fixes = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 1, 600.0, 600.0, 0.0), (2, 2, 900.0, 1.0, 1.0), (3, 3, 0.0, 5.0, 0.0), (3, 4, 300.0, 5.0, 0.0)], "track_id long, fix_no long, t_s double, e_m double, n_m double")
+    got = sorted((x.track_id, x.t_s, x.e_m, x.complete) for x in activity.route(fixes, 300.0).collect())
+    assert got == [(1, 0.0, 0.0, False), (1, 300.0, 300.0, False), (3, 0.0, 5.0, True), (3, 300.0, 5.0, True)]
+
+
+def test_recorded_decisions(spark):
+    from driftline.operators import views
+
+    alerts = spark.createDataFrame([(1, 10, "WATCH", 0.4), (1, 11, "ALERT", 0.9)], "image_id long, track_id long, level string, priority double")
+    asked = spark.createDataFrame([(1, 1, None, "op", "x"), (2, 1, 10, "op", "x"), (3, 1, 99, "op", "x"), (4, 2, None, "op", "x"), (5, 1, None, " ", "x"), (6, 1, 10, "op", None)], "request_id long, image_id long, track_id long, operator string, note string")
+    got = {x.request_id: (x.target_id, x.level, x.error) for x in views.recorded(asked, alerts).collect()}
+    assert got == {1: (11, "ALERT", None), 2: (10, "WATCH", None), 3: (None, None, "no_alert"), 4: (None, None, "no_alert"), 5: (None, None, "no_operator_or_note"), 6: (None, None, "no_operator_or_note")}
