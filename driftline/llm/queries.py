@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, lines, packing, quality, repetition, sharding, substrings, token_files, urls
+from . import decontaminate, jaccard, lines, packing, phrases, quality, repetition, sharding, substrings, token_files, urls
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
@@ -57,8 +57,12 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.split(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_substrings, op3_urls, op4_quality, op5_lines, op6_repetition, op7_token_files, op8_decontaminate, op9_jaccard, op10_shards)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_pack, op2_substrings, op3_urls, op4_quality, op5_lines, op6_repetition, op7_token_files, op8_decontaminate, op9_jaccard, op10_shards, op11_collocations)} | {"pipeline": corpus_pipeline.run}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -106,6 +110,21 @@ m AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, m.b FROM r JOIN m ON r.y = m.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(y) FROM r WHERE r.x = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)"""
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS s FROM documents),
+w AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS o(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM g WHERE k >= 2),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM c, (VALUES (2), (3)) AS o(m), (VALUES (1), (2), (3)) AS s(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+cuts AS (SELECT c.lang, c.phrase, a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM c, (VALUES (1), (2), (3)) AS s(j), g x, g y
+  WHERE j < c.k AND x.lang = c.lang AND y.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ') AND y.phrase = array_to_string(c.w[j + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, encode(best.phrase)) AS rank FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": OP2, "op3_urls": OP3, "op5_lines": OP5, "op9_jaccard": OP9}
+    return {"op2_substrings": OP2, "op3_urls": OP3, "op5_lines": OP5, "op9_jaccard": OP9, "op11_collocations": OP11}
