@@ -28,7 +28,7 @@ COVERED = 80
 #: Phrases of a language.
 TOP = 2000
 #: Words in one shard; a longer document is a shard of its own.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 #: Characters of text whose codes one task counts.
 PART_CHARS = 12_000_000
 #: Bits of a code within its part.
@@ -86,7 +86,7 @@ def states(ids: np.ndarray, depth: int = MOST_WORDS) -> list[tuple[np.ndarray, n
     """
     n = len(ids)
     back, open_ = [ids], ids != 0
-    lengths = open_.astype(np.int64)
+    lengths = open_.astype(np.int8)
     for j in range(1, depth):
         earlier = np.zeros(n, ids.dtype)
         earlier[j:] = ids[: max(0, n - j)]
@@ -125,7 +125,7 @@ def sequence_codes(code: np.ndarray, ids: np.ndarray, ends: np.ndarray, length:
 
 def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
     shard = Shard()
-    for b in (s for batch in batches for s in portions(batch)):
+    for b in (s for batch in batches for s in portions(batch, 1 << 20)):
         by: dict[str, list[bytes]] = {}
         for lang, text in zip(b.column("lang").to_pylist(), utf8(b), strict=True):
             by.setdefault(lang, []).append(text)

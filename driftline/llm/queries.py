@@ -116,11 +116,11 @@ OP11 = rf"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS s FROM documents),
 w AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM p),
 total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
-g AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS o(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 30),
-c AS (SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM g WHERE k >= 2),
+g AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS o(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM g WHERE k >= 2),
 inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM c, (VALUES (2), (3)) AS o(m), (VALUES (1), (2), (3)) AS s(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
-cuts AS (SELECT c.lang, c.phrase, a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM c, (VALUES (1), (2), (3)) AS s(j), g x, g y
-  WHERE j < c.k AND x.lang = c.lang AND y.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ') AND y.phrase = array_to_string(c.w[j + 1:], ' ')),
+parts AS MATERIALIZED (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail FROM c, (VALUES (1), (2), (3)) AS s(j) WHERE j < k),
+cuts AS (SELECT p.lang, p.phrase, a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM parts p JOIN g x ON x.lang = p.lang AND x.phrase = p.head JOIN g y ON y.lang = p.lang AND y.phrase = p.tail),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 ranked AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, encode(best.phrase)) AS rank FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
 SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
