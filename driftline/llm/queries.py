@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, lines, packing, phrases, quality, repetition, sharding, substrings, token_files, urls
+from . import decontaminate, jaccard, lines, packing, phrases, quality, repetition, search, sharding, substrings, token_files, urls
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
@@ -61,8 +61,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(_table(spark, sf_dir, "documents"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(search.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_substrings, op3_urls, op4_quality, op5_lines, op6_repetition, op7_token_files, op8_decontaminate, op9_jaccard, op10_shards, op11_collocations)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_pack, op2_substrings, op3_urls, op4_quality, op5_lines, op6_repetition, op7_token_files, op8_decontaminate, op9_jaccard, op10_shards, op11_collocations, op13_search)} | {"pipeline": corpus_pipeline.run}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -125,6 +129,18 @@ best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase
 ranked AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, encode(best.phrase)) AS rank FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
 SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
 
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, {_TERMS} AS t FROM documents),
+c AS (SELECT count(*) AS n, sum(len(t)) AS l FROM d WHERE len(t) > 0),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+tf AS MATERIALIZED (SELECT i, term, count(*) AS tf FROM (SELECT i, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY term, n),
+s AS (SELECT item_id, tf.i, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(t) * n) // l))))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN d ON d.i = tf.i, c GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s JOIN d USING (i) WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": OP2, "op3_urls": OP3, "op5_lines": OP5, "op9_jaccard": OP9, "op11_collocations": OP11}
+    return {"op2_substrings": OP2, "op3_urls": OP3, "op5_lines": OP5, "op9_jaccard": OP9, "op11_collocations": OP11, "op13_search": OP13}
