@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, lines, packing, phrases, quality, repetition, search, sharding, substrings, token_files, urls
+from . import decontaminate, jaccard, lines, packing, phrases, quality, repetition, search, sharding, substrings, suffixes, token_files, urls
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
@@ -61,12 +61,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(_table(spark, sf_dir, "documents"))
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(search.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_substrings, op3_urls, op4_quality, op5_lines, op6_repetition, op7_token_files, op8_decontaminate, op9_jaccard, op10_shards, op11_collocations, op13_search)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_pack, op2_substrings, op3_urls, op4_quality, op5_lines, op6_repetition, op7_token_files, op8_decontaminate, op9_jaccard, op10_shards, op11_collocations, op12_suffixes, op13_search)} | {"pipeline": corpus_pipeline.run}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -129,6 +133,16 @@ best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase
 ranked AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, encode(best.phrase)) AS rank FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
 SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
 
+OP12 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, k, hash(substr(h, 2 * k - 1, 100)) AS s FROM (SELECT doc_id, h, unnest(generate_series(1, length(h) // 2 - 49)) AS k FROM d WHERE length(h) >= 100)),
+least AS (SELECT s, min(doc_id) AS o FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT DISTINCT doc_id, k FROM win JOIN least USING (s) WHERE o < doc_id),
+run AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS e FROM (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM (SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 50 THEN 0 ELSE 1 END AS new FROM hit)) GROUP BY doc_id, g),
+part AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 1) AS b FROM run),
+kept AS (SELECT doc_id, sum(e - a) AS n, count(*) AS m, string_agg(substr(h, 2 * b - 1, 2 * (a - b)), '' ORDER BY a) || substr(any_value(h), 2 * max(e) - 1) AS t FROM part JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h)::BIGINT // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(m, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
 _TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 OP13 = rf"""
@@ -143,4 +157,4 @@ SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": OP2, "op3_urls": OP3, "op5_lines": OP5, "op9_jaccard": OP9, "op11_collocations": OP11, "op13_search": OP13}
+    return {"op2_substrings": OP2, "op3_urls": OP3, "op5_lines": OP5, "op9_jaccard": OP9, "op11_collocations": OP11, "op12_suffixes": OP12, "op13_search": OP13}

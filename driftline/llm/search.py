@@ -82,7 +82,7 @@ def built(ids: list[int | None], texts: list[list[bytes]], n_documents: int, n_t
     pair, tf = np.unique(term << 32 | np.repeat(np.arange(len(texts)), lengths), return_counts=True)
     term, doc = pair >> 32, pair & 0xFFFFFFFF
     impact = impacts(tf, lengths[doc], n_documents, n_terms)
-    order = np.lexsort((doc, -impact, term))
+    order = np.argsort(term << 20 | (1 << 20) - 1 - impact, kind="stable")  # impacts stay below 2**20; documents stay in order
     starts = np.searchsorted(term, np.arange(len(number) + 1))
     levels = max(1, len(texts) - 1).bit_length()
     bits = matrix(doc[order], levels)
