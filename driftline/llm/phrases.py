@@ -28,9 +28,9 @@ COVERED = 80
 #: Phrases of a language.
 TOP = 2000
 #: Words in one shard; a longer document is a shard of its own.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 #: Characters of text whose codes one task counts.
-PART_CHARS = 12_000_000
+PART_CHARS = 8_000_000
 #: Bits of a code within its part.
 CODE_BITS = 40
 #: Bits in the table of what may be frequent, at least and at most (32 MB). Beyond its size it passes more, and loses nothing.
