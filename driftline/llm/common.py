@@ -46,6 +46,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_clean(df: DataFrame, name: str) -> DataFrame:
+    """As cut; the shuffle files behind df go as soon as it is written, where this Spark can do that."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return cut(df, name)
+    finally:
+        conf.unset(key) if was is None else conf.set(key, was)
+
+
 def column(name: str) -> str:
     """A column's name, quoted: it may hold dots."""
     return "`" + name.replace("`", "``") + "`"

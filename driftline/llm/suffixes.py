@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, cut, keyed, mix, portions, slices, utf8
+from .common import BASE, cut_clean, keyed, mix, portions, slices, utf8
 
 #: Bytes of a string, and of the grams that give its code.
 LENGTH, GRAM = 50, 24
@@ -325,6 +326,14 @@ def range_least(table: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.n
     return out
 
 
+def packed(data: bytes) -> pa.Array:
+    return pa.array([zstandard.ZstdCompressor(level=1).compress(data)], pa.binary())
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each part that has entries, their places in order."""
     order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
@@ -348,7 +357,7 @@ def coded(texts: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
             short = code.view(np.uint8).reshape(-1, 8)[:, :CODE_BYTES]
             for p, of in by_part(dealt(code, parts), parts):
                 docs, times = np.unique(text[of], return_counts=True)
-                row = [pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys[docs], times.astype(np.int32), short[of], number[of]))]
+                row = [pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys[docs], times.astype(np.int32), short[of])), packed(number[of].tobytes())]
                 yield pa.RecordBatch.from_arrays(row, ["part", "keys", "times", "codes", "numbers"])
 
     return texts.select("key", "text").mapInArrow(run, "part int, keys binary, times binary, codes binary, numbers binary").repartitionById(parts, F.col("part"))
@@ -365,7 +374,7 @@ def met(codes: DataFrame, hot: int) -> DataFrame:
         while by:
             rows = list(zip(*by.popitem()[1], strict=True))
             key = np.repeat(np.frombuffer(b"".join(rows[0]), np.int64), np.frombuffer(b"".join(rows[1]), np.int32))
-            number = np.frombuffer(b"".join(rows[3]), np.uint32)
+            number = np.frombuffer(b"".join(map(unpacked, rows[3])), np.uint32)
             code = np.zeros((len(number), 8), np.uint8)
             code[:, :CODE_BYTES] = np.frombuffer(b"".join(rows[2]), np.uint8).reshape(-1, CODE_BYTES)
             del rows
@@ -402,7 +411,7 @@ def sent(texts: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
         def rows() -> Iterator[pa.RecordBatch]:
             for p, (own, members) in held.items():
                 counts = np.array([len(x) - length + 1 for x in own], np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([b"".join(own)], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([np.array(members, MEMBERS).tobytes()], pa.binary())], ["part", "bytes", "counts", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), packed(b"".join(own)), pa.array([counts.tobytes()], pa.binary()), packed(b"".join(np.ascontiguousarray(np.array(members, MEMBERS)[c]).tobytes() for c in MEMBERS.names))], ["part", "bytes", "counts", "members"])
             held.clear()
 
         for b in (s for batch in batches for s in portions(batch, 1 << 21)):
@@ -484,9 +493,13 @@ def decided(shards: DataFrame, length: int, most: int) -> DataFrame:
             own: dict[bytes, int] = {}
             every = []
             for text, counts, members in by.popitem()[1]:
+                text, members = unpacked(text), unpacked(members)
                 ends = np.cumsum(np.frombuffer(counts, np.uint8).astype(np.int64) + length - 1).tolist()
                 number = np.array([own.setdefault(text[lo:hi], len(own)) for lo, hi in zip([0, *ends[:-1]], ends, strict=True)])
-                part = np.frombuffer(members, MEMBERS).copy()
+                part = np.empty(len(members) // MEMBERS.itemsize, MEMBERS)
+                for c in MEMBERS.names:
+                    kind, at = MEMBERS[c], len(part) * MEMBERS.fields[c][1]
+                    part[c] = np.frombuffer(members, kind, len(part), at)
                 part["stretch"] = number[part["stretch"]]
                 every.append(part)
             found = removed(own, np.concatenate(every), length, most)
@@ -532,8 +545,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     """
     texts = keyed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))).withColumn("key", F.xxhash64("doc_id", "text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    same = cut(met(coded(texts, 1 + total // part_bytes, length, gram), hot), "met")
+    same = cut_clean(met(coded(texts, 1 + total // part_bytes, length, gram), hot), "met")
     asked = same.agg(F.sum("n")).first()[0] or 0
     own = texts.join(same.groupBy("key").agg(F.collect_list("numbers").alias("numbers")), "key")
     shards = sent(own, 1 + asked * (length + (length - gram + 1) // 2) // shard_bytes, length, gram)
-    return without(docs, cut(decided(shards, length, queue_bytes), "removed"))
+    return without(docs, cut_clean(decided(shards, length, queue_bytes), "removed"))
