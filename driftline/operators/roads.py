@@ -35,4 +35,4 @@ def candidates(points: DataFrame, segments: DataFrame, radius_m: float, most: in
         best = Window.partitionBy("point_id", "way_id").orderBy("offset_m", "seg_id")
         rows = rows.withColumn("k", F.row_number().over(best)).filter("k = 1")
     w = Window.partitionBy("point_id").orderBy("offset_m", "seg_id")
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("point_id", "seg_id", "way_id", "along", "offset_m", "rank")
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("point_id", "seg_id", "way_id", "along", "px", "py", "offset_m", "rank")

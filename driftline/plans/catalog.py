@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import activity, displays, messages, scenes, screens, shapes, sources, speech, tracks, views  # noqa: F401
+from . import activity, displays, messages, network, scenes, screens, shapes, sources, speech, tracks, views  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
