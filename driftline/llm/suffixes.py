@@ -32,6 +32,8 @@ LENGTH, GRAM = 50, 24
 STRETCH = 64
 #: Bytes of text whose codes one task counts, and bytes of stretches in one shard.
 PART_BYTES, SHARD_BYTES = 48_000_000, 8_000_000
+#: Documents whose met stretches one task gathers.
+BUCKET_ROWS = 20_000
 #: Occurrences of a code beyond which its strings are dealt out one by one, by a hash of each.
 HOT = 1 << 15
 #: Bytes of queues that one sort holds in memory.
@@ -351,8 +353,9 @@ def coded(texts: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for batch in batches for s in portions(batch, 1 << 21)):
-            keys = b.column("key").to_numpy(zero_copy_only=False)
-            text, _, _, code, _ = stretches(utf8(b), length, gram)
+            keys, once = np.unique(b.column("key").to_numpy(zero_copy_only=False), return_index=True)  # rows that repeat wholly count once
+            found = utf8(b)
+            text, _, _, code, _ = stretches([found[i] for i in once.tolist()], length, gram)
             number = (np.arange(len(text)) - np.searchsorted(text, text)).astype(np.uint32)
             short = code.view(np.uint8).reshape(-1, 8)[:, :CODE_BYTES]
             for p, of in by_part(dealt(code, parts), parts):
@@ -363,8 +366,8 @@ def coded(texts: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "part int, keys binary, times binary, codes binary, numbers binary").repartitionById(parts, F.col("part"))
 
 
-def met(codes: DataFrame, hot: int) -> DataFrame:
-    """key, numbers, n: the stretches of each document whose code another document has too; the highest bit of a number marks codes of more than hot stretches."""
+def met(codes: DataFrame, buckets: int, hot: int) -> DataFrame:
+    """For each bucket of documents the stretches whose code another document has too; the highest bit of a number marks codes of more than hot stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[tuple]] = {}
@@ -387,15 +390,31 @@ def met(codes: DataFrame, hot: int) -> DataFrame:
             keep = np.repeat(several, size)
             number = np.where(np.repeat(size > hot, size), number | np.uint32(1 << 31), number)[keep]
             key = key[keep]
+            for p, of in by_part(dealt(key.view(np.uint64), buckets), buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), packed(key[of].tobytes()), packed(number[of].tobytes())], ["bucket", "keys", "numbers"])
+
+    return codes.mapInArrow(run, "bucket int, keys binary, numbers binary").repartitionById(buckets, F.col("bucket"))
+
+
+def gathered(answers: DataFrame) -> DataFrame:
+    """key, numbers, n: for each document the stretches that were met, of all parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[tuple]] = {}
+        for b in batches:
+            for bucket, keys, numbers in zip(*(b.column(c).to_pylist() for c in ("bucket", "keys", "numbers")), strict=True):
+                by.setdefault(bucket, []).append((np.frombuffer(unpacked(keys), np.int64), np.frombuffer(unpacked(numbers), np.uint32)))
+        while by:
+            key, number = (np.concatenate(x) for x in zip(*by.popitem()[1], strict=True))
             order = np.argsort(key, kind="stable")
             key, number = key[order], number[order]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
-            ends = np.append(first[1:], len(key)).tolist() if len(key) else []
+            ends = np.append(first[1:], len(key))
             for at in range(0, len(first), 4096):
-                lo, hi = first[at : at + 4096].tolist(), ends[at : at + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(key[first[at : at + 4096]]), pa.array([number[x:y].tobytes() for x, y in zip(lo, hi, strict=True)], pa.binary()), pa.array([y - x for x, y in zip(lo, hi, strict=True)], pa.int64())], ["key", "numbers", "n"])
+                lo, hi = first[at : at + 4096], ends[at : at + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(key[lo]), pa.array([number[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()), pa.array(hi - lo)], ["key", "numbers", "n"])
 
-    return codes.mapInArrow(run, "key long, numbers binary, n long")
+    return answers.mapInArrow(run, "key long, numbers binary, n long")
 
 
 MEMBERS = np.dtype([("doc", "<i8"), ("tkey", "<i8"), ("start", "<u4"), ("stretch", "<u4")])
@@ -420,7 +439,7 @@ def sent(texts: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
             begin = np.searchsorted(text, np.arange(len(found)))
             keep, hot = np.zeros(len(text), bool), np.zeros(len(text), bool)
             for i, numbers in enumerate(b.column("numbers").to_pylist()):
-                x = np.frombuffer(b"".join(numbers), np.uint32)
+                x = np.frombuffer(numbers, np.uint32)
                 at = begin[i] + (x & np.uint32((1 << 31) - 1))
                 keep[at] = True
                 hot[at] = x >> np.uint32(31) > 0
@@ -544,9 +563,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     keep the same; an empty table gives no rows; other columns are ignored.
     """
     texts = keyed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))).withColumn("key", F.xxhash64("doc_id", "text"))
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    same = cut_clean(met(coded(texts, 1 + total // part_bytes, length, gram), hot), "met")
+    rows, total = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    same = cut_clean(gathered(met(coded(texts, 1 + total // part_bytes, length, gram), 1 + rows // BUCKET_ROWS, hot)), "met")
     asked = same.agg(F.sum("n")).first()[0] or 0
-    own = texts.join(same.groupBy("key").agg(F.collect_list("numbers").alias("numbers")), "key")
+    own = texts.join(same.drop("n"), "key")
     shards = sent(own, 1 + asked * (length + (length - gram + 1) // 2) // shard_bytes, length, gram)
     return without(docs, cut_clean(decided(shards, length, queue_bytes), "removed"))
