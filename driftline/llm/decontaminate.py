@@ -12,6 +12,7 @@ holds too few of the item's words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -224,13 +225,17 @@ def documents_with(text: DataFrame, items: Items) -> np.ndarray:
         items = ready.value
         memo, counts = Words(items.known), np.zeros(len(items.every) + 1, np.int64)
         for b in (s for batch in batches for s in slices(batch)):
-            for t in utf8(b):
-                words = t.split()
-                numbers = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-                code = np.concatenate([items.codes(numbers), numbers]) if items.singles else items.codes(numbers)
-                code = np.unique(code[code >= 0])
-                at = np.minimum(np.searchsorted(items.every, code), len(items.every) - 1)
-                counts[at[items.every[at] == code]] += 1
+            texts = [t.split() for t in utf8(b)]
+            doc = np.repeat(np.arange(len(texts)), [len(w) for w in texts])
+            numbers = np.fromiter(map(memo.__getitem__, chain.from_iterable(texts)), np.int64, len(doc))
+            code, of = items.codes(numbers), doc[:-1]
+            code = np.where(of == doc[1:], code, -1)
+            if items.singles:
+                code, of = np.concatenate([code, numbers]), np.concatenate([of, doc])
+            code, of = code[code >= 0], of[code >= 0]
+            at = np.minimum(np.searchsorted(items.every, code), len(items.every) - 1)
+            held = items.every[at] == code
+            counts[: len(items.every)] += np.bincount(np.unique(of[held] * len(items.every) + at[held]) % len(items.every), minlength=len(items.every))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["pair", "n"])
 
