@@ -187,22 +187,27 @@ def fill(left: dict[int, int], room: dict[int, list[list]], size: int) -> None:
 
 
 def tightened(made: list[tuple[tuple[int, ...], int]], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """The sequences, or fewer: those with more than some room are dissolved and packed again, down to ever less room, until
-    there are as few as the tokens need or all have been dissolved."""
+    """The sequences, or fewer: those with more than some room are dissolved and packed again, down to ever less room; then those
+    with room together with a small share of the full ones, those of the most pieces first. Most full patterns stay as fitted."""
     total = lambda groups: sum(c for _, c in groups)
     least = -(-sum(sum(g) * c for g, c in made) // size)
-    for most in (size // 4, size // 16, size // 64, size // 256, 0, -1):
+    for most, share in ((size // 4, 0), (size // 16, 0), (size // 64, 0), (size // 256, 0), (0, 0), *((0, 1 / k) for k in (256, 64, 16, 8, 4))):
         if total(made) <= least:
             break
         pool: dict[int, int] = defaultdict(int)
-        for g, c in made:
-            if size - sum(g) > most:
-                for n in g:
-                    pool[n] += c
+        stay = []
+        more = int(total(made) * share)
+        for g, c in sorted(made, key=lambda x: -len(x[0])):
+            loose = c if size - sum(g) > most else min(c, more) if len(g) > 1 else 0
+            if loose and size - sum(g) <= most:
+                more -= loose
+            for n in g:
+                pool[n] += loose
+            if c > loose:
+                stay.append((g, c - loose))
         room: dict[int, list[list]] = defaultdict(list)
-        fill(pool, room, size)
-        again = [(g, c) for g, c in made if size - sum(g) <= most] + [(g, c) for groups in room.values() for g, c in groups if c]
-        made = min(made, again, key=total)
+        fill({n: c for n, c in pool.items() if c}, room, size)
+        made = min(made, stay + [(g, c) for groups in room.values() for g, c in groups if c], key=total)
     return made
 
 

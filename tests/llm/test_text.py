@@ -68,6 +68,18 @@ def test_plan_places_each_length_once():
     assert placed == lengths
 
 
+def test_plan_keeps_its_patterns(monkeypatch):
+    """Most sequences that the fitted patterns fill stand in the plan as they were, and there are as few as the tokens need."""
+    rng = np.random.default_rng(1)
+    lengths = dict(Counter(np.minimum(4096, rng.lognormal(6, 1.2, 6000).astype(int) + 1).tolist()))
+    before, tightened = [], packing.tightened
+    monkeypatch.setattr(packing, "tightened", lambda made, size: before.append(list(made)) or tightened(made, size))
+    made = packing.plan(lengths, 4096)
+    full = lambda groups: Counter({tuple(sorted(g)): c for g, c in groups if sum(g) == 4096 and len(g) > 1})
+    assert (full(before[0]) & full(made)).total() >= 0.6 * full(before[0]).total() > 0
+    assert sum(c for _, c in made) == -(-sum(n * c for n, c in lengths.items()) // 4096)
+
+
 def test_token_files(spark, texts):
     rows = sorted(queries.op7_token_files(spark, SMALL).collect(), key=lambda r: r.doc_id)
     at, tokenizer = 0, Tokenizer.from_file(BYTES)
