@@ -500,8 +500,8 @@ RANGES = np.dtype([("doc", "<i8"), ("tkey", "<i8"), ("start", "<u4"), ("end", "<
 _SHIFT = bytes(min(c + 1, PAD) for c in range(256))
 
 
-def decided(shards: DataFrame, length: int, most: int) -> DataFrame:
-    """doc_id, tkey, ranges: pairs of first byte and end, of 32 bits each, that go."""
+def decided(shards: DataFrame, buckets: int, length: int, most: int) -> DataFrame:
+    """For each bucket of documents what goes, of one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[tuple]] = {}
@@ -515,23 +515,45 @@ def decided(shards: DataFrame, length: int, most: int) -> DataFrame:
                 text, members = unpacked(text), unpacked(members)
                 ends = np.cumsum(np.frombuffer(counts, np.uint8).astype(np.int64) + length - 1).tolist()
                 number = np.array([own.setdefault(text[lo:hi], len(own)) for lo, hi in zip([0, *ends[:-1]], ends, strict=True)])
-                part = np.empty(len(members) // MEMBERS.itemsize, MEMBERS)
-                for c in MEMBERS.names:
-                    kind, at = MEMBERS[c], len(part) * MEMBERS.fields[c][1]
-                    part[c] = np.frombuffer(members, kind, len(part), at)
+                part = columns(members, MEMBERS)
                 part["stretch"] = number[part["stretch"]]
                 every.append(part)
             found = removed(own, np.concatenate(every), length, most)
             del own, every
+            key = mix(found["doc"].astype(np.uint64) ^ mix(found["tkey"].astype(np.uint64)))
+            for p, of in by_part(dealt(key, buckets), buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), packed(b"".join(np.ascontiguousarray(found[of][c]).tobytes() for c in RANGES.names))], ["bucket", "ranges"])
+
+    return shards.mapInArrow(run, "bucket int, ranges binary").repartitionById(buckets, F.col("bucket"))
+
+
+def columns(data: bytes, kind: np.dtype) -> np.ndarray:
+    """Rows of a kind, of which each column was written after the other."""
+    out = np.empty(len(data) // kind.itemsize, kind)
+    for c in kind.names:
+        out[c] = np.frombuffer(data, kind[c], len(out), len(out) * kind.fields[c][1])
+    return out
+
+
+def by_document(answers: DataFrame) -> DataFrame:
+    """doc_id, tkey, ranges: for each document pairs of first byte and end, of 32 bits each, that go, of all shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for bucket, ranges in zip(b.column("bucket").to_pylist(), b.column("ranges").to_pylist(), strict=True):
+                by.setdefault(bucket, []).append(columns(unpacked(ranges), RANGES))
+        while by:
+            found = np.concatenate(by.popitem()[1])
             found = found[np.lexsort((found["start"], found["tkey"], found["doc"]))]
             new = np.flatnonzero(np.append(True, (found["doc"][1:] != found["doc"][:-1]) | (found["tkey"][1:] != found["tkey"][:-1]))) if len(found) else np.empty(0, np.int64)
             pairs = np.stack([found["start"], found["end"]], 1)
+            ends = np.append(new[1:], len(found))
             for at in range(0, len(new), 4096):
-                lo = new[at : at + 4096]
-                hi = np.append(new[1:], len(found))[at : at + 4096]
+                lo, hi = new[at : at + 4096], ends[at : at + 4096]
                 yield pa.RecordBatch.from_arrays([pa.array(found["doc"][lo]), pa.array(found["tkey"][lo]), pa.array([pairs[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())], ["doc_id", "tkey", "ranges"])
 
-    return shards.mapInArrow(run, "doc_id long, tkey long, ranges binary")
+    return answers.mapInArrow(run, "doc_id long, tkey long, ranges binary")
 
 
 def without(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -543,7 +565,7 @@ def without(docs: DataFrame, found: DataFrame) -> DataFrame:
             for doc, text, ranges in zip(b.column("own_id").to_pylist(), utf8(b), b.column("ranges").to_pylist(), strict=True):
                 spans, kept = 0, text
                 if ranges:
-                    edge = np.frombuffer(b"".join(ranges), np.uint32).reshape(-1, 2).astype(np.int64)
+                    edge = np.frombuffer(ranges, np.uint32).reshape(-1, 2).astype(np.int64)
                     depth = np.cumsum(np.bincount(edge[:, 0], minlength=len(text) + 1) - np.bincount(edge[:, 1], minlength=len(text) + 1))[:-1]
                     gone = depth > 0
                     spans = int((gone & np.append(True, ~gone[:-1])).sum())
@@ -552,7 +574,7 @@ def without(docs: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     text = keyed(docs).withColumn("own_id", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    return text.join(found.groupBy("doc_id", "tkey").agg(F.collect_list("ranges").alias("ranges")), ["doc_id", "tkey"], "left").select("own_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return text.join(found, ["doc_id", "tkey"], "left").select("own_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, queue_bytes: int = QUEUE_BYTES, part_bytes: int = PART_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -564,8 +586,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     """
     texts = keyed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))).withColumn("key", F.xxhash64("doc_id", "text"))
     rows, total = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    same = cut_clean(gathered(met(coded(texts, 1 + total // part_bytes, length, gram), 1 + rows // BUCKET_ROWS, hot)), "met")
+    buckets = 1 + rows // BUCKET_ROWS
+    same = cut_clean(gathered(met(coded(texts, 1 + total // part_bytes, length, gram), buckets, hot)), "met")
     asked = same.agg(F.sum("n")).first()[0] or 0
     own = texts.join(same.drop("n"), "key")
     shards = sent(own, 1 + asked * (length + (length - gram + 1) // 2) // shard_bytes, length, gram)
-    return without(docs, cut_clean(decided(shards, length, queue_bytes), "removed"))
+    return without(docs, cut_clean(by_document(decided(shards, buckets, length, queue_bytes)), "removed"))
