@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.config import DEFAULT, Config
@@ -59,6 +59,12 @@ def vehicle_word(folded: Column) -> Column:
     return _first(((c, rf"\b{w}") for w, c in VEHICLES), folded)
 
 
+def _once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that later ones may refer to often: behind a generator each is evaluated once, and not again for every reference."""
+    made = rows.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once"))
+    return made.select("*", "_once.*").drop("_once")
+
+
 def parse(rows: DataFrame, zones: DataFrame) -> DataFrame:
     """Adds lat, lon, zone_id, kind, vehicle_type, count, usual_count, motion, still_for_min, friendly, tip to rows with a text.
 
@@ -66,23 +72,24 @@ def parse(rows: DataFrame, zones: DataFrame) -> DataFrame:
     """
     names = zones.agg(F.sort_array(F.collect_list(F.struct((-F.length("name")).alias("by"), "zone_no", "zone_id", fold(F.col("name")).alias("folded")))).alias("zones"))
     few = names.select("zones")  # one row; its size is that of the zone table, which is a dimension of the exercise
-    out = rows.crossJoin(F.broadcast(few)).withColumn("folded", fold(F.coalesce("text", F.lit(""))))
+    place = lambda g: _found(F.coalesce("text", F.lit("")), COORDINATES, g)
+    out = _once(rows.crossJoin(F.broadcast(few)), {"folded": fold(F.coalesce("text", F.lit(""))), **{f"place_{g}": place(g) for g in range(1, 5)}})
     f = F.col("folded")
-    number = lambda g: _found(F.coalesce("text", F.lit("")), COORDINATES, g)
+    number = lambda g: F.col(f"place_{g}")
     sign = lambda g, minus: F.when(F.upper(number(g)) == minus, -1.0).otherwise(1.0)
     lat, lon = number(1).cast("double") * sign(2, "S"), number(3).cast("double") * sign(4, "W")
     good = lat.between(-90, 90) & lon.between(-180, 180)
-    out = out.withColumns({
+    out = _once(out, {
         "lat": F.when(good, lat), "lon": F.when(good, lon), "zone_id": F.get(F.filter("zones", lambda z: f.contains(z["folded"])), F.lit(0))["zone_id"],
-        "word": vehicle_word(f), "n_word": _found(f, COUNT_TYPE, 1).cast("int"), "t_word": _first(((c, rf"^{w}$") for w, c in VEHICLES), _found(f, COUNT_TYPE, 2)),
-    }).drop("zones")
+        "word": vehicle_word(f), "n_word": _found(f, COUNT_TYPE, 1).cast("int"), "t_word": _first(((c, rf"^{w}$") for w, c in VEHICLES), _found(f, COUNT_TYPE, 2)), "any_motion": _first(MOTIONS, f),
+    }).drop("zones", *(f"place_{g}" for g in range(1, 5)))
     located = F.col("lat").isNotNull() | F.col("zone_id").isNotNull()
     kind = F.coalesce(_first(KINDS, f), F.when(~located, "irrelevant").when(F.col("word").isNotNull() | F.col("n_word").isNotNull(), "sighting"), F.lit("unknown"))
-    out = out.withColumn("kind", kind)
+    out = _once(out, {"kind": kind})
     k, sighting, claim = F.col("kind"), F.col("kind") == "sighting", F.col("kind").isin("sighting", "identified_friendly")
     counted = F.when(F.col("n_word").isNull(), F.col("word")).when((F.col("t_word") == "vehicle") & (F.col("word") != "vehicle"), F.col("word")).otherwise(F.col("t_word"))
-    motion = _first(MOTIONS, f)
-    return out.withColumns({
+    motion = F.col("any_motion")
+    return _once(out, {
         "vehicle_type": F.when(sighting & f.rlike(HEAVY), "heavy").when(k != "density", counted),
         "count": F.when(k == "density", None).when(F.col("n_word").isNotNull(), F.col("n_word")).when(sighting & f.rlike(SINGULAR), 1),
         "usual_count": F.when(k == "density", _found(f, USUAL_COUNT, 1).cast("int")),
@@ -90,7 +97,7 @@ def parse(rows: DataFrame, zones: DataFrame) -> DataFrame:
         "still_for_min": F.when(claim & (motion == "stopped"), _first(STILL_FOR, f)),
         "friendly": k == "identified_friendly",
         "tip": sighting & f.rlike(TIP),
-    }).drop("folded", "word", "n_word", "t_word")
+    }).drop("folded", "word", "n_word", "t_word", "any_motion")
 
 
 def needs_model(parsed: DataFrame) -> DataFrame:
@@ -160,24 +167,31 @@ def trust(verdict_: Column) -> Column:
 
 
 def motion_results(claims: DataFrame, fixes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """report_id, moved_m, closed_m, motion_result. claims: report_id, track_id, t_s, motion.
+    """report_id, moved_m, closed_m, still_min, motion_result. claims: report_id, track_id, t_s, motion, still_for_min.
 
     Movement is read between the fixes nearest ten minutes before and after the report, either of which may be the one at its
-    time. Claims of having stood for some minutes are held to still_minutes.
+    time. A claim of having stood for some minutes is held to still_min, how long the track had stayed by its place at the report;
+    that is looked up for such claims alone.
     """
     w = 600.0
     parts = F.explode(F.array(*(F.struct(F.lit(n).alias("which"), F.lit(d).alias("d")) for n, d in (("before", -w), ("at", 0.0), ("after", w)))))
     asked = claims.select("track_id", "report_id", "t_s", parts.alias("p")).select("track_id", F.struct("report_id", "p.which").alias("key"), (F.col("t_s") + F.col("p.d")).alias("target_s"))
     got = as_of_join(asked, fixes, 300.0, nearest=True)
     of = lambda n: F.max(F.when(F.col("key.which") == n, F.col("fix"))).alias(n)
-    one = got.groupBy(F.col("key.report_id").alias("report_id")).agg(of("before"), of("at"), of("after")).join(claims.select("report_id", "motion"), "report_id")
+    one = got.groupBy(F.col("key.report_id").alias("report_id")).agg(of("before"), of("at"), of("after")).join(claims.select("report_id", "track_id", "motion", "still_for_min"), "report_id")
     b, a = F.coalesce("before", "at"), F.coalesce("after", "at")
     moved = F.sqrt((a["e_m"] - b["e_m"]) ** 2 + (a["n_m"] - b["n_m"]) ** 2)
     reach = lambda x: F.sqrt(x["e_m"] ** 2 + x["n_m"] ** 2)
-    one = one.withColumns({"moved_m": F.when(F.col("at").isNotNull(), moved), "closed_m": F.when(F.col("at").isNotNull(), reach(b) - reach(a))})
     still = cfg.kinematics.stationary_m
-    held = F.when(F.col("motion") == "stopped", F.col("moved_m") <= still).when(F.col("motion") == "moving", F.col("moved_m") > still).when(F.col("motion") == "toward_base", F.col("closed_m") > still).otherwise(-F.col("closed_m") > still)
-    return one.select("report_id", "moved_m", "closed_m", F.when(F.col("at").isNull(), "untestable").when(held, "pass").otherwise("fail").alias("motion_result"))
+    lasting = one.filter(F.col("at").isNotNull() & (F.col("motion") == "stopped") & (F.col("still_for_min") > 0)).select("report_id", "track_id", "at")
+    earlier = lasting.join(fixes.select("track_id", F.struct("t_s", "fix_no").alias("k"), "e_m", "n_m"), "track_id").filter(F.col("k.t_s") <= F.col("at.t_s"))
+    away = F.sqrt((F.col("e_m") - F.col("at.e_m")) ** 2 + (F.col("n_m") - F.col("at.n_m")) ** 2) > still
+    # The last fix away from the place comes before all those that count; both are found in one pass over sorted pairs.
+    order = Window.partitionBy("report_id").orderBy(F.desc("k.t_s"), F.desc("k.fix_no")).rowsBetween(Window.unboundedPreceding, 0)
+    stood = earlier.withColumn("left", F.max(away.cast("int")).over(order)).filter("left = 0").groupBy("report_id").agg(((F.max("at.t_s") - F.min("k.t_s")) / 60).alias("still_min"))
+    one = one.join(stood, "report_id", "left").withColumns({"moved_m": F.when(F.col("at").isNotNull(), moved), "closed_m": F.when(F.col("at").isNotNull(), reach(b) - reach(a))})
+    held = F.when((F.col("motion") == "stopped") & (F.col("still_for_min") > 0), F.coalesce("still_min", F.lit(0.0)) >= F.col("still_for_min")).when(F.col("motion") == "stopped", F.col("moved_m") <= still).when(F.col("motion") == "moving", F.col("moved_m") > still).when(F.col("motion") == "toward_base", F.col("closed_m") > still).otherwise(-F.col("closed_m") > still)
+    return one.select("report_id", "moved_m", "closed_m", "still_min", F.when(F.col("at").isNull(), "untestable").when(held, "pass").otherwise("fail").alias("motion_result"))
 
 
 def relevant(reports: DataFrame, frames: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

@@ -118,17 +118,25 @@ def rpt_needs_llm(spark: SparkSession, sf: str) -> DataFrame:
 
 _NEAR = with_("dets") + _PARSED.removeprefix("WITH RECURSIVE").join([", ", ""]) + """,
 n AS (SELECT report_id, count(*) AS n_150, count(*) FILTER (WHERE d <= 50) AS n_50, count(*) FILTER (WHERE d <= 50 AND cls = 'car') AS n_car, count(*) FILTER (WHERE d <= 50 AND cls = 'van') AS n_van, count(*) FILTER (WHERE d <= 50 AND cls = 'truck') AS n_truck, count(*) FILTER (WHERE d <= 50 AND cls = 'bus') AS n_bus FROM (SELECT report_id, cls, sqrt((p.e_m - x.e_m) ** 2 + (p.n_m - x.n_m) ** 2) AS d FROM parsed p JOIN dets x USING (image_id)) WHERE d <= 150 GROUP BY report_id),
-l AS (SELECT report_id, string_agg(CAST(track_id AS VARCHAR), ',' ORDER BY d, track_id) AS tracks FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY d, track_id) AS k FROM (SELECT report_id, track_id, sqrt((p.e_m - x.e_m) ** 2 + (p.n_m - x.n_m) ** 2) AS d FROM parsed p JOIN scene x USING (image_id)) WHERE d <= 150) WHERE k <= 3 GROUP BY report_id),
-near AS (SELECT p.*, coalesce(n_150, 0) AS n_150, coalesce(n_50, 0) AS n_50, coalesce(n_car, 0) AS n_car, coalesce(n_van, 0) AS n_van, coalesce(n_truck, 0) AS n_truck, coalesce(n_bus, 0) AS n_bus, tracks FROM parsed p LEFT JOIN n USING (report_id) LEFT JOIN l USING (report_id) WHERE lat IS NOT NULL),
+l AS (SELECT report_id, string_agg(CAST(track_id AS VARCHAR), ',' ORDER BY d, track_id) AS tracks, min(track_id) FILTER (WHERE k = 1) AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY d, track_id) AS k FROM (SELECT report_id, track_id, sqrt((p.e_m - x.e_m) ** 2 + (p.n_m - x.n_m) ** 2) AS d FROM parsed p JOIN scene x USING (image_id)) WHERE d <= 150) WHERE k <= 3 GROUP BY report_id),
+near AS (SELECT p.*, coalesce(n_150, 0) AS n_150, coalesce(n_50, 0) AS n_50, coalesce(n_car, 0) AS n_car, coalesce(n_van, 0) AS n_van, coalesce(n_truck, 0) AS n_truck, coalesce(n_bus, 0) AS n_bus, tracks, nearest FROM parsed p LEFT JOIN n USING (report_id) LEFT JOIN l USING (report_id) WHERE lat IS NOT NULL),
 fit AS (SELECT *, vehicle_type IS NOT NULL AND vehicle_type <> 'vehicle' AS typed, CASE vehicle_type WHEN 'heavy' THEN n_truck + n_bus WHEN 'car' THEN n_car WHEN 'van' THEN n_van WHEN 'truck' THEN n_truck WHEN 'bus' THEN n_bus ELSE n_50 END AS fits FROM near),
-checks AS (SELECT *, CASE WHEN kind = 'density' THEN CASE WHEN n_150 > coalesce(usual_count, 0) THEN 'density=pass' ELSE 'density=fail' END ELSE concat_ws(',', CASE WHEN tracks IS NULL AND n_50 = 0 THEN 'presence=fail' END, CASE WHEN typed AND n_50 = 0 THEN 'type=untestable' WHEN typed AND fits > 0 THEN 'type=pass' WHEN typed THEN 'type=fail' END, CASE WHEN NOT (typed AND n_50 = 0) AND count > 1 THEN CASE WHEN fits >= count THEN 'count=pass' ELSE 'count=fail' END END, CASE WHEN friendly THEN 'identity=untestable' END) END AS checks FROM fit),
+mo AS (SELECT report_id, any_value(nearest) AS track_id, any_value(motion) AS motion, any_value(still_for_min) AS still_for_min, arg_min({'e': x.e_m, 'n': x.n_m, 't': x.t_s, 'f': fix_no}, {'d': abs(x.t_s - n.t_s - 0), 't': x.t_s, 'f': fix_no}) FILTER (WHERE abs(x.t_s - n.t_s - 0) <= 300) AS at0, arg_min({'e': x.e_m, 'n': x.n_m, 't': x.t_s, 'f': fix_no}, {'d': abs(x.t_s - n.t_s - -600), 't': x.t_s, 'f': fix_no}) FILTER (WHERE abs(x.t_s - n.t_s - -600) <= 300) AS be0, arg_min({'e': x.e_m, 'n': x.n_m, 't': x.t_s, 'f': fix_no}, {'d': abs(x.t_s - n.t_s - 600), 't': x.t_s, 'f': fix_no}) FILTER (WHERE abs(x.t_s - n.t_s - 600) <= 300) AS af0 FROM near n JOIN fixes x ON x.track_id = nearest WHERE motion IS NOT NULL GROUP BY report_id),
+sd AS (SELECT report_id, max(at0.t - t_s) / 60 AS still_min FROM (SELECT report_id, at0, x.t_s, max(CASE WHEN sqrt((x.e_m - at0.e) ** 2 + (x.n_m - at0.n) ** 2) > 25 THEN 1 ELSE 0 END) OVER (PARTITION BY report_id ORDER BY x.t_s DESC, fix_no DESC) AS gone FROM mo JOIN fixes x USING (track_id) WHERE x.t_s <= at0.t) WHERE gone = 0 GROUP BY report_id),
+md AS (SELECT *, sqrt((af.e - be.e) ** 2 + (af.n - be.n) ** 2) AS moved, sqrt(be.e ** 2 + be.n ** 2) - sqrt(af.e ** 2 + af.n ** 2) AS closed FROM (SELECT *, coalesce(be0, at0) AS be, coalesce(af0, at0) AS af FROM mo LEFT JOIN sd USING (report_id))),
+mr AS (SELECT report_id, CASE WHEN at0 IS NULL THEN 'untestable' WHEN CASE WHEN motion = 'stopped' AND still_for_min > 0 THEN coalesce(still_min, 0) >= still_for_min WHEN motion = 'stopped' THEN moved <= 25 WHEN motion = 'moving' THEN moved > 25 WHEN motion = 'toward_base' THEN closed > 25 ELSE -closed > 25 END THEN 'pass' ELSE 'fail' END AS motion_result FROM md),
+checks AS (SELECT *, CASE WHEN kind = 'density' THEN CASE WHEN n_150 > coalesce(usual_count, 0) THEN 'density=pass' ELSE 'density=fail' END ELSE concat_ws(',', CASE WHEN tracks IS NULL AND n_50 = 0 THEN 'presence=fail' END, CASE WHEN typed AND n_50 = 0 THEN 'type=untestable' WHEN typed AND fits > 0 THEN 'type=pass' WHEN typed THEN 'type=fail' END, CASE WHEN NOT (typed AND n_50 = 0) AND count > 1 THEN CASE WHEN fits >= count THEN 'count=pass' ELSE 'count=fail' END END, 'motion=' || motion_result, CASE WHEN friendly THEN 'identity=untestable' END) END AS checks FROM fit LEFT JOIN mr USING (report_id)),
 verdicts AS (SELECT *, CASE WHEN kind IN ('irrelevant', 'area_wide', 'unverified', 'degraded_coverage') THEN 'context' WHEN contains(checks, '=fail') THEN 'contradicted' WHEN contains(checks, '=pass') THEN 'verified' ELSE 'unverifiable' END AS verdict FROM checks)
 """
 
 
-def near(spark: SparkSession, sf: str) -> DataFrame:
-    located = parsed(spark, sf).filter("lat IS NOT NULL")
-    rows = rep.around(located, scene_detections(spark, sf), scene_tracks(spark, sf)).withColumn("motion_result", F.lit(None).cast("string"))
+def near(spark: SparkSession, sf: str, motion: bool = False) -> DataFrame:
+    """Located reports with what is around; with motion, also their checks and verdict."""
+    rows = rep.around(parsed(spark, sf).filter("lat IS NOT NULL"), scene_detections(spark, sf), scene_tracks(spark, sf))
+    if not motion:
+        return rows
+    claims = rows.filter("motion IS NOT NULL AND tracks IS NOT NULL").select("report_id", F.get("tracks", F.lit(0)).alias("track_id"), "t_s", "motion", "still_for_min")
+    rows = rows.join(rep.motion_results(claims, fixes(spark, sf)).select("report_id", "motion_result"), "report_id", "left")
     rows = rows.withColumn("checks", rep.located_checks())
     return rows.withColumn("verdict", rep.verdict(F.col("checks"), F.col("kind")))
 
@@ -145,27 +153,27 @@ def join_report_track(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_NEAR + "SELECT report_id, checks FROM checks")
 def rpt_typecount(spark: SparkSession, sf: str) -> DataFrame:
-    return near(spark, sf).select("report_id", F.array_join(F.transform("checks", lambda c: F.concat(c["claim"], F.lit("="), c["result"])), ",").alias("checks"))
+    return near(spark, sf, motion=True).select("report_id", F.array_join(F.transform("checks", lambda c: F.concat(c["claim"], F.lit("="), c["result"])), ",").alias("checks"))
 
 
 @query(_NEAR + "SELECT report_id, n_150 > coalesce(usual_count, 0) AS dense FROM near WHERE kind = 'density'")
 def rpt_density(spark: SparkSession, sf: str) -> DataFrame:
-    return near(spark, sf).filter("kind = 'density'").select("report_id", F.exists("checks", lambda c: c["result"] == "pass").alias("dense"))
+    return near(spark, sf).filter("kind = 'density'").select("report_id", (F.col("n_150") > F.coalesce("usual_count", F.lit(0))).alias("dense"))
 
 
 @query(_NEAR + "SELECT report_id, verdict, CASE verdict WHEN 'verified' THEN 'agrees' WHEN 'contradicted' THEN 'contradicts' WHEN 'unverifiable' THEN 'unrelated' END AS consistency FROM verdicts")
 def rpt_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    return near(spark, sf).select("report_id", "verdict", rep.consistency(F.col("verdict")).alias("consistency"))
+    return near(spark, sf, motion=True).select("report_id", "verdict", rep.consistency(F.col("verdict")).alias("consistency"))
 
 
 @query(_NEAR + "SELECT report_id, CASE WHEN verdict = 'context' THEN NULL WHEN friendly THEN CASE WHEN verdict = 'contradicted' THEN 'friendly_claim_contradicted' ELSE 'friendly_claim_unconfirmed' END WHEN verdict = 'contradicted' THEN 'report_contradicted' WHEN verdict = 'unverifiable' THEN 'unverified_recheck' END AS scenario FROM verdicts")
 def rpt_scenario(spark: SparkSession, sf: str) -> DataFrame:
-    return near(spark, sf).select("report_id", rep.scenario(F.col("verdict"), F.col("friendly")).alias("scenario"))
+    return near(spark, sf, motion=True).select("report_id", rep.scenario(F.col("verdict"), F.col("friendly")).alias("scenario"))
 
 
 @query(_NEAR + "SELECT verdict, CASE verdict WHEN 'verified' THEN 'supports' WHEN 'contradicted' THEN 'ask_human' WHEN 'context' THEN 'background' ELSE 'do_not_rely' END AS trust, count(*) AS reports FROM verdicts GROUP BY verdict")
 def ev_trust(spark: SparkSession, sf: str) -> DataFrame:
-    return near(spark, sf).groupBy("verdict").agg(F.count("*").alias("reports")).select("verdict", rep.trust(F.col("verdict")).alias("trust"), "reports")
+    return near(spark, sf, motion=True).groupBy("verdict").agg(F.count("*").alias("reports")).select("verdict", rep.trust(F.col("verdict")).alias("trust"), "reports")
 
 
 @query(with_("dets", "judged") + _PARSED.removeprefix("WITH RECURSIVE").join([", ", ""]) + """, d AS (SELECT image_id, count(*) AS n_seen, count(*) FILTER (WHERE cls IN ('truck', 'bus')) AS n_heavy FROM dets GROUP BY image_id), al AS (SELECT image_id, count(*) AS n_alarming FROM judged JOIN scene USING (track_id) WHERE level = 'ALERT' GROUP BY image_id)
@@ -192,7 +200,7 @@ def rpt_motion(spark: SparkSession, sf: str) -> DataFrame:
     """A claim about each track's motion, of each kind in turn, filed at its last fix."""
     kinds = F.array(*map(F.lit, ("moving", "stopped", "toward_base", "receding")))
     f = fixes(spark, sf)
-    claims = f.groupBy("track_id").agg(F.max("t_s").alias("t_s")).select(F.col("track_id").alias("report_id"), "track_id", "t_s", F.element_at(kinds, (F.col("track_id") % 4 + 1).cast("int")).alias("motion"))
+    claims = f.groupBy("track_id").agg(F.max("t_s").alias("t_s")).select(F.col("track_id").alias("report_id"), "track_id", "t_s", F.element_at(kinds, (F.col("track_id") % 4 + 1).cast("int")).alias("motion"), F.lit(None).cast("int").alias("still_for_min"))
     return rep.motion_results(claims, f).select("report_id", r("moved_m", 3).alias("moved_m"), "motion_result")
 
 
