@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.functions.stages import written
 from driftline.operators import guards
 from driftline.operators import reports as rep
 
@@ -132,9 +133,11 @@ verdicts AS (SELECT *, CASE WHEN kind IN ('irrelevant', 'area_wide', 'unverified
 
 def near(spark: SparkSession, sf: str, motion: bool = False) -> DataFrame:
     """Located reports with what is around; with motion, also their checks and verdict."""
-    rows = rep.around(parsed(spark, sf).filter("lat IS NOT NULL"), scene_detections(spark, sf), scene_tracks(spark, sf))
+    located = written(parsed(spark, sf).filter("lat IS NOT NULL"), "located")  # read by several joins
+    rows = rep.around(located, scene_detections(spark, sf), scene_tracks(spark, sf))
     if not motion:
         return rows
+    rows = written(rows, "around")
     claims = rows.filter("motion IS NOT NULL AND tracks IS NOT NULL").select("report_id", F.get("tracks", F.lit(0)).alias("track_id"), "t_s", "motion", "still_for_min")
     rows = rows.join(rep.motion_results(claims, fixes(spark, sf)).select("report_id", "motion_result"), "report_id", "left")
     rows = rows.withColumn("checks", rep.located_checks())

@@ -111,12 +111,15 @@ def vw_pick(spark: SparkSession, sf: str) -> DataFrame:
 _NEAR = with_("dets") + ", nn AS (SELECT image_id, det_id, arg_min(track_id, (dist_m, track_id)) AS track_id, min(dist_m) AS dist_m FROM (SELECT d.image_id, det_id, track_id, sqrt((d.e_m - t.e_m) ** 2 + (d.n_m - t.n_m) ** 2) AS dist_m FROM dets d JOIN scene t USING (image_id)) WHERE dist_m <= 60 GROUP BY image_id, det_id) "
 
 
-@query(_NEAR + "SELECT track_id, det_id, cls, score FROM scene LEFT JOIN (SELECT track_id, arg_min(det_id, (dist_m, det_id)) AS det_id FROM nn GROUP BY track_id) USING (track_id) LEFT JOIN dets USING (det_id)")
+@query()
 def join_class(spark: SparkSession, sf: str) -> DataFrame:
-    """Tracks with the class and score of the detection nearest to them; without one they have neither."""
+    """Tracks with the class and score of the detection that the exclusive match gives them; without one they have neither."""
+    from .scenes import matched
+
     d, t = scene_detections(spark, sf), scene_tracks(spark, sf)
-    near = mat.nearest(mat.pairs(d, t, 60.0)).groupBy("track_id").agg(F.min_by("det_id", F.struct("dist_m", "det_id")).alias("det_id"))
-    return t.select("track_id").join(near, "track_id", "left").join(d.select("det_id", "cls", "score"), "det_id", "left").select("track_id", "det_id", "cls", "score")
+    own = matched(spark, sf).select("track_id", "det_id")
+    return t.select("track_id").join(own, "track_id", "left").join(d.select("det_id", "cls", "score"), "det_id", "left").select("track_id", "det_id", "cls", "score")
+
 
 
 @query("SELECT o_orderkey, len(v) AS n, round(list_sum(v), 2) + 0e0 AS total FROM (SELECT o_orderkey, list_distinct(flatten(list_transform([x, x / 1000, x / 60, x * 3.6e0], lambda y: [round(y, 2), round(y, 1), round(y, 0)]))) AS v FROM (SELECT o_orderkey, o_orderkey % 900 * 6e2 AS x FROM orders))")

@@ -274,3 +274,17 @@ def test_recorded_decisions(spark):
     asked = spark.createDataFrame([(1, 1, None, "op", "x"), (2, 1, 10, "op", "x"), (3, 1, 99, "op", "x"), (4, 2, None, "op", "x"), (5, 1, None, " ", "x"), (6, 1, 10, "op", None)], "request_id long, image_id long, track_id long, operator string, note string")
     got = {x.request_id: (x.target_id, x.level, x.error) for x in views.recorded(asked, alerts).collect()}
     assert got == {1: (11, "ALERT", None), 2: (10, "WATCH", None), 3: (None, None, "no_alert"), 4: (None, None, "no_alert"), 5: (None, None, "no_operator_or_note"), 6: (None, None, "no_operator_or_note")}
+
+
+def test_classes_come_from_the_exclusive_match(spark):
+    """A track has the class of the detection that is its own, though another may be nearer, and none where it has no detection."""
+    from compare import DATA
+
+    from driftline.plans import relations, scenes, views
+
+    sf = f"{DATA}/sf0.001"
+    own = {r.track_id: r.det_id for r in scenes.match_exclusive(spark, sf).collect()}
+    kinds = {r.det_id: (r.cls, r.score) for r in relations.scene_detections(spark, sf).collect()}
+    got = {r.track_id: (r.det_id, r.cls, r.score) for r in views.join_class(spark, sf).collect()}
+    assert len(set(own.values())) == len(own) > 3
+    assert got == {r.track_id: (own[r.track_id], *kinds[own[r.track_id]]) if r.track_id in own else (None, None, None) for r in relations.scene_tracks(spark, sf).collect()}
