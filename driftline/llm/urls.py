@@ -46,28 +46,55 @@ def _named(number: Column, names: Sequence[str]) -> Column:
     return F.get(F.array(*map(F.lit, names)), number) if names else F.lit(None).cast("string")
 
 
+def attribute(tag: Column | str, name: str) -> Column:
+    """An attribute's value, quoted or not, trimmed; empty if the tag has none."""
+    found = lambda group: F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", group)
+    return F.trim(F.concat(found(1), found(2), found(3)))
+
+
+def plain_path(path: str) -> Column:
+    """A path without dot segments; the empty one is the root."""
+    fold = "aggregate(slice(split({0}, '/'), 2, 1000000), array(''), (a, s) -> CASE WHEN s = '.' THEN a WHEN s = '..' THEN slice(a, 1, greatest(size(a) - 1, 1)) ELSE concat(a, array(s)) END, a -> array_join(IF(element_at(split({0}, '/'), -1) IN ('.', '..'), concat(a, array('')), a), '/'))"
+    return F.when(F.col(path) == "", "/").when(F.col(path).rlike(r"/\.\.?(/|$)"), F.expr(fold.format(path))).otherwise(F.col(path))
+
+
+def resolved(rows: DataFrame, link: str, host: str, path: str, query: str) -> DataFrame:
+    """rows with to_host, to_path, to_query: where the link leads from there. Links of no page, such as mail, and empty ones are left out."""
+    ref = F.col(link)
+    rows = rows.filter((ref != "") & (ref.rlike("(?i)^[a-z][a-z0-9+.-]*://") | ~ref.rlike("(?i)^[a-z][a-z0-9+.-]*:")))
+    absolute = ref.rlike("^([A-Za-z][A-Za-z0-9+.-]*:)?//")
+    far_host, far_path = host_and_path(F.when(ref.startswith("//"), F.concat(F.lit("x:"), ref)).otherwise(ref))
+    own = F.regexp_extract(ref, "^[^?#]*", 0)
+    near = F.when(ref.rlike("^[?#]"), F.col(path)).when(ref.startswith("/"), own).when(F.col(path) == "", F.concat(F.lit("/"), own)).otherwise(F.concat(F.regexp_extract(path, "^(.*/)?", 0), own))
+    rows = rows.withColumns({"to_host": F.when(absolute, far_host).otherwise(F.col(host)), "to_path": F.when(absolute, far_path).otherwise(near), "to_query": F.when(ref.startswith("#"), F.col(query)).otherwise(query_of(ref))})
+    return rows.withColumn("to_path", plain_path("to_path"))
+
+
 def edges(pages: DataFrame, html: str = "html") -> DataFrame:
-    """u, v: host, path and query of a page and of what it redirects to or names as canonical. Relative links are resolved."""
-    tag = F.array_distinct(F.concat(
-        F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0)),
-        F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0)),
-    ))
-    some = pages.filter(F.col(html).rlike(r"(?i)canonical|http-equiv")).select("host", "path", "query", F.explode(tag).alias("tag"))
-    link = F.trim(F.coalesce(F.nullif(F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)))
-    link = F.regexp_replace(link, "(?i)&(?:amp|#0*38|#x0*26);", "&")
-    host, path = host_and_path(F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), "link")).otherwise(F.col("link")))
-    own = F.when(F.col("link").startswith("/"), F.regexp_extract("link", "^[^?#]*", 0)).when(F.col("link").rlike("^[?#]"), F.col("path")).otherwise(F.concat(F.regexp_extract("path", "^(.*/)?", 0), F.regexp_extract("link", "^[^?#]*", 0)))
-    query = F.when(F.col("link").startswith("#"), F.col("query")).otherwise(query_of(F.col("link")))
-    absolute = F.col("link").rlike("^([A-Za-z][A-Za-z0-9+.-]*:)?//")
-    to = some.withColumn("link", link).filter("link <> ''").select("host", "path", "query", F.when(absolute, host).otherwise(F.col("host")).alias("to_host"), F.when(absolute, path).otherwise(own).alias("to_path"), query.alias("to_query"))
-    return to.select(F.struct("host", "path", "query").alias("u"), F.struct(F.col("to_host").alias("host"), F.col("to_path").alias("path"), F.col("to_query").alias("query")).alias("v")).distinct()
+    """u, v: host, path and query of a page and of what it redirects to or names as canonical.
+
+    Comments hold no tags; rel is a list of words; relative links are resolved against the page's base, if it names one, with dot
+    segments taken out.
+    """
+    some = pages.filter(F.col(html).rlike(r"(?i)canonical|http-equiv")).withColumn("plain", F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", ""))
+    tag = F.explode(F.regexp_extract_all("plain", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)))
+    some = some.select("host", "path", "query", attribute(F.regexp_extract("plain", r"(?is)<base\b[^>]*>", 0), "href").alias("base"), tag.alias("tag"))
+    canonical = F.col("tag").rlike(r"(?is)^<link") & F.array_contains(F.split(F.lower(attribute("tag", "rel")), r"\s+"), "canonical")
+    refresh = F.col("tag").rlike(r"(?is)^<meta") & (F.lower(attribute("tag", "http-equiv")) == "refresh")
+    link = F.when(canonical, attribute("tag", "href")).when(refresh, F.trim(F.regexp_extract(attribute("tag", "content"), r"""(?is)\burl\s*=\s*["']?([^"']+)""", 1)))
+    unescaped = lambda c: F.regexp_replace(c, "(?i)&(?:amp|#0*38|#x0*26);", "&")
+    some = some.select("host", "path", "query", unescaped(F.coalesce(F.nullif("base", F.lit("")), F.lit("#"))).alias("base"), unescaped(link).alias("link")).filter("link <> ''")
+    based = resolved(some, "base", "host", "path", "query").withColumnsRenamed({"to_host": "base_host", "to_path": "base_path", "to_query": "base_query"})
+    to = resolved(based, "link", "base_host", "base_path", "base_query")
+    return to.select(F.struct("host", plain_path("path").alias("path"), "query").alias("u"), F.struct(F.col("to_host").alias("host"), F.col("to_path").alias("path"), F.col("to_query").alias("query")).alias("v")).distinct()
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", id_column: str = "page_id") -> DataFrame:
     """page id, host, path, rule, verdict of every page.
 
-    Rules look at host and path; aliases are urls with their query, without the fragment. A page's own rule always holds. Others are blocked if their component has a blocked url and no allowed one; what is in no
-    component, or in one that no rule reaches, gets the default. Null and malformed urls have an empty host and path and fit no
+    Rules look at host and path; aliases are urls with their query, without the fragment, without dot segments in the path, of which
+    none is the root. A page's own rule always holds. Others are blocked if their component has a blocked url and no allowed one; what
+    is in no component, or in one that no rule reaches, gets the default. Null and malformed urls have an empty host and path and fit no
     rule; pages of one url are judged alike; an empty table gives no rows; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
@@ -82,5 +109,6 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", id_co
         allowed, blocked = F.max(F.col("ruled") == "allow"), F.max(F.col("ruled") == "block")
         held = group.groupBy("component").agg(F.when(allowed, "allow").when(blocked, "block").alias("alias"))
         aliases = cut(group.join(held, "component").filter("alias IS NOT NULL").select("host", "path", "query", "alias"), "held")
-        judged = numbered.join(aliases, ["host", "path", "query"], "left")
+        aliases = aliases.withColumnRenamed("path", "node_path")
+        judged = numbered.withColumn("node_path", plain_path("path")).join(aliases, ["host", "node_path", "query"], "left")
     return judged.select(id_column, "host", "path", _named(F.col("number"), names).alias("rule"), F.coalesce(_named(F.col("number"), verdicts), "alias", F.lit(default)).alias("verdict"))

@@ -250,6 +250,21 @@ def test_aliases_of_blocked_urls(spark):
     assert got == {1: ("block", "com/en/"), 2: ("block", None), 3: ("block", None), 4: ("allow", None), 5: ("allow", None), 6: ("allow", None), 7: ("allow", "example.com/en/7"), 8: ("allow", None), 9: ("block", "com/en/")}
 
 
+def test_links_are_resolved(spark):
+    """Dot segments, urls without a path, lists of rel, comments, bases, links of no page; odd columns and no pages at all."""
+    link = '<LINK data-rel="x" rel="alternate canonical" href="{}">'
+    rows = [
+        (1, "http://a.com/en/q", ""), (2, "http://a.com/en/b/p", link.format("../q")), (3, "http://b.net/x/y/p", link.format("./t")), (4, "http://b.net/x/y/t", link.format("http://a.com/de/../en/q")),
+        (5, "http://c.net", link.format("q")), (6, "http://c.net/q", link.format("http://a.com/en/q")), (7, "http://d.net/p", f"<!-- {link.format('http://a.com/en/q')} -->"), (8, "http://e.net/x/p", '<base href="http://a.com/en/b/">' + link.format("../q")),
+        (9, "http://f.net/p", link.format("mailto:a@a.com/en/q")), (10, "http://g.net/p", "<link rel=canonical href='//a.com/en/q'>"), (11, "http://h.net/p", '<meta content="0;URL=\'http://a.com/en/q\'" http-equiv=refresh>'), (12, "http://c.net/", ""), (13, "http://i.net/p", '<link rel="canonicals" href="http://a.com/en/q">'),
+        (14, "http://j.net/a/../p", ""), (15, "http://k.net/p", link.format("http://j.net/p")), (16, "http://j.net/p", link.format("http://a.com/en/q")),
+    ]
+    frame = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "page_id long, url string, html string, host string, number int, alias string")
+    got = {r.page_id: r.verdict for r in urls.judge(frame, queries.RULES).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 8, 10, 11, 12, 14, 15, 16} and len(got) == 16
+    assert urls.judge(frame.limit(0), queries.RULES).collect() == []
+
+
 def test_pages_of_one_path_are_told_apart_by_query(spark):
     link, blocked = '<link rel="canonical" href="{}">', "http://a.com/en/1"
     rows = [
