@@ -19,6 +19,37 @@ def minute_of(text: Column) -> Column:
     return F.when(is_hhmm(text), F.substring(text, 1, 2).cast("int") * 60 + F.substring(text, 4, 2).cast("int"))
 
 
+def first_object(text: Column) -> Column:
+    """The first complete JSON object in an answer, as text, else null.
+
+    What a fence holds is looked at first, then the whole text. From every opening brace a fold over the characters finds the brace
+    that closes it, leaving out braces in strings, where a backslash takes the next character along; the first stretch that is
+    JSON counts. What is JSON as a whole but no object, such as a list, has none, nor have null and blank texts.
+    """
+    def inside(x: Column) -> Column:
+        chars = F.split(x, "")
+        begins = F.filter(F.transform(chars, lambda c, i: F.when(c == "{", i)), lambda i: i.isNotNull())
+        zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("n"), F.lit(False).alias("shut"))
+
+        def step(s: Column, c: Column) -> Column:
+            plain = ~s["quoted"]
+            depth = s["depth"] + F.when(plain & (c == "{"), 1).when(plain & (c == "}"), -1).otherwise(0)
+            quoted = F.when(s["quoted"], (c != '"') | s["escaped"]).otherwise(c == '"')
+            new = F.struct(depth.alias("depth"), quoted.alias("quoted"), (s["quoted"] & ~s["escaped"] & (c == "\\")).alias("escaped"), (s["n"] + 1).alias("n"), (plain & (c == "}") & (depth == 0)).alias("shut"))
+            return F.when(s["shut"], s).otherwise(new)
+
+        def closed(i: Column) -> Column:
+            end = F.aggregate(F.slice(chars, i + 1, F.size(chars)), zero, step)
+            return F.when(end["shut"], F.array_join(F.slice(chars, i + 1, end["n"]), ""))
+
+        found = F.get(F.filter(F.transform(begins, closed), lambda o: o.isNotNull() & F.try_parse_json(o).isNotNull()), F.lit(0))
+        whole = F.trim(x).rlike(r"(?s)^(\[.*\]|\".*\")$") & F.try_parse_json(x).isNotNull()
+        return F.when(~whole, found)
+
+    fenced = F.nullif(F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1), F.lit(""))
+    return F.coalesce(inside(fenced), inside(text))
+
+
 def cited(text: Column) -> Column:
     """Identifiers (a capital with a number) in a text, in order."""
     return F.regexp_extract_all(text, F.lit(r"\b[A-Z]\d+\b"), F.lit(0))

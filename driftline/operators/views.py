@@ -12,9 +12,10 @@ def series(fixes: DataFrame) -> DataFrame:
 
 
 def present(fixes: DataFrame, clock_s: float) -> DataFrame:
-    """track_id, e_m, n_m of every track whose fixes reach from before a clock to after it, between its two nearest fixes."""
-    t, at = F.col("t_s"), F.struct("e_m", "n_m", "t_s")
-    ends = fixes.groupBy("track_id").agg(F.max_by(F.when(t <= clock_s, at), F.when(t <= clock_s, t)).alias("a"), F.min_by(F.when(t > clock_s, at), F.when(t > clock_s, t)).alias("b"))
+    """track_id, e_m, n_m of every track whose fixes reach from before a clock to after it, between its two nearest fixes; of fixes of
+    one time the last counts before the clock, the first after it."""
+    t, at, order = F.col("t_s"), F.struct("e_m", "n_m", "t_s"), F.struct("t_s", "fix_no")
+    ends = fixes.groupBy("track_id").agg(F.max_by(F.when(t <= clock_s, at), F.when(t <= clock_s, order)).alias("a"), F.min_by(F.when(t > clock_s, at), F.when(t > clock_s, order)).alias("b"))
     share = (F.lit(clock_s) - F.col("a.t_s")) / (F.col("b.t_s") - F.col("a.t_s"))
     between = lambda c: F.when(F.col("b").isNull(), F.col(f"a.{c}")).otherwise(F.col(f"a.{c}") + share * (F.col(f"b.{c}") - F.col(f"a.{c}"))).alias(c)
     return ends.filter(F.col("a").isNotNull() & (F.col("b").isNotNull() | (F.col("a.t_s") == clock_s))).select("track_id", between("e_m"), between("n_m"))

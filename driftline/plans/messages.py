@@ -266,9 +266,11 @@ def tim_hhmm(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("s", guards.is_hhmm(F.col("s")).alias("valid"), guards.minute_of(F.col("s")).alias("minute"))
 
 
-@query("SELECT unnest(generate_series(0, 460)) AS tick_min")
+@query(with_("fixes") + "SELECT unnest(generate_series(CAST(floor(min(t_s) / 60) AS BIGINT), CAST(floor(max(t_s) / 60) AS BIGINT))) AS tick_min FROM fixes")
 def tim_ticks(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(0, 461).select(F.col("id").alias("tick_min"))
+    """Every minute of the record, from that of the first fix to that of the last."""
+    minute = lambda c: F.floor(c / 60)
+    return fixes(spark, sf).agg(minute(F.min("t_s")).alias("a"), minute(F.max("t_s")).alias("b")).select(F.explode(F.sequence("a", "b")).alias("tick_min"))
 
 
 @query(with_("fixes") + "SELECT count(*) AS n FROM fixes WHERE t_s BETWEEN 9000 - 600 AND 9000 + 600")

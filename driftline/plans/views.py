@@ -19,8 +19,8 @@ def ds_series(spark: SparkSession, sf: str) -> DataFrame:
     return views.series(fixes(spark, sf)).select("track_id", "fix_no", r("minute", 3).alias("minute"), r("range_m", 3).alias("range_m"))
 
 
-_NOW = with_("fixes", "zoned") + f""", a AS (SELECT track_id, max(t_s) AS t0, arg_max(e_m, t_s) AS e0, arg_max(n_m, t_s) AS n0 FROM fixes WHERE t_s <= {CLOCK:.0f} GROUP BY track_id),
-b AS (SELECT track_id, min(t_s) AS t1, arg_min(e_m, t_s) AS e1, arg_min(n_m, t_s) AS n1 FROM fixes WHERE t_s > {CLOCK:.0f} GROUP BY track_id),
+_NOW = with_("fixes", "zoned") + f""", a AS (SELECT track_id, max(t_s) AS t0, arg_max(e_m, (t_s, fix_no)) AS e0, arg_max(n_m, (t_s, fix_no)) AS n0 FROM fixes WHERE t_s <= {CLOCK:.0f} GROUP BY track_id),
+b AS (SELECT track_id, min(t_s) AS t1, arg_min(e_m, (t_s, fix_no)) AS e1, arg_min(n_m, (t_s, fix_no)) AS n1 FROM fixes WHERE t_s > {CLOCK:.0f} GROUP BY track_id),
 now AS (SELECT track_id, e0 + coalesce(({CLOCK:.0f} - t0) / (t1 - t0) * (e1 - e0), 0) AS e_m, n0 + coalesce(({CLOCK:.0f} - t0) / (t1 - t0) * (n1 - n0), 0) AS n_m FROM a LEFT JOIN b USING (track_id) WHERE t1 IS NOT NULL OR t0 = {CLOCK:.0f}),
 al AS (SELECT track_id, zone_id AS alert_id, CASE WHEN inside THEN 2 ELSE 1 END AS level_rank, conf AS priority FROM zoned WHERE inside OR in_buffer),
 worst AS (SELECT track_id, arg_max(alert_id, (level_rank, priority, alert_id)) AS alert_id, arg_max(level_rank, (level_rank, priority, alert_id)) AS level_rank, arg_max(priority, (level_rank, priority, alert_id)) AS priority FROM al GROUP BY track_id),
@@ -146,3 +146,12 @@ def ag_confidence(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(c % 13 != 0, k % 104 / 100.0).alias("score")).withColumn("p1", F.col("score") + c % 4 * 0.004).withColumn("p0", 1 - F.col("p1") + k % 3 * 0.006)
     sure = rows.select("o_orderkey", guards.confidence(F.col("score"), F.col("p0"), F.col("p1")).alias("confidence"))
     return sure.select("o_orderkey", "confidence", F.when(F.col("confidence").isNull(), "rules").otherwise("answer").alias("source"), F.coalesce(F.col("confidence") < 0.5, F.lit(False)).alias("dissent"))
+
+
+_ANSWER = "CASE WHEN turn % 5 = 0 THEN concat('Sure: ', chr(96), chr(96), chr(96), 'json', chr(10), '{\"turn\": ', CAST(turn AS string), ', \"note\": \"a } and { in it\"}', chr(10), chr(96), chr(96), chr(96), ' done') WHEN turn % 5 = 1 THEN concat('{broken ', '{\"own\": {\"id\": ', CAST(conv_id AS string), '}} tail}') WHEN turn % 5 = 2 THEN text WHEN turn % 5 = 3 THEN concat('{\"open\": ', CAST(turn AS string)) ELSE '[1, {\"a\": [2]}]' END"
+
+
+@query("SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN concat('{\"turn\": ', turn, ', \"note\": \"a } and { in it\"}') WHEN 1 THEN concat('{\"own\": {\"id\": ', conv_id, '}}') END AS object FROM conversations")
+def grd_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations as a model's answers: fenced, behind a broken one, without any, cut off, and a list."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", guards.first_object(F.expr(_ANSWER)).alias("object"))

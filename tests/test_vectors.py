@@ -288,3 +288,14 @@ def test_classes_come_from_the_exclusive_match(spark):
     got = {r.track_id: (r.det_id, r.cls, r.score) for r in views.join_class(spark, sf).collect()}
     assert len(set(own.values())) == len(own) > 3
     assert got == {r.track_id: (own[r.track_id], *kinds[own[r.track_id]]) if r.track_id in own else (None, None, None) for r in relations.scene_tracks(spark, sf).collect()}
+
+
+def test_first_object_of_an_answer(spark):
+    from driftline.operators import guards
+
+    said = {
+        '{"a": 1}': '{"a": 1}', 'so: {"a": {"b": "}"}} and {"c": 2}': '{"a": {"b": "}"}}', '```json\n{"x": "\\"}"}\n``` {"y": 1}': '{"x": "\\"}"}', "```\nno\n``` {\"y\": 1}": '{"y": 1}', '{bad} {"ok": true}': '{"ok": true}',
+        '{"a": 1': None, "none": None, "": None, '"{" {"z": [{"q": 1}]}': '{"z": [{"q": 1}]}', '{"s": "\\\\"} x': '{"s": "\\\\"}', '{{"a": 1}}': '{"a": 1}', '[1, {"a": 2}]': None, '```[1]``` {"b": 1}': '{"b": 1}',
+    }
+    rows = spark.createDataFrame([(t,) for t in [*said, None]], "t string").select("t", guards.first_object(F.col("t")).alias("o")).collect()
+    assert {r.t: r.o for r in rows} == said | {None: None}
