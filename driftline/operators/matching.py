@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from driftline.config import DEFAULT, Config
 from driftline.functions.geo import length
 
+from .proximity import sector
+
 #: The price of a pair beyond the gate: any number of pairs within it is cheaper.
 BEYOND = 1e9
 
@@ -122,3 +124,22 @@ def quality(matches: DataFrame, n_detections: int) -> DataFrame:
     """One row: how many of the detections matched, and the distances' median, 90th percentile, maximum and counts within 5, 10, 25 m."""
     d = F.col("dist_m")
     return matches.agg(F.count("*").alias("matched"), F.round(F.count("*") / n_detections, 4).alias("rate"), F.median(d).alias("median_m"), F.percentile(d, F.lit(0.9)).alias("p90_m"), F.max(d).alias("max_m"), *(F.count_if(d <= m).alias(f"within_{m}") for m in (5, 10, 25)))
+
+
+def untracked_rows(detections: DataFrame, tracks: DataFrame, matched: DataFrame, copies: DataFrame, zones: DataFrame, warning_m: float) -> DataFrame:
+    """image_id, det_id, cls, score, nearest_track, nearest_m, sector, duplicate_of of detections without a track of their own, copies among them marked.
+
+    The nearest track is one of the image's, at any distance, null where it has none; of equals the least id. The observation
+    sector is told only within the base's warning ring. detections: image_id, det_id, e_m, n_m, cls, score; copies: as duplicates()
+    gives them, with the track that another detection has claimed.
+    """
+    alone = detections.join(matched.select("image_id", "det_id"), ["image_id", "det_id"], "left_anti")
+    far = length(F.col("e_m") - F.col("te"), F.col("n_m") - F.col("tn"))
+    met = alone.join(tracks.select("image_id", "track_id", F.col("e_m").alias("te"), F.col("n_m").alias("tn")), "image_id")
+    near = met.groupBy("image_id", "det_id").agg(F.min(F.struct(far.alias("m"), "track_id")).alias("t")).select("image_id", "det_id", F.col("t.track_id").alias("nearest_track"), F.round("t.m", 2).alias("nearest_m"))
+    inner = alone.filter(length(F.col("e_m"), F.col("n_m")) <= warning_m).withColumn("at", F.struct("image_id", "det_id"))
+    told = sector(inner, zones, "at").select("at.*", F.col("zone_id").alias("sector"))
+    out = alone.select("image_id", "det_id", "cls", F.round("score", 4).alias("score"))
+    for part in (near, told, copies.select("image_id", "det_id", F.col("track_id").alias("duplicate_of"))):
+        out = out.join(part, ["image_id", "det_id"], "left")
+    return out

@@ -215,3 +215,19 @@ def fold_verdicts(rows: DataFrame) -> DataFrame:
     """report_id, consistency, image_id of its most decisive frame, the first of equals. rows: report_id, image_id, consistency."""
     rank = F.when(F.col("consistency") == "contradicts", 2).when(F.col("consistency") == "agrees", 1).otherwise(0)
     return rows.groupBy("report_id").agg(F.max_by(F.struct("consistency", "image_id"), F.struct(rank, -F.col("image_id"))).alias("x")).select("report_id", "x.*")
+
+
+def cap(verdict_: Column, verified: str = "CLEAR") -> Column:
+    """How far a report alone may raise a vehicle. By policy not at all: a verified one agrees with data that set the level already,
+    a contradicted or unverifiable one goes to a person. verified: what a policy grants a verified report instead."""
+    return F.when(verdict_ == "verified", verified).otherwise("CLEAR")
+
+
+def support(rows: DataFrame) -> DataFrame:
+    """track_id, cap, report_id: the highest cap that reports give a track they match, with the first report that gives it. Caps of CLEAR give nothing.
+
+    rows: report_id, cap, tracks.
+    """
+    rank = F.when(F.col("cap") == "ALERT", 2).when(F.col("cap") == "WATCH", 1).otherwise(0)
+    each = rows.filter("cap <> 'CLEAR'").select("report_id", "cap", rank.alias("rank"), F.explode("tracks").alias("track_id"))
+    return each.groupBy("track_id").agg(F.max_by(F.struct("cap", "report_id"), F.struct("rank", -F.col("report_id"))).alias("x")).select("track_id", "x.*")

@@ -281,3 +281,14 @@ def tim_window(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_("fixes") + f"SELECT fix_no, {rs('t_s / 60', 2)} AS minutes FROM fixes")
 def tim_minutes(spark: SparkSession, sf: str) -> DataFrame:
     return fixes(spark, sf).select("fix_no", r(F.col("t_s") / 60, 2).alias("minutes"))
+
+
+@query(_NEAR + "SELECT report_id, 'CLEAR' AS cap FROM verdicts")
+def rpt_cap(spark: SparkSession, sf: str) -> DataFrame:
+    return near(spark, sf, motion=True).select("report_id", rep.cap(F.col("verdict")).alias("cap"))
+
+
+@query(_NEAR + "SELECT CAST(t AS BIGINT) AS track_id, 'WATCH' AS cap, min(report_id) AS report_id FROM (SELECT report_id, unnest(string_split(tracks, ',')) AS t FROM verdicts WHERE verdict = 'verified' AND tracks IS NOT NULL) GROUP BY t")
+def rul_support(spark: SparkSession, sf: str) -> DataFrame:
+    """Under a policy that lets verified reports put a vehicle on watch."""
+    return rep.support(near(spark, sf, motion=True).select("report_id", "tracks", rep.cap(F.col("verdict"), "WATCH").alias("cap")))

@@ -10,7 +10,7 @@ from driftline.operators import matching as mat
 from driftline.operators import perception as per
 
 from .registry import query
-from .relations import BASE_LAT, BASE_LON, boxes, fixes, frames, r, rs, scene_detections, scene_tracks, table, with_
+from .relations import BASE_LAT, BASE_LON, boxes, fixes, frames, r, rs, scene_detections, scene_tracks, table, with_, zones
 
 _MLAT = "(111132.92e0 - 559.82e0 * cos(2 * radians({0})) + 1.175e0 * cos(4 * radians({0})))"
 _MLON = "(111412.84e0 * cos(radians({0})) - 93.5e0 * cos(3 * radians({0})) + 0.118e0 * cos(5 * radians({0})))"
@@ -201,6 +201,12 @@ def match_untracked(spark: SparkSession, sf: str) -> DataFrame:
     return mat.untracked(d, m, mat.duplicates(d, m, scene_tracks(spark, sf))).select("image_id", "det_id")
 
 
+@query()
+def match_untracked_rows(spark: SparkSession, sf: str) -> DataFrame:
+    d, t, m = scene_detections(spark, sf), scene_tracks(spark, sf), matched(spark, sf)
+    return mat.untracked_rows(d, t, m, mat.duplicates(d, m, t), zones(spark, sf), 100.0)
+
+
 @query()
 def match_not_seen(spark: SparkSession, sf: str) -> DataFrame:
     return mat.not_seen(scene_tracks(spark, sf), matched(spark, sf), "abs(e_m) <= 100 AND abs(n_m) <= 80").select("image_id", "track_id", "reason")

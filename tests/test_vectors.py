@@ -299,3 +299,37 @@ def test_first_object_of_an_answer(spark):
     }
     rows = spark.createDataFrame([(t,) for t in [*said, None]], "t string").select("t", guards.first_object(F.col("t")).alias("o")).collect()
     assert {r.t: r.o for r in rows} == said | {None: None}
+
+
+def test_what_is_left_of_the_match(spark):
+    """Duplicates, untracked and unseen ones, and the untracked rows, each worked out by hand from the match."""
+    import math
+
+    from compare import DATA
+
+    from driftline.plans import relations, scenes
+
+    sf = f"{DATA}/sf0.001"
+    d = {r.det_id: r for r in relations.scene_detections(spark, sf).collect()}
+    t = {r.track_id: r for r in relations.scene_tracks(spark, sf).collect()}
+    zones = relations.zones(spark, sf).collect()
+    own = {r.det_id: r.track_id for r in scenes.match_exclusive(spark, sf).collect()}
+    away = lambda a, b: math.hypot(a.e_m - b.e_m, a.n_m - b.n_m)
+    near = lambda x, among: min(((away(x, t[k]), k) for k in among if t[k].image_id == x.image_id), default=None)
+    copies = {}
+    for k, x in d.items():
+        if k not in own and (best := near(x, own.values())) and best[0] <= 12.0:
+            copies[k] = best[1]
+    assert {r.det_id: r.track_id for r in scenes.match_duplicates(spark, sf).collect()} == copies
+    assert {r.det_id for r in scenes.match_untracked(spark, sf).collect()} == d.keys() - own.keys() - copies.keys()
+    unseen = {k for k, x in t.items() if k not in own.values()}
+    assert {r.track_id for r in scenes.match_not_seen(spark, sf).collect()} <= unseen
+    bearing = lambda e, n: math.degrees(math.atan2(e, n)) % 360
+    rows = {r.det_id: r for r in scenes.match_untracked_rows(spark, sf).collect()}
+    assert rows.keys() == d.keys() - own.keys() and rows
+    for k, r in rows.items():
+        m, track = near(d[k], t) or (None, None)
+        assert (r.nearest_track, r.duplicate_of, r.cls) == (track, copies.get(k), d[k].cls) and (m is None or abs(r.nearest_m - m) <= 0.006)
+        gap = lambda z, k=k: abs(bearing(d[k].e_m, d[k].n_m) - bearing(z.zone_e, z.zone_n))
+        told = min(zones, key=lambda z: (min(gap(z), 360 - gap(z)), z.zone_no)).zone_id if math.hypot(d[k].e_m, d[k].n_m) <= 100 else None
+        assert r.sector == told
