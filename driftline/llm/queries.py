@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,7 +69,7 @@ def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_substrings, op3_urls, op4_quality, op5_lines, op6_repetition, op7_token_files, op8_decontaminate, op9_jaccard, op10_shards, op11_collocations, op12_suffixes, op13_search)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_pack, op2_substrings, op3_urls, op4_quality, op5_lines, op6_repetition, op7_token_files, op8_decontaminate, op9_jaccard, op10_shards, op11_collocations, op12_suffixes, op13_search)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
