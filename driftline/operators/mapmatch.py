@@ -130,11 +130,11 @@ def listed(fixes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def chosen(rows: DataFrame, segments: DataFrame) -> DataFrame:
-    """track_id, fix_no, matched, seg_id, way_id, along, road_e, road_n, offset_m, bearing_deg of all fixes, places to 0.1 m."""
+    """track_id, fix_no, matched, seg_id, way_id, along, px, py, road_e, road_n, offset_m, exact_m, bearing_deg of all fixes; road_e, road_n and offset_m are px, py and exact_m to 0.1 m."""
     best = rows.select("track_id", *ORDER, "own").join(likeliest(rows), ["track_id", "fix_no"])
     own = best.withColumn("c", F.expr("get(own, chosen)")).select("track_id", *ORDER, F.col("c").isNotNull().alias("matched"), "c.seg_id", "c.way_id", "c.along", "c.px", "c.py", "c.offset_m")
     bearing = F.pmod(F.degrees(F.atan2(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), F.lit(360.0))
-    return own.join(segments.select("seg_id", F.round(bearing, 1).alias("bearing_deg")), "seg_id", "left").select("track_id", *ORDER, "matched", "seg_id", "way_id", "along", "px", "py", F.round("px", 1).alias("road_e"), F.round("py", 1).alias("road_n"), F.round("offset_m", 1).alias("offset_m"), "bearing_deg")
+    return own.join(segments.select("seg_id", F.round(bearing, 1).alias("bearing_deg")), "seg_id", "left").select("track_id", *ORDER, "matched", "seg_id", "way_id", "along", "px", "py", F.round("px", 1).alias("road_e"), F.round("py", 1).alias("road_n"), F.round("offset_m", 1).alias("offset_m"), F.col("offset_m").alias("exact_m"), "bearing_deg")
 
 
 def on_geometry(fixes: DataFrame, segments: DataFrame, config: Roads = DEFAULT.roads) -> DataFrame:

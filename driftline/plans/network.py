@@ -115,7 +115,7 @@ bw(track_id, i, k) AS (
   SELECT b.track_id, b.i, b.k FROM best b LEFT JOIN best a ON a.track_id = b.track_id AND a.i = b.i + 1 WHERE a.i IS NULL
   UNION ALL SELECT f.track_id, f.i - 1, CASE WHEN f.back >= 0 THEN f.back ELSE p.k END FROM bw JOIN fwd f USING (track_id, i, k) JOIN best p ON p.track_id = f.track_id AND p.i = f.i - 1),
 pick AS MATERIALIZED (SELECT bw.track_id, bw.i, cd.* EXCLUDE (track_id, i, k) FROM bw JOIN cd USING (track_id, i, k)),
-m AS MATERIALIZED (SELECT fx.track_id, fx.i, fix_no, t_s, fx.e_m, fx.n_m, seg_id IS NOT NULL AS matched, seg_id, way_id, round(px, 1) AS road_e, round(py, 1) AS road_n, round(offset_m, 1) AS offset_m, CASE WHEN seg_id IS NOT NULL THEN round(((degrees(atan2(dx, dy)) % 360) + 360) % 360, 1) END AS bearing_deg FROM fx LEFT JOIN pick USING (track_id, i))
+m AS MATERIALIZED (SELECT fx.track_id, fx.i, fix_no, t_s, fx.e_m, fx.n_m, seg_id IS NOT NULL AS matched, seg_id, way_id, px, py, offset_m AS exact_m, round(offset_m, 1) AS offset_m, CASE WHEN seg_id IS NOT NULL THEN round(((degrees(atan2(dx, dy)) % 360) + 360) % 360, 1) END AS bearing_deg FROM fx LEFT JOIN pick USING (track_id, i))
 """
 
 
@@ -128,7 +128,12 @@ _GEOM = _search(
     _FX.format("40") + "seg AS (SELECT s_suppkey AS seg_id, s_suppkey % 6 AS way_id, (s_suppkey % 20 * 20 - 200)::DOUBLE AS ax, (s_suppkey % 7 * 30 - 100)::DOUBLE AS ay, 120e0 AS dx, 40e0 AS dy FROM supplier),\n",
     _CAND + " QUALIFY k < 8", f"SELECT c.track_id, c.i, p.k AS j, c.k, -abs({_BETWEEN} - {_STRAIGHT}) / 120e0 + CASE WHEN c.way_id = p.way_id THEN 1.2e0 ELSE 0e0 END AS step {_NEXT}",
 )
-_MATCH = f"track_id, fix_no, matched, seg_id, {rs('road_e', 1)} AS road_e, {rs('road_n', 1)} AS road_n, {rs('offset_m', 1)} AS offset_m, {rs('bearing_deg', 1)} AS bearing_deg"
+_MATCH = f"track_id, fix_no, matched, seg_id, {rs('px', 4)} AS road_e, {rs('py', 4)} AS road_n, {rs('exact_m', 4)} AS offset_m, {rs('bearing_deg', 1)} AS bearing_deg"
+
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.select("track_id", "fix_no", "matched", "seg_id", r("px").alias("road_e"), r("py").alias("road_n"), r("exact_m").alias("offset_m"), r("bearing_deg", 1).alias("bearing_deg"))
+
 
 
 def geometry_matches(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +142,7 @@ def geometry_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_GEOM + f"SELECT {_MATCH} FROM m")
 def rd_viterbi_geom(spark: SparkSession, sf: str) -> DataFrame:
-    return geometry_matches(spark, sf).select("track_id", "fix_no", "matched", "seg_id", *(r(c, 1).alias(c) for c in ("road_e", "road_n", "offset_m", "bearing_deg")))
+    return _told(geometry_matches(spark, sf))
 
 
 @query(_GEOM + f"""SELECT track_id, n_fixes, n_matched, {rs('n_matched / n_fixes', 2)} AS matched_fraction, coalesce(median_offset_m, 0e0) + 0e0 AS median_offset_m, coalesce(roads, '') AS roads FROM (SELECT track_id, count(*) AS n_fixes, count(*) FILTER (WHERE matched) AS n_matched FROM m GROUP BY track_id)
@@ -149,13 +154,14 @@ def rd_summary(spark: SparkSession, sf: str) -> DataFrame:
     return mapmatch.summary(geometry_matches(spark, sf), ways).withColumns({"roads": F.array_join("roads", ">"), "matched_fraction": r("matched_fraction", 2)})
 
 
-@query(_GEOM + f"""SELECT track_id, run, fix_no, CASE WHEN matched THEN row_number() OVER (PARTITION BY track_id, run ORDER BY i) END AS pos, {rs('e_m', 3)} AS e_m, {rs('n_m', 3)} AS n_m FROM (SELECT track_id, i, fix_no, matched, coalesce(road_e, e_m) AS e_m, coalesce(road_n, n_m) AS n_m, CASE WHEN matched THEN sum(CASE WHEN matched AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY i)::BIGINT END AS run
+@query(_GEOM + f"""SELECT track_id, run, fix_no, CASE WHEN matched THEN row_number() OVER (PARTITION BY track_id, run ORDER BY i) END AS pos, {rs('e_m', 4)} AS e_m, {rs('n_m', 4)} AS n_m FROM (SELECT track_id, i, fix_no, matched, coalesce(px, e_m) AS e_m, coalesce(py, n_m) AS n_m, CASE WHEN matched THEN sum(CASE WHEN matched AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY i)::BIGINT END AS run
 FROM (SELECT *, coalesce(lag(matched) OVER (PARTITION BY track_id ORDER BY i), false) AS was FROM m WHERE t_s <= 12000))""")
 def rd_trace(spark: SparkSession, sf: str) -> DataFrame:
     """The runs as a display shows them at the clock of 12 000 seconds."""
     here = driven(spark, sf, 40.0).select("track_id", "fix_no", "e_m", "n_m")
-    seen = mapmatch.trace(geometry_matches(spark, sf).join(here, ["track_id", "fix_no"]), F.lit(12000.0))
-    return seen.withColumns({"e_m": r("e_m", 3), "n_m": r("n_m", 3)})
+    exact = geometry_matches(spark, sf).withColumns({"road_e": F.col("px"), "road_n": F.col("py")})
+    seen = mapmatch.trace(exact.join(here, ["track_id", "fix_no"]), F.lit(12000.0))
+    return seen.withColumns({"e_m": r("e_m"), "n_m": r("n_m")})
 
 
 _ROUTED = _search(
@@ -174,5 +180,4 @@ SELECT track_id, i, j, k, -abs(CASE WHEN straight <= 50 THEN between_m WHEN e0 =
 def rd_viterbi_graph(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges, _ = road_graph(spark, sf)
     edges = written(edges, "edges")
-    found = mapmatch.on_graph(driven(spark, sf, 8.0), road_segments(nodes, edges), edges)
-    return found.select("track_id", "fix_no", "matched", "seg_id", *(r(c, 1).alias(c) for c in ("road_e", "road_n", "offset_m", "bearing_deg")))
+    return _told(mapmatch.on_graph(driven(spark, sf, 8.0), road_segments(nodes, edges), edges))
