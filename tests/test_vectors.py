@@ -333,3 +333,23 @@ def test_what_is_left_of_the_match(spark):
         gap = lambda z, k=k: abs(bearing(d[k].e_m, d[k].n_m) - bearing(z.zone_e, z.zone_n))
         told = min(zones, key=lambda z: (min(gap(z), 360 - gap(z)), z.zone_no)).zone_id if math.hypot(d[k].e_m, d[k].n_m) <= 100 else None
         assert r.sector == told
+
+
+def test_nearest_fixes_are_found_in_one_pass_each_way(spark, capsys):
+    fixes = track(spark, [(i, 0) for i in range(4)])
+    asked = spark.createDataFrame([(1, i, t) for i, t in enumerate((-400.0, -100.0, 150.0, 151.0, 600.0, 1000.0, 1300.0))], "track_id long, key long, target_s double")
+    found = behaviour.as_of_join(asked, fixes, 300.0, nearest=True)
+    assert {r.key: r.fix and r.fix.fix_no for r in found.collect()} == {0: None, 1: 0, 2: 0, 3: 1, 4: 2, 5: 3, 6: None}
+    found.explain()
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()  # such a frame is gone through anew from every row
+
+
+def test_what_is_near_is_looked_up_once_a_place(spark, monkeypatch):
+    said = spark.createDataFrame([(i, 1, 0.0, float(i % 2) * 1000) for i in range(50)] + [(50, 1, None, None)], "report_id long, image_id long, e_m double, n_m double")
+    seen = spark.createDataFrame([(1, 7, 30.0, 0.0, "van"), (1, 8, 100.0, 0.0, "car"), (2, 9, 0.0, 0.0, "bus")], "image_id long, det_id long, e_m double, n_m double, cls string")
+    near = spark.createDataFrame([(1, k, 10.0 * (5 - k), 0.0) for k in range(1, 5)], "image_id long, track_id long, e_m double, n_m double")
+    asked = []
+    monkeypatch.setattr(reports, "pairs", lambda d, t, gate: asked.append(d.count()) or matching.pairs(d, t, gate))
+    told = {r.report_id: (r.n_150, r.n_50, r.n_van, r.n_car, r.n_bus, r.tracks) for r in reports.around(said, seen, near).collect()}
+    assert told == {i: (2, 1, 1, 0, 0, [4, 3, 2]) if i < 50 and i % 2 == 0 else (0, 0, 0, 0, 0, None) for i in range(51)}
+    assert asked == [3, 3]  # the two places, and none
