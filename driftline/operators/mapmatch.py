@@ -122,8 +122,8 @@ def emission(config: Roads) -> Column:
 
 
 def listed(fixes: DataFrame, found: DataFrame) -> DataFrame:
-    """The fixes with own, their candidates in order of rank, those of the fix before, and the straight distance from there."""
-    lists = found.groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("rank", "seg_id", "way_id", "along", "px", "py", "offset_m"))).alias("own"))
+    """The fixes with own, their candidates in order, those of the fix before, and the straight distance from there."""
+    lists = found.withColumnRenamed("found", "own")
     every = fixes.withColumn("point_id", F.struct("track_id", "fix_no")).join(lists, "point_id", "left")
     w = Window.partitionBy("track_id").orderBy(*ORDER)
     return every.withColumns({"before": F.lag("own").over(w), "straight_m": length(F.col("e_m") - F.lag("e_m").over(w), F.col("n_m") - F.lag("n_m").over(w))}).drop("point_id")
@@ -143,7 +143,7 @@ def on_geometry(fixes: DataFrame, segments: DataFrame, config: Roads = DEFAULT.r
     A fix without a segment within the gate stays unmatched and breaks its track into runs. A track of one fix is a run.
     """
     points = fixes.select(F.struct("track_id", "fix_no").alias("point_id"), "e_m", "n_m")
-    rows = listed(fixes, roads.candidates(points, segments, config.gate_m, config.geometry_candidates, cell_m=config.cell_m))
+    rows = written(listed(fixes, roads.nearest(points, segments, config.gate_m, config.geometry_candidates, cell_m=config.cell_m)), "listed")
     step = f"-abs(sqrt((c.px - p.px) * (c.px - p.px) + (c.py - p.py) * (c.py - p.py)) - straight_m) / {config.beta_m}D + IF(c.way_id = p.way_id, {config.same_way_bonus}D, 0D)"
     return chosen(rows.withColumns({"emissions": emission(config), "steps": F.expr(f"transform(before, p -> transform(own, c -> {step}))")}), segments)
 
@@ -159,7 +159,7 @@ def on_graph(fixes: DataFrame, segments: DataFrame, edges: DataFrame, config: Ro
     a new run. The ways of all steps of all tracks are asked at once.
     """
     points = fixes.select(F.struct("track_id", "fix_no").alias("point_id"), "e_m", "n_m")
-    rows = written(listed(fixes, roads.candidates(points, segments, config.gate_m, config.graph_candidates, one_per_way=True, cell_m=config.cell_m)), "listed")
+    rows = written(listed(fixes, roads.nearest(points, segments, config.gate_m, config.graph_candidates, one_per_way=True, cell_m=config.cell_m)), "listed")
     far = rows.filter(F.col("own").isNotNull() & F.col("before").isNotNull() & (F.col("straight_m") > config.near_field_m))
     route = F.struct("track_id", "fix_no", "j").alias("route_id")
     requests = far.withColumn("budget_m", budget(config)).select("track_id", "fix_no", "budget_m", F.posexplode("before").alias("j", "p")).select(route, F.col("p.seg_id").alias("edge"), F.col("p.along").alias("along"), "budget_m")
@@ -175,6 +175,7 @@ def on_graph(fixes: DataFrame, segments: DataFrame, edges: DataFrame, config: Ro
 
 def summary(matches: DataFrame, ways: DataFrame) -> DataFrame:
     """track_id, n_fixes, n_matched, matched_fraction, median_offset_m (the upper one), roads: names along the track, repeats in a row once."""
+    matches = written(matches, "matches")  # read by three groupings
     named = matches.join(ways.select("way_id", "name"), "way_id", "left")
     w = Window.partitionBy("track_id").orderBy(*ORDER)
     spoken = named.filter("name IS NOT NULL").withColumn("was", F.lag("name").over(w)).filter("was IS NULL OR was <> name")

@@ -98,7 +98,7 @@ pr AS (SELECT track_id, seg_id, way_id, t, sqrt((e_m - ax - t * 120) ** 2 + (n_m
 @query(_SEG + f"SELECT track_id AS point_id, seg_id, {rs('offset_m')} AS offset_m FROM pr WHERE offset_m <= 30")
 def rd_project(spark: SparkSession, sf: str) -> DataFrame:
     points = scene_tracks(spark, sf).select(F.col("track_id").alias("point_id"), "e_m", "n_m")
-    return roads.candidates(points, segments(spark, sf), 30.0, 1 << 30).select("point_id", "seg_id", r("offset_m").alias("offset_m"))
+    return roads.within(points, segments(spark, sf), 30.0).select("point_id", "seg_id", r("offset_m").alias("offset_m"))
 
 
 @query(_SEG + "SELECT track_id AS point_id, seg_id, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY offset_m, seg_id) AS k FROM pr WHERE offset_m <= 30) WHERE k <= 8")

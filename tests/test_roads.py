@@ -7,7 +7,7 @@ import random
 import pytest
 
 from driftline.config import Roads
-from driftline.operators import mapmatch, routing
+from driftline.operators import mapmatch, roads, routing
 
 FAR = 100_000.0
 SEGMENTS = "seg_id long, way_id long, name string, ax double, ay double, bx double, by double"
@@ -157,3 +157,31 @@ def test_search_by_brute_force(monkeypatch, settle):
             k = score[i].index(max(score[i])) if k < 0 else k
             want[i], k = k, back[i][k]
         assert dict(got) == want
+
+
+@pytest.mark.parametrize("one_per_way", [False, True])
+def test_copies_of_a_segment_are_measured_once(spark, monkeypatch, one_per_way):
+    rng = random.Random(7)
+    places = [(x := rng.randrange(0, 200) * 1.0, y := rng.randrange(0, 200) * 1.0, x + rng.choice([0, 60, 120]), y + rng.choice([0, 40])) for _ in range(25)]
+    rows = [(i, i * 5 % 7, *places[i * 3 % 25]) for i in range(500)]
+    points = [(k, rng.uniform(-20, 220), rng.uniform(-20, 220)) for k in range(60)]
+    segments = spark.createDataFrame(rows, "seg_id long, way_id long, ax double, ay double, bx double, by double")
+    sent = []
+    monkeypatch.setattr(roads, "cells", lambda s, *a, of=roads.cells: sent.append(s.count()) or of(s, *a))
+    found = roads.candidates(spark.createDataFrame(points, "point_id long, e_m double, n_m double"), segments, 30.0, 6, one_per_way)
+
+    def offset(e, n, ax, ay, bx, by):
+        sq = (bx - ax) ** 2 + (by - ay) ** 2
+        t = max(0.0, min(1.0, ((e - ax) * (bx - ax) + (n - ay) * (by - ay)) / sq)) if sq else 0.0
+        return math.hypot(e - ax - t * (bx - ax), n - ay - t * (by - ay))
+
+    want = set()
+    for k, e, n in points:
+        near, ways = [], set()
+        for d, s, w in sorted((offset(e, n, *at), s, w) for s, w, *at in rows):
+            if d <= 30 and not (one_per_way and w in ways):
+                near.append((k, s, len(near) + 1))
+                ways.add(w)
+        want |= set(near[:6])
+    assert {(r.point_id, r.seg_id, r.rank) for r in found.collect()} == want
+    assert sent[0] <= 25 * (7 if one_per_way else 1)  # not the 500
