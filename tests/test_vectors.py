@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftline.config import Base, Config
 from driftline.functions import geo
-from driftline.operators import behaviour, guards, kinematics, matching, perception, proximity, reports, rules
+from driftline.operators import behaviour, density, guards, kinematics, matching, perception, proximity, reports, rules
 
 
 def track(spark, points, step=300.0, number=1):
@@ -353,3 +353,11 @@ def test_what_is_near_is_looked_up_once_a_place(spark, monkeypatch):
     told = {r.report_id: (r.n_150, r.n_50, r.n_van, r.n_car, r.n_bus, r.tracks) for r in reports.around(said, seen, near).collect()}
     assert told == {i: (2, 1, 1, 0, 0, [4, 3, 2]) if i < 50 and i % 2 == 0 else (0, 0, 0, 0, 0, None) for i in range(51)}
     assert asked == [3, 3]  # the two places, and none
+
+
+def test_density_of_many_in_few_places(spark):
+    crowd = spark.range(100_000).select(F.lit(1).alias("clock"), "id", F.lit(2200.0).alias("e_m"), F.lit(0.0).alias("n_m"), F.lit(3).alias("weight"))
+    lone = spark.createDataFrame([(1, 100_000, 0.0, 0.0, 1)], "clock int, id long, e_m double, n_m double, weight int")
+    got = {r.id: r.density for r in density.field(crowd.unionByName(lone)).filter("id >= 99999").collect()}
+    far = np.exp(-(2200**2) / (2 * 350**2))
+    assert got[100_000] == pytest.approx(1 + 300_000 * far, abs=1e-9) and got[99_999] == pytest.approx(300_000 + far, abs=1e-6)
