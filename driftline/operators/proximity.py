@@ -89,10 +89,10 @@ def ring(range_m: Column, cfg: Config = DEFAULT) -> Column:
 
 
 def sector(points: DataFrame, zones: DataFrame, key: str = "track_id") -> DataFrame:
-    """key, zone_id of the zone nearest in bearing from the base; the first of equals."""
+    """key, zone_id of the zone nearest in bearing from the base; the first of equals, which are those within a billionth of a degree."""
     rows = with_zones(points, zones)
     d = F.abs(bearing(F.col("e_m"), F.col("n_m")) - bearing(F.col("zone_e"), F.col("zone_n")))
-    return rows.groupBy(key).agg(F.min_by("zone_id", F.struct(F.least(d, 360 - d), F.col("zone_no"))).alias("zone_id"))
+    return rows.groupBy(key).agg(F.min_by("zone_id", F.struct(F.round(F.least(d, 360 - d), 9), F.col("zone_no"))).alias("zone_id"))
 
 
 def nearest_zone(points: DataFrame, zones: DataFrame, key: str = "track_id") -> DataFrame:

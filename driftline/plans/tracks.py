@@ -207,7 +207,7 @@ def zon_ring(spark: SparkSession, sf: str) -> DataFrame:
     return kin.state(fixes(spark, sf)).groupBy(prox.ring(F.col("range_m")).alias("ring")).agg(F.count("*").alias("tracks"))
 
 
-@query(with_("states", "zones") + "SELECT track_id, arg_min(zone_id, (least(d, 360 - d), zone_no)) AS zone_id FROM (SELECT track_id, zone_id, zone_no, abs(((degrees(atan2(e_m, n_m)) % 360) + 360) % 360 - ((degrees(atan2(zone_e, zone_n)) % 360) + 360) % 360) AS d FROM states CROSS JOIN zones) GROUP BY track_id")
+@query(with_("states", "zones") + "SELECT track_id, arg_min(zone_id, (round(least(d, 360 - d), 9), zone_no)) AS zone_id FROM (SELECT track_id, zone_id, zone_no, abs(((degrees(atan2(e_m, n_m)) % 360) + 360) % 360 - ((degrees(atan2(zone_e, zone_n)) % 360) + 360) % 360) AS d FROM states CROSS JOIN zones) GROUP BY track_id")
 def join_sector(spark: SparkSession, sf: str) -> DataFrame:
     return prox.sector(kin.state(fixes(spark, sf)), zones(spark, sf))
 

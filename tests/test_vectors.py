@@ -361,3 +361,16 @@ def test_density_of_many_in_few_places(spark):
     got = {r.id: r.density for r in density.field(crowd.unionByName(lone)).filter("id >= 99999").collect()}
     far = np.exp(-(2200**2) / (2 * 350**2))
     assert got[100_000] == pytest.approx(1 + 300_000 * far, abs=1e-9) and got[99_999] == pytest.approx(300_000 + far, abs=1e-6)
+
+
+def test_zones_as_near_in_bearing_are_told_by_number(spark):
+    zones = spark.createDataFrame([(f"Z{k + 1:02d}", k, float(3200 * np.sin(np.radians(14.4 * k))), float(3200 * np.cos(np.radians(14.4 * k)))) for k in range(25)], "zone_id string, zone_no int, zone_e double, zone_n double")
+    south = spark.createDataFrame([(k, 0.0, -80.0 * k) for k in range(1, 50)], "track_id long, e_m double, n_m double")
+    turned = zones.withColumns({"zone_no": 24 - F.col("zone_no")})
+    assert {r.zone_id for r in proximity.sector(south, zones).collect()} == {"Z13"} and {r.zone_id for r in proximity.sector(south, turned).collect()} == {"Z14"}
+
+
+def test_a_half_circle_is_no_wrap(spark):
+    rows = [(k * 20 + j, i, float(i), (k / 100 if i % 2 == 0 else -(k / 100) * (1 + i)) * 40, (j if i % 2 == 0 else -j * (1 + i)) * 80.0) for k in range(1, 200) for j in range(1, 20) for i in range(4)]
+    fixes = spark.createDataFrame(rows, "track_id long, fix_no long, t_s double, e_m double, n_m double")
+    assert {round(r.sweep_deg, 6) for r in behaviour.sweep(fixes).collect()} == {180.0}
