@@ -229,6 +229,17 @@ def test_reports_of_a_frame(spark):
     assert {x.report_id for x in reports.relevant(r, f).collect()} == {1, 3, 4, 7, 8}
 
 
+def test_reports_and_frames_that_only_share_their_hours_do_not_meet(spark):
+    """Joins are by place, and what is equal is compared once: forty copies of a report and of a frame make one joined row, and all their pairs."""
+    r = spark.createDataFrame([(k, 100.0, z, "sighting", e is not None, e, e) for k, (z, e) in enumerate([("Z01", None), ("Z02", None), (None, 5.0), (None, 9e4), (None, None)] * 40)], "report_id long, t_s double, zone_id string, kind string, located boolean, e_m double, n_m double")
+    f = spark.createDataFrame([(k, 600.0, "Z01", -10.0, 10.0, -10.0, 10.0) for k in range(40)], "image_id long, capture_s double, zone_id string, west double, east double, south double, north double")
+    found = reports.relevant(r, f)
+    got = found.collect()
+    assert len(got) == len({tuple(x) for x in got}) == 3 * 40 * 40 and {x.report_id % 5 for x in got} == {0, 2, 4}
+    keys = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert len(keys) == 3 and any("zone_id" in k for k in keys) and any("cx" in k and "cy" in k for k in keys)
+
+
 def test_levels_and_their_filters(spark):
     from pyspark.sql import functions as F
 
