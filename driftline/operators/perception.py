@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.config import DEFAULT, Config
 
@@ -28,22 +31,121 @@ def greedy(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, threshold
     return fell
 
 
+#: Pairs of boxes that may overlap and are compared at a time. A frame with more of them is compared keeper by keeper.
+PAIRS = 1 << 20
+
+
+def fallen(group: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, threshold: float) -> np.ndarray:
+    """As greedy, for the boxes of many frames at once, frame by frame (group, ascending) and in order of precedence.
+
+    A sweep along x lists the boxes of a frame whose extents there overlap; only those pairs are measured.
+    """
+    fell = np.full(len(x), -1)
+    starts = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
+    ends = np.append(starts[1:], len(x))
+    if threshold <= 0:  # then boxes apart fall to each other too
+        alone = list(zip(starts, ends, strict=True))
+        after = np.zeros(len(x), np.int64)
+        order = np.arange(len(x))
+    else:
+        order = np.lexsort((x, group))
+        edges = np.unique(x)
+        place = lambda v: np.searchsorted(edges, v)
+        key = group[order] * (len(edges) + 1) + place(x[order])
+        after = np.searchsorted(key, group[order] * (len(edges) + 1) + place((x + w)[order])) - np.arange(1, len(x) + 1)
+        after = np.maximum(after, 0)
+        many = np.add.reduceat(after, starts) > PAIRS if len(starts) else np.zeros(0, bool)
+        alone = list(zip(starts[many], ends[many], strict=True))
+    for s, e in alone:
+        own = greedy(x[s:e], y[s:e], w[s:e], h[s:e], threshold)
+        fell[s:e] = np.where(own < 0, -1, own + s)
+        after[s:e] = 0  # order keeps frames where they are
+    area, right, low = w * h, x + w, y + h
+    upto = np.cumsum(after)
+    at, found = 0, []
+    while at < len(x):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        n = after[at:end]
+        first = np.repeat(np.arange(at, end), n)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = order[first], order[second]
+        tall = np.minimum(low[i], low[j]) - np.maximum(y[i], y[j])
+        i, j, tall = i[tall > 0], j[tall > 0], tall[tall > 0]
+        both = np.maximum(0, np.minimum(right[i], right[j]) - np.maximum(x[i], x[j])) * tall
+        union = area[i] + area[j] - both
+        share = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+        i, j = i[share >= threshold], j[share >= threshold]
+        found.append((np.minimum(i, j), np.maximum(i, j)))
+        at = end
+    if found:
+        i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+        by = np.lexsort((j, i))
+        lost = fell.tolist()
+        for a, b in zip(i[by].tolist(), j[by].tolist(), strict=True):
+            if lost[a] < 0 and lost[b] < 0:
+                lost[b] = a
+        fell = np.array(lost)
+    return fell
+
+
+def marked(boxes: DataFrame, score_min: float | None = None, threshold: float = DEFAULT.detection.nms_iou, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Boxes with suppressed_by; those below score_min, and without a score if there is one, neither suppress nor are suppressed.
+
+    A frame's boxes come one after another and are judged with those of other whole frames of a batch; only a frame that runs on is held over.
+    """
+    schema = T.StructType([*boxes.schema.fields, T.StructField("suppressed_by", T.LongType())])
+
+    def judged(table: pa.Table, group: np.ndarray) -> pa.Table:
+        number = lambda c: table.column(c).cast(pa.float64()).to_numpy()
+        score, idx = number("score"), table.column("idx").cast(pa.int64()).to_numpy()
+        seen = np.arange(len(score)) if score_min is None else np.flatnonzero((score >= score_min) | np.isnan(score) & ~table.column("score").is_null().to_numpy())
+        at = seen[np.lexsort((idx[seen], -score[seen], group[seen]))]
+        fell = fallen(group[at], *(number(c)[at] for c in "xywh"), threshold)
+        keeper, free = np.zeros(len(score), np.int64), np.ones(len(score), bool)
+        down = at[fell >= 0]
+        keeper[down], free[down] = idx[at[fell[fell >= 0]]], False
+        return table.append_column("suppressed_by", pa.array(keeper, mask=free))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            table = pa.Table.from_batches([b])
+            tail = held[-1].slice(held[-1].num_rows - 1) if held else None
+            group = numbered(table if tail is None else pa.concat_tables([tail, table]))
+            goes_on = tail is not None and group[0] == group[1]
+            group = group if tail is None else group[1:]
+            last = int(np.searchsorted(group, group[-1]))  # the last frame may go on in the next batch
+            if last == 0 and goes_on:
+                held.append(table)
+                continue
+            whole = pa.concat_tables([*held, table.slice(0, last)]) if held else table.slice(0, last)
+            if whole.num_rows:
+                yield from judged(whole, numbered(whole)).combine_chunks().to_batches()
+            held = [table.slice(last)]
+        if held:
+            whole = pa.concat_tables(held)
+            yield from judged(whole, numbered(whole)).combine_chunks().to_batches()
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        """Numbers the frames of sorted rows from 0; nulls are alike."""
+        new = np.zeros(table.num_rows, bool)
+        for c in by:
+            code = table.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.cumsum(new)
+
+    return boxes.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
 def suppress(boxes: DataFrame, threshold: float = DEFAULT.detection.nms_iou, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Boxes with suppressed_by (null for those that stay), greedily by score, then by index.
 
     by: ("image_id",) or, to keep classes apart, ("image_id", "cls"). A group is one camera frame's boxes, which bounds its
-    size; within it every keeper meets the boxes after it as arrays.
+    size; within it the boxes that overlap meet as arrays.
     """
-    schema = ", ".join(f"{c} {boxes.schema[c].dataType.simpleString()}" for c in by) + ", idx long, suppressed_by long"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "idx"], ascending=[False, True], ignore_index=True)
-        fell = greedy(*(pdf[c].to_numpy(float) for c in "xywh"), threshold)
-        keeper = pd.array(pdf["idx"].to_numpy()[fell], "Int64")
-        keeper[fell < 0] = pd.NA
-        return pdf[[*by, "idx"]].assign(suppressed_by=keeper)
-
-    return boxes.select(*by, F.col("idx").cast("long").alias("idx"), "score", "x", "y", "w", "h").groupBy(*by).applyInPandas(run, schema)
+    return marked(boxes.select(*by, F.col("idx").cast("long").alias("idx"), "score", "x", "y", "w", "h"), None, threshold, by).select(*by, "idx", "suppressed_by")
 
 
 def detections(boxes: DataFrame, frames: DataFrame, cfg: Config = DEFAULT, per_class: bool = False) -> DataFrame:

@@ -76,6 +76,36 @@ def test_suppression_by_brute_force(spark):
     assert {(r.image_id, r.idx): r.suppressed_by for r in perception.suppress(df).collect()} == want
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.1, 0.5, 1.0])
+def test_suppression_of_many_frames_at_once(monkeypatch, threshold):
+    """Frames judged together fall as each does alone, with boxes without area or of negative size, and whether pairs are many or few."""
+    from driftline.operators import perception
+
+    rng = np.random.default_rng(5)
+    group = np.sort(np.concatenate([rng.integers(0, 40, 900), np.full(200, 40)]))
+    x, y, w, h = (rng.integers(lo, hi, len(group)).astype(float) for lo, hi in ((0, 60), (0, 40), (-1, 25), (0, 25)))
+    want = np.concatenate([np.where((f := perception.greedy(x[g], y[g], w[g], h[g], threshold)) < 0, -1, f + g[0]) for g in (np.flatnonzero(group == k) for k in np.unique(group))])
+    for pairs in (1 << 20, 700, 1):
+        monkeypatch.setattr(perception, "PAIRS", pairs)
+        assert (perception.fallen(group, x, y, w, h, threshold) == want).all()
+
+
+def test_frames_longer_than_a_batch(spark):
+    """A frame that runs over several batches is judged as one, and so are small ones around it."""
+    from driftline.operators import perception
+
+    rng = np.random.default_rng(6)
+    rows = [(im, k, float(s), float(a), float(b), 9.0, 9.0) for im, n in ((1, 3), (2, 90), (3, 1), (4, 40), (5, 30)) for k, (s, a, b) in enumerate(zip(rng.random(n), rng.integers(0, 30, n), rng.integers(0, 30, n), strict=True))]
+    df = spark.createDataFrame(rows, "image_id long, idx long, score double, x double, y double, w double, h double")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        want = {tuple(r) for r in perception.suppress(df, 0.3).collect()}
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+        assert {tuple(r) for r in perception.suppress(df, 0.3).collect()} == want and len(want) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
 def test_funnel_counts_the_whole_table(spark):
     from compare import DATA
 
