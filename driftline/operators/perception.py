@@ -151,12 +151,10 @@ def suppress(boxes: DataFrame, threshold: float = DEFAULT.detection.nms_iou, by:
 def detections(boxes: DataFrame, frames: DataFrame, cfg: Config = DEFAULT, per_class: bool = False) -> DataFrame:
     """Every box with area_m2, kept, drop_reason (score, nms, area, in this order of tests) and suppressed_by. frames: image_id, gsd_x, gsd_y."""
     d = cfg.detection
-    by = ("image_id", "cls") if per_class else ("image_id",)
-    passed = suppress(boxes.filter(F.col("score") >= d.score_min), d.nms_iou, by).drop("cls")
-    rows = boxes.join(passed.withColumn("seen", F.lit(True)), ["image_id", "idx"], "left").join(frames.select("image_id", "gsd_x", "gsd_y"), "image_id", "left")
+    rows = marked(boxes, d.score_min, d.nms_iou, ("image_id", "cls") if per_class else ("image_id",)).join(frames.select("image_id", "gsd_x", "gsd_y"), "image_id", "left")
     area = F.col("w") * F.col("h") * F.col("gsd_x") * F.col("gsd_y")
-    reason = F.when(F.col("seen").isNull(), "score").when(F.col("suppressed_by").isNotNull(), "nms").when(area < d.min_area_m2, "area")
-    return rows.withColumns({"area_m2": area, "drop_reason": reason, "kept": reason.isNull()}).drop("seen", "gsd_x", "gsd_y")
+    reason = F.when(F.coalesce(F.col("score") < d.score_min, F.lit(True)), "score").when(F.col("suppressed_by").isNotNull(), "nms").when(area < d.min_area_m2, "area")
+    return rows.withColumns({"area_m2": area, "drop_reason": reason, "kept": reason.isNull()}).drop("gsd_x", "gsd_y")
 
 
 def funnel(rows: DataFrame) -> DataFrame:

@@ -76,6 +76,18 @@ def test_suppression_by_brute_force(spark):
     assert {(r.image_id, r.idx): r.suppressed_by for r in perception.suppress(df).collect()} == want
 
 
+def test_detections_read_their_boxes_once(spark):
+    """Boxes pass through the suppression whole: what fell is not looked up again; a box without a score is dropped for it."""
+    from driftline.operators import perception
+
+    df = spark.createDataFrame([(1, 0, "car", 0.9, 0.0, 0.0, 9.0, 9.0), (1, 1, "van", 0.8, 0.0, 0.0, 9.0, 9.0), (1, 2, "van", 0.1, 0.0, 0.0, 9.0, 9.0), (1, 3, "bus", None, 0.0, 0.0, 9.0, 9.0), (2, 0, "bus", 0.9, 0.0, 0.0, 0.1, 0.1)], "image_id long, idx long, cls string, score double, x double, y double, w double, h double")
+    size = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, 1.0)], "image_id long, gsd_x double, gsd_y double")
+    rows = perception.detections(df, size)
+    assert {(r.image_id, r.idx): (r.drop_reason, r.suppressed_by) for r in rows.collect()} == {(1, 0): (None, None), (1, 1): ("nms", 0), (1, 2): ("score", None), (1, 3): ("score", None), (2, 0): ("area", None)}
+    assert {(r.idx, r.drop_reason) for r in perception.detections(df, size, per_class=True).filter("image_id = 1").collect()} == {(0, None), (1, None), (2, "score"), (3, "score")}
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 @pytest.mark.parametrize("threshold", [0.0, 0.1, 0.5, 1.0])
 def test_suppression_of_many_frames_at_once(monkeypatch, threshold):
     """Frames judged together fall as each does alone, with boxes without area or of negative size, and whether pairs are many or few."""
