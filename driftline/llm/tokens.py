@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from array import array
+from collections.abc import Collection
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +19,13 @@ from .common import MEMO_WORDS
 JOINED = 64
 
 
+def cut(values: pa.BinaryArray) -> list[bytes]:
+    """The values of an array without nulls; to_pylist makes an object of Arrow for each of them first."""
+    at = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].tolist() if len(values) else [0]
+    body = values.buffers()[2].to_pybytes() if at[-1] else b""
+    return [body[x:y] for x, y in itertools.pairwise(at)]
+
+
 class Encoder(dict):
     """Maps a chunk of text to its ids as little-endian unsigned 32-bit integers, memoised.
 
@@ -47,8 +56,8 @@ class Encoder(dict):
         """Chunks as one text in which their ids can be told apart: every chunk begins with an id of `bounds`, or one stands between them."""
         raise NotImplementedError
 
-    def learn(self, new: set[bytes]) -> None:
-        """Puts chunks that the memo lacks into it."""
+    def learn(self, new: Collection[bytes]) -> None:
+        """Puts different chunks that the memo lacks into it."""
         new = list(new)
         groups = [new[at : at + JOINED] for at in range(0, len(new), JOINED)]
         for group, e in zip(groups, self.of.encode_batch_fast([self.joined(g) for g in groups], add_special_tokens=False), strict=True):
@@ -107,14 +116,16 @@ class ByteEncoder(Encoder):
     whatever mark follows it. Texts with other spaces, or with what may be a special token, are encoded whole.
     """
 
-    ODD = re.compile(rb" (?:[\s\x1c-\x1f\x80-\xff]|\Z)")
-    SPACES = re.compile(r" (?:\s|\Z)")
+    #: A space before white space, ASCII or beyond, or at the end.
+    SPACES = re.compile(rb" (?:[\s\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\Z)")
     MARKS = b".,;:!?"
+    ENDS = tuple(bytes([m]) for m in MARKS)
     #: First bytes of characters beyond ASCII among which there is white space.
     WIDE = frozenset(b"\xc2\xe1\xe2\xe3")
 
     def __init__(self, path: str, most: int = 3 * MEMO_WORDS):
         super().__init__(path, most)
+        self.of.model._resize_cache(0)  # the memo knows what repeats, so the library's own cache only costs time
         self.tails: dict[bytes, bytes] = {}
         self.newline = self.of.token_to_id("\u010a")
 
@@ -125,8 +136,7 @@ class ByteEncoder(Encoder):
         return b" ".join([b"", *chunks]).decode()
 
     def whole(self, text: bytes) -> bool:
-        # A byte over 0x7f may begin white space beyond ASCII, so only such spaces that a letter of two bytes follows go on.
-        return b"<|" in text or bool(self.ODD.search(text)) and bool(self.SPACES.search(text.decode()))
+        return b"<|" in text or self.SPACES.search(text) is not None
 
     def edged(self, line: bytes) -> bool:
         """Whether a line begins or ends with what may be white space, or is empty."""
@@ -148,15 +158,18 @@ class ByteEncoder(Encoder):
         else:
             self.update(zip(group, self.ids([c.decode() for c in group]), strict=True))
 
-    def learn(self, new: set[bytes]) -> None:
+    def learn(self, new: Collection[bytes]) -> None:
         breaks = [c for c in new if c[:1] == b"\n"]
         plain = [c for c in breaks if c.count(b"\n") == 1 and not self.edged(c[1:])]
         for at in range(0, len(plain), JOINED):
             self.apart(plain[at : at + JOINED])
         odd = list({*breaks}.difference(plain))
         self.update(zip(odd, self.ids([c.decode() for c in odd]), strict=True))
-        stems = {c: stem for c in new if c[-1:] in self.MARKS and (stem := c.rstrip(self.MARKS))[-1:].isalpha() and c[:1] != b"\n"}
-        super().learn({w for w in {stems.get(c, c) for c in new.difference(breaks)} if w not in self})
+        rest = [c for c in new if c[:1] != b"\n"] if breaks else new
+        stems = {c: stem for c in rest if c.endswith(self.ENDS) and (stem := c.rstrip(self.MARKS))[-1:].isalpha()}
+        words = [c for c in rest if c not in stems] if stems else list(rest)
+        words += {w for w in stems.values() if w not in self}.difference(words)
+        super().learn(words)
         for c, stem in stems.items():
             mark = c[len(stem) :]
             if mark not in self.tails:
@@ -174,10 +187,10 @@ class ByteEncoder(Encoder):
         at = parts.offsets.to_numpy()
         first = parts.values.take(pa.array(at[:-1])).to_pylist()
         numbered = parts.values.dictionary_encode()
-        chunks = numbered.dictionary.to_pylist()
+        chunks = cut(numbered.dictionary)
         found = list(map(self.get, chunks))
         lacking = [i for i, x in enumerate(found) if x is None]
-        self.learn({chunks[i] for i in lacking})
+        self.learn([chunks[i] for i in lacking])
         for i in lacking:
             found[i] = self[chunks[i]]
         found += self.ids([(t if w else f).decode() for t, w, f in zip(texts, whole, first, strict=True)])

@@ -10,6 +10,7 @@ from collections import Counter
 import compare
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -34,6 +35,22 @@ def ids(path, text):
     return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
 
+def test_spaces_that_tokenizers_see(texts):
+    """The byte encoder finds a space before any white space of Unicode without decoding, cuts arrays as to_pylist does, and keeps no second cache."""
+    from driftline.llm import tokens
+
+    for c in map(chr, [*range(0x3100), 0xFEFF, 0x1F600]):
+        assert bool(tokens.ByteEncoder.SPACES.search(f"a {c}b".encode())) == c.isspace(), hex(ord(c))
+    assert tokens.ByteEncoder.SPACES.search(b"a ") and not tokens.ByteEncoder.SPACES.search(b"a b")
+    values = pa.array([b"a", b"", b"bcd"], pa.binary())
+    for v in (values, values.slice(1), values.slice(3), pa.array([], pa.binary())):
+        assert tokens.cut(v) == v.to_pylist()
+    rows = ["a  b", "x.,; y!", "\n\n a\n", "\u00e9t\u00e9 \u3000z", "", "tail ", "w\nw.\nw", *(t or "" for t in texts.values())]
+    encoder = tokens.ByteEncoder(BYTES, most=50)
+    for _ in range(2):
+        assert [list(array("I", x)) for x in encoder.encode([t.encode() for t in rows])] == [ids(BYTES, t) for t in rows]
+
+
 def test_packing(spark, texts):
     rows = queries.op1_pack(spark, SMALL).collect()
     seats, pieces = {}, {}
