@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.config import DEFAULT, Config
+from driftline.functions.groups import whole
 
 CLASSES = ("car", "van", "truck", "bus")
 
@@ -107,34 +108,8 @@ def marked(boxes: DataFrame, score_min: float | None = None, threshold: float =
         return table.append_column("suppressed_by", pa.array(keeper, mask=free))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            table = pa.Table.from_batches([b])
-            tail = held[-1].slice(held[-1].num_rows - 1) if held else None
-            group = numbered(table if tail is None else pa.concat_tables([tail, table]))
-            goes_on = tail is not None and group[0] == group[1]
-            group = group if tail is None else group[1:]
-            last = int(np.searchsorted(group, group[-1]))  # the last frame may go on in the next batch
-            if last == 0 and goes_on:
-                held.append(table)
-                continue
-            whole = pa.concat_tables([*held, table.slice(0, last)]) if held else table.slice(0, last)
-            if whole.num_rows:
-                yield from judged(whole, numbered(whole)).combine_chunks().to_batches()
-            held = [table.slice(last)]
-        if held:
-            whole = pa.concat_tables(held)
-            yield from judged(whole, numbered(whole)).combine_chunks().to_batches()
-
-    def numbered(table: pa.Table) -> np.ndarray:
-        """Numbers the frames of sorted rows from 0; nulls are alike."""
-        new = np.zeros(table.num_rows, bool)
-        for c in by:
-            code = table.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()
-            new[1:] |= code[1:] != code[:-1]
-        return np.cumsum(new)
+        for table, group in whole(batches, by):
+            yield from judged(table, group).combine_chunks().to_batches()
 
     return boxes.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 

@@ -5,9 +5,15 @@ Points of one shape are ordered by a window on its id; everything else is sums,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from driftline.functions.groups import whole
 from driftline.functions.stages import written
 
 TILE_M = 2000.0
@@ -62,13 +68,66 @@ def tiles(points: DataFrame, side: float = TILE_M) -> DataFrame:
     return placed.groupBy("tile_e", "tile_n").agg(F.count("*").alias("shapes"), F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"))
 
 
+#: Points of the longest line that a task simplifies together with others; longer ones are split piece by piece over tasks.
+SHORT = 2048
+
+
+def stays(line: np.ndarray, e: np.ndarray, n: np.ndarray, tolerance_m: float) -> np.ndarray:
+    """Whether each point of many lines (line ascending, points in order, finite) stays. All pieces of all lines split side by side."""
+    first = np.flatnonzero(np.diff(line, prepend=line[:1] - 1))
+    last = np.append(first[1:], len(line)) - 1
+    kept = np.zeros(len(line), bool)
+    kept[first] = kept[last] = True
+    at = np.flatnonzero(~kept)
+    own = np.searchsorted(first, at, "right") - 1
+    a, b = first[own], last[own]
+    while len(at):
+        dx, dy, px, py = e[b] - e[a], n[b] - n[a], e[at] - e[a], n[at] - n[a]
+        long_ = dx * dx + dy * dy
+        t = np.maximum(0.0, np.minimum(1.0, np.divide(px * dx + py * dy, long_, out=np.zeros_like(long_), where=long_ != 0)))
+        off = (px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy)
+        begins = np.flatnonzero(np.diff(a, prepend=-1))
+        sizes = np.diff(begins, append=len(at))
+        most = np.maximum.reduceat(off, begins)
+        top = np.flatnonzero(off == np.repeat(most, sizes))
+        split = at[top[np.searchsorted(top, begins)]]  # the first of equals
+        kept[split[most > tolerance_m * tolerance_m]] = True
+        s = np.repeat(split, sizes)
+        on = np.repeat(most > tolerance_m * tolerance_m, sizes) & (at != s)
+        at, a, b, s = at[on], a[on], b[on], s[on]
+        a, b = np.where(at > s, s, a), np.where(at < s, s, b)
+    return kept
+
+
 def simplified(points: DataFrame, tolerance_m: float) -> DataFrame:
     """shape_id, pos of the points of each line (shape_id, pos, e_m, n_m) that stay: ends, and while a point is farther than the
     tolerance from the piece between two that stay, the farthest, the first of equals.
 
-    All pieces of all lines split side by side, round by round; a piece is a key, so a long line spreads over tasks, and points of
-    finished pieces leave. A line of two points or fewer stays as it is.
+    Lines of up to SHORT points are settled in one pass, many at once. All pieces of all longer lines split side by side, round by
+    round; a piece is a key, so a long line spreads over tasks, and points of finished pieces leave. So do lines with a coordinate
+    that is no finite number. A line of two points or fewer stays as it is.
     """
+    odd = F.coalesce(F.isnan("e_m") | F.isnan("n_m") | (F.abs("e_m") == float("inf")) | (F.abs("n_m") == float("inf")), F.lit(True))
+    sized = points.select("shape_id", "pos", F.col("e_m").cast("double").alias("e_m"), F.col("n_m").cast("double").alias("n_m"))
+    lines = written(sized, "lines")
+    sizes = lines.groupBy("shape_id").agg(F.count("*").alias("n"), F.max(odd).alias("odd"))
+    far = sizes.filter(F.col("odd") | (F.col("n") > SHORT)).select("shape_id")
+    schema = T.StructType([points.schema["shape_id"], points.schema["pos"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, line in whole(batches, ("shape_id",)):
+            on = stays(line, table.column("e_m").to_numpy(), table.column("n_m").to_numpy(), tolerance_m)
+            yield from table.select(["shape_id", "pos"]).filter(pa.array(on)).combine_chunks().to_batches()
+
+    long_ = written(far, "long")
+    near = lines.join(long_, "shape_id", "left_anti")
+    settled = near.repartition("shape_id").sortWithinPartitions("shape_id", "pos").mapInArrow(run, schema)
+    if long_.isEmpty():
+        return settled
+    return settled.unionByName(_by_rounds(lines.join(long_, "shape_id", "left_semi"), tolerance_m))
+
+
+def _by_rounds(points: DataFrame, tolerance_m: float) -> DataFrame:
     ends = points.groupBy("shape_id").agg(F.min(F.struct("pos", "e_m", "n_m")).alias("a"), F.max(F.struct("pos", "e_m", "n_m")).alias("b"))
     kept = [ends.select("shape_id", F.explode(F.array_distinct(F.array("a.pos", "b.pos"))).alias("pos"))]
     open_ = written(points.join(ends, "shape_id").filter("pos > a.pos AND pos < b.pos").select("shape_id", "pos", "e_m", "n_m", "a", "b"), "line")

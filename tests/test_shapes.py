@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from driftline.operators import shapes
 
 POINT = "shape_id long, pos long, e_m double, n_m double"
@@ -98,3 +100,16 @@ def test_stitch(spark):
         assert key[1:] == (least, shut) and len(line) == n and (line[0] == line[-1]) == shut
         assert {frozenset(x) for x in zip(line, line[1:], strict=False)} == sides
     assert shapes.stitched(spark.createDataFrame([], "shape_id long, way long, pos long, e_m double, n_m double")).collect() == []
+
+
+def test_lines_of_one_task_and_of_many_keep_the_same_points(spark, monkeypatch):
+    """Short lines are settled at once and longer ones by rounds, to the same points; an odd coordinate sends a line by rounds."""
+    rng = np.random.default_rng(8)
+    rows = [(k, i, float(e), float(n)) for k, size in enumerate((1, 2, 3, 40, 90, 60)) for i, (e, n) in enumerate(rng.integers(0, 12, (size, 2)))]
+    rows += [(9, i, float("nan") if i == 3 else float(i * i), 0.0) for i in range(6)]
+    lines = spark.createDataFrame(rows, "shape_id long, pos long, e_m double, n_m double")
+    want = {tuple(r) for r in shapes._by_rounds(lines, 2.0).collect()}
+    for most in (2048, 50):
+        monkeypatch.setattr(shapes, "SHORT", most)
+        got = [tuple(r) for r in shapes.simplified(lines, 2.0).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
