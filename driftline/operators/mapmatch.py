@@ -156,16 +156,16 @@ def on_graph(fixes: DataFrame, segments: DataFrame, edges: DataFrame, config: Ro
     """As on_geometry, but steps count as long as the way on the graph. segments are the edges' places, with seg_id as edge.
 
     Candidates are the nearest edge of each way. Short steps are measured straight. A fix that no candidate before it reaches starts
-    a new run. The ways of all steps of all tracks are asked at once.
+    a new run. Tracks share roads, so the ways between the ends of edges are searched, once for each pair of edges that any step asks for.
     """
     points = fixes.select(F.struct("track_id", "fix_no").alias("point_id"), "e_m", "n_m")
     rows = written(listed(fixes, roads.nearest(points, segments, config.gate_m, config.graph_candidates, one_per_way=True, cell_m=config.cell_m)), "listed")
-    far = rows.filter(F.col("own").isNotNull() & F.col("before").isNotNull() & (F.col("straight_m") > config.near_field_m))
-    route = F.struct("track_id", "fix_no", "j").alias("route_id")
-    requests = far.withColumn("budget_m", budget(config)).select("track_id", "fix_no", "budget_m", F.posexplode("before").alias("j", "p")).select(route, F.col("p.seg_id").alias("edge"), F.col("p.along").alias("along"), "budget_m")
-    goals = far.select("track_id", "fix_no", "own", F.explode(F.sequence(F.lit(0), F.size("before") - 1)).alias("j")).select(route, F.posexplode("own").alias("goal", "c")).select("route_id", "goal", F.col("c.seg_id").alias("edge"), F.col("c.along").alias("along"))
-    asked = routing.routes(edges, requests, goals).filter("distance_m IS NOT NULL")
-    table = asked.groupBy("route_id.track_id", "route_id.fix_no").agg(F.map_from_entries(F.collect_list(F.struct((F.col("route_id.j") * 64 + F.col("goal")).alias("at"), "distance_m"))).alias("ways"))
+    far = rows.filter(F.col("own").isNotNull() & F.col("before").isNotNull() & (F.col("straight_m") > config.near_field_m)).withColumn("budget_m", budget(config)).filter("budget_m > 0")
+    pairs = far.select("track_id", "fix_no", "budget_m", "own", F.posexplode("before").alias("j", "p")).select("track_id", "fix_no", "budget_m", "j", "p", F.posexplode("own").alias("k", "c"))
+    pairs = pairs.select("track_id", "fix_no", "budget_m", "j", "k", F.col("p.seg_id").alias("edge"), F.col("p.along").alias("along"), F.col("c.seg_id").alias("goal_edge"), F.col("c.along").alias("goal_along"))
+    between = written(routing.edge_distances(edges, pairs.groupBy("edge", "goal_edge").agg(F.max("budget_m").alias("budget_m"))), "between")
+    asked = pairs.join(between, ["edge", "goal_edge"]).withColumn("distance_m", routing.along_edges()).filter("distance_m IS NOT NULL")
+    table = asked.groupBy("track_id", "fix_no").agg(F.map_from_entries(F.collect_list(F.struct((F.col("j") * 64 + F.col("k")).alias("at"), "distance_m"))).alias("ways"))
     cost = f"-abs(m - straight_m) / {config.beta_m}D"
     near = f"transform(before, p -> transform(own, c -> {cost.replace('(m', '(sqrt((c.px - p.px) * (c.px - p.px) + (c.py - p.py) * (c.py - p.py))')}))"
     routed = f"transform(before, (p, j) -> transform(own, (c, k) -> {cost.replace('(m', '(try_element_at(ways, j * 64 + k)')}))"

@@ -5,8 +5,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.config import Roads
+from driftline.functions import stages
 from driftline.operators import mapmatch, roads, routing
 
 FAR = 100_000.0
@@ -117,6 +119,50 @@ def test_matching_on_a_graph(spark):
     assert [r.matched for r in gate.orderBy("fix_no").collect()] == [True, False, True]
 
 
+def test_distances_between_edges(spark):
+    """Of random points on edges: as routes finds them, request by request."""
+    nodes, edges, _ = grid(spark)
+    spots = [0.0, 1.0, 0.05, 0.25, 0.5, 0.7]
+    rng = random.Random(3)
+    steps = [(i, rng.randrange(24), rng.choice(spots), rng.randrange(24), rng.choice(spots), rng.choice([0.5, 60.0, 200.0, 450.0, 900.0, 3000.0])) for i in range(400)] + [(400, 3, 0.2, 3, 0.9, 1.0)]
+    asked = spark.createDataFrame(steps, "route_id long, edge long, along double, goal_edge long, goal_along double, budget_m double")
+    pairs = asked.groupBy("edge", "goal_edge").agg(F.max("budget_m").alias("budget_m"))
+    own = asked.join(routing.edge_distances(edges, pairs), ["edge", "goal_edge"]).select("route_id", routing.along_edges().alias("m")).collect()
+    goals = asked.select("route_id", F.lit(0).alias("goal"), F.col("goal_edge").alias("edge"), F.col("goal_along").alias("along"))
+    want = {r.route_id: r.distance_m for r in routing.routes(edges, asked.select("route_id", "edge", "along", "budget_m"), goals).collect()}
+    assert len(own) == len(want) == 401 and 0 < sum(m is None for m in want.values()) < 300
+    assert {r.route_id: r.m for r in own} == {i: m if m is None else pytest.approx(m) for i, m in want.items()}
+
+
+def test_a_crossing_is_equally_far_on_all_its_edges(spark):
+    """To the last bit, whatever the lengths: ties between candidates hang on it."""
+    rng = random.Random(5)
+    nodes = spark.createDataFrame([(i, round(i % 5 * 300 + rng.random() * 40, 1), round(i // 5 * 300 + rng.random() * 40, 1)) for i in range(25)], "osm_id long, e_m double, n_m double")
+    ways = spark.createDataFrame([(w, [w * 5 + i if w < 5 else w - 5 + i * 5 for i in range(5)], None, None, None) for w in range(10)], "way long, osm_ids array<long>, name string, class string, oneway string")
+    _, edges, _ = routing.graph(nodes, ways)
+    ends = edges.select(F.explode(F.array(F.struct("edge", F.lit(0.0).alias("along"), F.col("u").alias("node")), F.struct("edge", F.lit(1.0).alias("along"), F.col("v").alias("node")))).alias("x")).select("x.*")
+    both = ends.crossJoin(ends.select(F.col("edge").alias("goal_edge"), F.col("along").alias("goal_along"), F.col("node").alias("goal"))).filter("edge <> goal_edge").withColumn("budget_m", F.lit(5000.0))
+    table = routing.edge_distances(edges, both.groupBy("edge", "goal_edge").agg(F.max("budget_m").alias("budget_m")))
+    told = both.join(table, ["edge", "goal_edge"]).withColumn("m", routing.along_edges()).filter("node <> goal").groupBy("node", "goal").agg(F.count_distinct("m").alias("n")).collect()
+    assert len(told) == 25 * 24 and all(r.n == 1 for r in told)
+
+
+def test_more_tracks_on_the_same_roads_search_no_further(spark, monkeypatch):
+    nodes, edges, _ = grid(spark)
+    rng = random.Random(11)
+    driven = [[(rng.uniform(0, 600), rng.randrange(4) * 200 + 5), (rng.randrange(4) * 200 - 5, rng.uniform(0, 600))] * 2 for _ in range(120)]
+    sizes = {}
+    for n in (60, 120):
+        rows = [(t, i * 300.0, i, float(e), float(k)) for t, points in enumerate(driven[:n]) for i, (e, k) in enumerate(points)]
+        fixes = spark.createDataFrame(rows, "track_id long, t_s double, fix_no long, e_m double, n_m double")
+        seen = []
+        monkeypatch.setattr(routing, "written", lambda df, name, of=stages.written, seen=seen: seen.append((name, (out := of(df, name)).count())) or out)
+        assert mapmatch.on_graph(fixes, laid(nodes, edges), edges).filter("matched").count() == n * 4
+        sizes[n] = max(k for name, k in seen if name == "round")
+        monkeypatch.undo()
+    assert sizes[120] <= 16 * 16  # the nodes as seen from each of them, not from each fix
+
+
 def test_a_near_road_out_of_reach_is_not_taken(spark):
     nodes = spark.createDataFrame([(10, 0.0, 0.0), (11, 400.0, 0.0), (12, 0.0, 40.0), (13, 400.0, 40.0)], "osm_id long, e_m double, n_m double")
     ways = spark.createDataFrame([(0, [10, 11], "Joined", "residential", "no"), (1, [12, 99, 12, 13], "Apart", "residential", "-1")], "way long, osm_ids array<long>, name string, class string, oneway string")
