@@ -86,15 +86,17 @@ class Search:
         self.__init__()
 
 
-def likeliest(rows: DataFrame) -> DataFrame:
+def likeliest(rows: DataFrame, dealt: bool = False) -> DataFrame:
     """track_id, fix_no, chosen: the number (from 0) of the candidate that the likeliest way takes at every fix, null where there is none.
 
     rows: track_id, t_s, fix_no, emissions (a log score for each candidate), steps (for each candidate of the fix before, a log score
     to each of this fix; null entries can't be). A fix without candidates, or none of whose steps can be, starts a new run; each run
-    ends at its best. Of equal scores the earlier candidate counts. Rows of a track lie in one task, in order, but are not gathered.
+    ends at its best. Of equal scores the earlier candidate counts. Rows of a track lie in one task, in order, but are not gathered; if
+    they are dealt, they lie so already.
     """
     kind = rows.schema["track_id"].dataType.simpleString(), rows.schema["fix_no"].dataType.simpleString()
-    sent = rows.select("track_id", *ORDER, "emissions", "steps").repartition("track_id").sortWithinPartitions("track_id", *ORDER)
+    sent = rows.select("track_id", *ORDER, "emissions", "steps")
+    sent = (sent if dealt else sent.repartition("track_id")).sortWithinPartitions("track_id", *ORDER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = None
@@ -126,12 +128,12 @@ def listed(fixes: DataFrame, found: DataFrame) -> DataFrame:
     lists = found.withColumnRenamed("found", "own")
     every = fixes.withColumn("point_id", F.struct("track_id", "fix_no")).join(lists, "point_id", "left")
     w = Window.partitionBy("track_id").orderBy(*ORDER)
-    return every.withColumns({"before": F.lag("own").over(w), "straight_m": length(F.col("e_m") - F.lag("e_m").over(w), F.col("n_m") - F.lag("n_m").over(w))}).drop("point_id")
+    return every.withColumns({"before": F.lag("own").over(w), "straight_m": length(F.col("e_m") - F.lag("e_m").over(w), F.col("n_m") - F.lag("n_m").over(w))}).drop("point_id", "e_m", "n_m")
 
 
-def chosen(rows: DataFrame, segments: DataFrame) -> DataFrame:
-    """track_id, fix_no, matched, seg_id, way_id, along, px, py, road_e, road_n, offset_m, exact_m, bearing_deg of all fixes; road_e, road_n and offset_m are px, py and exact_m to 0.1 m."""
-    best = rows.select("track_id", *ORDER, "own").join(likeliest(rows), ["track_id", "fix_no"])
+def chosen(rows: DataFrame, found: DataFrame, segments: DataFrame) -> DataFrame:
+    """What the likeliest way found: track_id, fix_no, matched, seg_id, way_id, along, px, py, road_e, road_n, offset_m, exact_m, bearing_deg of all fixes; road_e, road_n and offset_m are px, py and exact_m to 0.1 m."""
+    best = rows.select("track_id", *ORDER, "own").join(found, ["track_id", "fix_no"])
     own = best.withColumn("c", F.expr("get(own, chosen)")).select("track_id", *ORDER, F.col("c").isNotNull().alias("matched"), "c.seg_id", "c.way_id", "c.along", "c.px", "c.py", "c.offset_m")
     bearing = F.pmod(F.degrees(F.atan2(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), F.lit(360.0))
     return own.join(segments.select("seg_id", F.round(bearing, 1).alias("bearing_deg")), "seg_id", "left").select("track_id", *ORDER, "matched", "seg_id", "way_id", "along", "px", "py", F.round("px", 1).alias("road_e"), F.round("py", 1).alias("road_n"), F.round("offset_m", 1).alias("offset_m"), F.col("offset_m").alias("exact_m"), "bearing_deg")
@@ -145,7 +147,7 @@ def on_geometry(fixes: DataFrame, segments: DataFrame, config: Roads = DEFAULT.r
     points = fixes.select(F.struct("track_id", "fix_no").alias("point_id"), "e_m", "n_m")
     rows = written(listed(fixes, roads.nearest(points, segments, config.gate_m, config.geometry_candidates, cell_m=config.cell_m)), "listed")
     step = f"-abs(sqrt((c.px - p.px) * (c.px - p.px) + (c.py - p.py) * (c.py - p.py)) - straight_m) / {config.beta_m}D + IF(c.way_id = p.way_id, {config.same_way_bonus}D, 0D)"
-    return chosen(rows.withColumns({"emissions": emission(config), "steps": F.expr(f"transform(before, p -> transform(own, c -> {step}))")}), segments)
+    return chosen(rows, likeliest(rows.withColumns({"emissions": emission(config), "steps": F.expr(f"transform(before, p -> transform(own, c -> {step}))")})), segments)
 
 
 def budget(config: Roads) -> Column:
@@ -159,18 +161,21 @@ def on_graph(fixes: DataFrame, segments: DataFrame, edges: DataFrame, config: Ro
     a new run. Tracks share roads, so the ways between the ends of edges are searched, once for each pair of edges that any step asks for.
     """
     points = fixes.select(F.struct("track_id", "fix_no").alias("point_id"), "e_m", "n_m")
+    segments = roads.reached(segments, points, config.gate_m, config.cell_m)
     rows = written(listed(fixes, roads.nearest(points, segments, config.gate_m, config.graph_candidates, one_per_way=True, cell_m=config.cell_m)), "listed")
     far = rows.filter(F.col("own").isNotNull() & F.col("before").isNotNull() & (F.col("straight_m") > config.near_field_m)).withColumn("budget_m", budget(config)).filter("budget_m > 0")
-    pairs = far.select("track_id", "fix_no", "budget_m", "own", F.posexplode("before").alias("j", "p")).select("track_id", "fix_no", "budget_m", "j", "p", F.posexplode("own").alias("k", "c"))
-    pairs = pairs.select("track_id", "fix_no", "budget_m", "j", "k", F.col("p.seg_id").alias("edge"), F.col("p.along").alias("along"), F.col("c.seg_id").alias("goal_edge"), F.col("c.along").alias("goal_along"))
+    pairs = far.select("track_id", *ORDER, "budget_m", "straight_m", "own", F.posexplode("before").alias("j", "p")).select("track_id", *ORDER, "budget_m", "straight_m", "j", "p", F.posexplode("own").alias("k", "c"))
+    pairs = pairs.select("track_id", *ORDER, "budget_m", "straight_m", "j", "k", F.col("p.seg_id").alias("edge"), F.col("p.along").alias("along"), F.col("c.seg_id").alias("goal_edge"), F.col("c.along").alias("goal_along"))
     between = written(routing.edge_distances(edges, pairs.groupBy("edge", "goal_edge").agg(F.max("budget_m").alias("budget_m"))), "between")
-    asked = pairs.join(between, ["edge", "goal_edge"]).withColumn("distance_m", routing.along_edges()).filter("distance_m IS NOT NULL")
-    table = asked.groupBy("track_id", "fix_no").agg(F.map_from_entries(F.collect_list(F.struct((F.col("j") * 64 + F.col("k")).alias("at"), "distance_m"))).alias("ways"))
+    asked = pairs.join(between, ["edge", "goal_edge"]).withColumn("m", routing.along_edges()).filter("m IS NOT NULL")
     cost = f"-abs(m - straight_m) / {config.beta_m}D"
     near = f"transform(before, p -> transform(own, c -> {cost.replace('(m', '(sqrt((c.px - p.px) * (c.px - p.px) + (c.py - p.py) * (c.py - p.py))')}))"
-    routed = f"transform(before, (p, j) -> transform(own, (c, k) -> {cost.replace('(m', '(try_element_at(ways, j * 64 + k)')}))"
-    rows = rows.join(table, ["track_id", "fix_no"], "left").withColumns({"emissions": emission(config), "steps": F.when(F.col("straight_m") <= config.near_field_m, F.expr(near)).when(F.col("ways").isNotNull(), F.expr(routed))})
-    return chosen(rows, segments)
+    routed = asked.select("track_id", *ORDER, (F.col("j") * 64 + F.col("k")).alias("at"), F.expr(cost).alias("step"))
+    # The fixes and their routed steps meet in the exchange by track that the search needs, and in no other.
+    each = rows.select("track_id", *ORDER, emission(config).alias("emissions"), F.size("before").alias("n_before"), F.when(F.col("straight_m") <= config.near_field_m, F.expr(near)).alias("near"))
+    met = each.unionByName(routed, allowMissingColumns=True).repartition("track_id").groupBy("track_id", *ORDER).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("emissions", "n_before", "near")), F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "step"))).alias("ways"))
+    steps = "transform(sequence(0, n_before - 1), j -> transform(emissions, (e, k) -> try_element_at(map_from_entries(ways), j * 64 + k)))"
+    return chosen(rows, likeliest(met.withColumn("steps", F.when(F.size("ways") > 0, F.expr(steps)).otherwise(F.col("near"))), dealt=True), segments)
 
 
 def summary(matches: DataFrame, ways: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.geo import length
+from driftline.functions.stages import written
 
 
 def cells(segments: DataFrame, cell_m: float, radius_m: float = 0.0) -> DataFrame:
@@ -30,6 +31,13 @@ def projected(e: Column, n: Column) -> dict[str, Column]:
     return {"along": t, "px": px, "py": py, "offset_m": length(e - px, n - py)}
 
 
+def reached(segments: DataFrame, points: DataFrame, radius_m: float, cell_m: float = 120.0) -> DataFrame:
+    """The segments that are listed in a cell in which a point lies. Where a network goes far beyond its points, only these are joined, sorted and exchanged."""
+    at = lambda c: F.floor(F.col(c) / cell_m).cast("long")
+    touched = written(points.select(at("e_m").alias("cx"), at("n_m").alias("cy")).distinct(), "touched")
+    return written(cells(segments, cell_m, radius_m).join(touched, ["cx", "cy"], "left_semi").select(segments.columns).distinct(), "reached")
+
+
 PLACE = ("ax", "ay", "bx", "by")
 #: Places of a cell, and segments of a place, that are sent in one row; more take several rows.
 IN_A_ROW = 256

@@ -120,6 +120,7 @@ def edge_distances(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs: edge, goal_edge, budget_m, each pair of edges once.
     """
     end = lambda edge, names: edges.select(F.col("edge").alias(edge), *(F.col(c).alias(n) for c, n in zip(("u", "v", "length_m"), names, strict=True)))
+    pairs = written(pairs, "pairs")  # so that their size is known to the joins
     on = written(pairs.join(end("edge", ("u", "v", "own_m")), "edge").join(end("goal_edge", ("gu", "gv", "goal_m")), "goal_edge"), "edge-pairs")
     ways = F.explode(F.array(*(F.struct(F.col(a).alias("node"), F.col(b).alias("goal"), F.lit(a + b[1]).alias("way")) for a in ("u", "v") for b in ("gu", "gv"))))
     each = on.filter("edge <> goal_edge").select("edge", "goal_edge", "budget_m", ways.alias("x")).select("edge", "goal_edge", "budget_m", "x.*")

@@ -163,6 +163,21 @@ def test_more_tracks_on_the_same_roads_search_no_further(spark, monkeypatch):
     assert sizes[120] <= 16 * 16  # the nodes as seen from each of them, not from each fix
 
 
+def test_only_the_network_near_the_fixes_is_measured(spark, monkeypatch):
+    nodes, edges, _ = grid(spark, 8)
+    rng = random.Random(13)
+    fixes = tracks(spark, [[(rng.uniform(0, 200), rng.uniform(0, 200)) for _ in range(4)] for _ in range(1)])
+    near, sent = roads.nearest, []
+    monkeypatch.setattr(roads, "nearest", lambda p, s, *a, **k: sent.append(s.select("seg_id").collect()) or near(p, s, *a, **k))
+    found = {(r.point_id, str(r.found)) for r in near(fixes.selectExpr("fix_no AS point_id", "e_m", "n_m"), laid(nodes, edges), 30.0, 6, one_per_way=True).collect()}
+    kept = roads.reached(laid(nodes, edges), fixes, 30.0)
+    assert {(r.point_id, str(r.found)) for r in near(fixes.selectExpr("fix_no AS point_id", "e_m", "n_m"), kept, 30.0, 6, one_per_way=True).collect()} == found
+    mapmatch.on_graph(fixes, laid(nodes, edges), edges)
+    assert 0 < len(sent[0]) <= 24 and len(sent[0]) == len(set(sent[0]))  # of 112
+    none = fixes.filter("fix_no < 0")
+    assert mapmatch.on_graph(none, laid(nodes, edges), edges).collect() == []
+
+
 def test_a_near_road_out_of_reach_is_not_taken(spark):
     nodes = spark.createDataFrame([(10, 0.0, 0.0), (11, 400.0, 0.0), (12, 0.0, 40.0), (13, 400.0, 40.0)], "osm_id long, e_m double, n_m double")
     ways = spark.createDataFrame([(0, [10, 11], "Joined", "residential", "no"), (1, [12, 99, 12, 13], "Apart", "residential", "-1")], "way long, osm_ids array<long>, name string, class string, oneway string")
