@@ -65,8 +65,8 @@ def nearest(points: DataFrame, segments: DataFrame, radius_m: float, most: int,
         best = near.groupBy("point_id", "way_id").agg(F.min(F.struct("offset_m", "seg_id", "along", "px", "py")).alias("c"))
         return best.groupBy("point_id").agg(first(F.struct("c.offset_m", "c.seg_id", "way_id", "c.along", "c.px", "c.py")).alias("found"))
     top = near.groupBy("point_id").agg(first(F.struct("offset_m", "seg_id", "n", "along", "px", "py")).alias("top"))
-    # A place begins with its least number, so one that comes later adds nothing once those before it have enough.
-    short = F.filter("top", lambda x, i: F.aggregate(F.slice("top", 1, i), F.lit(0).cast("long"), lambda a, y: a + y["n"]) < most)
+    # A place adds nothing once nearer ones have enough. Segments of equally near places follow each other by their own numbers.
+    short = F.filter("top", lambda x: F.aggregate(F.filter("top", lambda y: y["offset_m"] < x["offset_m"]), F.lit(0).cast("long"), lambda a, y: a + y["n"]) < most)
     members = few.select(F.min("seg_id").over(of).alias("first_id"), "seg_id", "way_id")
     rows = top.select("point_id", F.explode(short).alias("p")).join(members, F.col("p.seg_id") == F.col("first_id"))
     return rows.groupBy("point_id").agg(first(F.struct("p.offset_m", F.col("seg_id"), "way_id", "p.along", "p.px", "p.py")).alias("found"))

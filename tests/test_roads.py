@@ -246,3 +246,14 @@ def test_copies_of_a_segment_are_measured_once(spark, monkeypatch, one_per_way):
         want |= set(near[:6])
     assert {(r.point_id, r.seg_id, r.rank) for r in found.collect()} == want
     assert sent[0] <= 25 * (7 if one_per_way else 1)  # not the 500
+
+
+def test_equally_near_places_mix_by_number(spark):
+    """Copies of two segments on both sides of a point, of one nearer by far and of one farther: equal ones follow each other by their numbers, whichever place they are of."""
+    sides = {0: -5.0, 1: 5.0}
+    rows = [(i, i % 6, sides[i % 2], 0.0, sides[i % 2], 100.0) for i in range(40)] + [(100, 0, 1.0, 0.0, 1.0, 100.0), (50, 0, 9.0, 0.0, 9.0, 100.0)]
+    segments = spark.createDataFrame(rows, "seg_id long, way_id long, ax double, ay double, bx double, by double")
+    found = roads.candidates(spark.createDataFrame([(0, 0.0, 50.0)], "point_id long, e_m double, n_m double"), segments, 30.0, 8).orderBy("rank").collect()
+    assert [r.seg_id for r in found] == [100, 0, 1, 2, 3, 4, 5, 6]
+    matched = mapmatch.on_geometry(tracks(spark, [[(0.0, 20.0), (0.0, 80.0)]]), segments.filter("seg_id < 40 AND way_id <> 0 AND seg_id <> 1")).orderBy("fix_no").collect()
+    assert [(r.seg_id, r.way_id, r.px) for r in matched] == [(2, 2, -5.0)] * 2
