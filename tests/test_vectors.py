@@ -416,6 +416,25 @@ def test_density_of_many_in_few_places(spark):
     assert got[100_000] == pytest.approx(1 + 300_000 * far, abs=1e-9) and got[99_999] == pytest.approx(300_000 + far, abs=1e-6)
 
 
+def test_density_by_brute_force(spark):
+    """Of a crowd, a knot and a lone vehicle at two clocks: as all pairs give it. A vehicle without a place has no density, but a row."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for clock, n in ((1, 1500), (2, 20_000)):
+        at = rng.normal(0, 1500, (n, 2))
+        at[:300] = at[300] + rng.normal(0, 30, (300, 2))
+        at[0] = 30_000, -20_000
+        rows += [(clock, clock * 100_000 + i, float(e), float(n), int(w)) for i, ((e, n), w) in enumerate(zip(at, rng.integers(1, 4, n), strict=True))]
+    vehicles = spark.createDataFrame([*rows, (2, 0, None, 1.0, 1)], "clock long, id long, e_m double, n_m double, weight int")
+    got = {(r.clock, r.id): r.density for r in density.field(vehicles).collect()}
+    assert len(got) == 21_501 and got.pop((2, 0)) is None
+    for clock in (1, 2):
+        ids, e, n, w = (np.array(x) for x in zip(*(r[1:] for r in rows if r[0] == clock), strict=True))
+        some = np.arange(0, len(ids), 7)
+        want = np.exp(-((e[some, None] - e) ** 2 + (n[some, None] - n) ** 2) / (2 * 350**2)) @ w
+        assert np.allclose([got[clock, i] for i in ids[some]], want, rtol=1e-12, atol=1e-10)
+
+
 def test_zones_as_near_in_bearing_are_told_by_number(spark):
     zones = spark.createDataFrame([(f"Z{k + 1:02d}", k, float(3200 * np.sin(np.radians(14.4 * k))), float(3200 * np.cos(np.radians(14.4 * k)))) for k in range(25)], "zone_id string, zone_no int, zone_e double, zone_n double")
     south = spark.createDataFrame([(k, 0.0, -80.0 * k) for k in range(1, 50)], "track_id long, e_m double, n_m double")
