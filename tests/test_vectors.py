@@ -246,6 +246,22 @@ def test_reports(spark):
     assert got["f"]["count"] is None and got["f"].motion == "stopped"
 
 
+def test_frames_of_a_report_follow_each_other(spark):
+    """By brute force at the edges of slices too; and the rows of one report come in long runs, which files hold short."""
+    rng = np.random.default_rng(3)
+    t = np.concatenate([np.arange(0, 30_000, 900.0), np.arange(450, 30_000, 900.0), rng.integers(0, 30_000, 134) * 1.0, np.nextafter(np.arange(0, 30_000, 900.0), -1), np.nextafter(np.arange(0, 30_000, 900.0), 1e9)])
+    c = np.concatenate([np.repeat(np.arange(0, 28_800, 60.0), 10), np.nextafter(np.arange(0, 28_800, 900.0), -1)])
+    said = spark.createDataFrame([(i, float(x), None, "unknown", False, None, None) for i, x in enumerate(t)], "report_id long, t_s double, zone_id string, kind string, located boolean, e_m double, n_m double")
+    seen = spark.createDataFrame([(i, float(x), "Z01", -60.0, 60.0, -50.0, 50.0) for i, x in enumerate(c)], "image_id long, capture_s double, zone_id string, west double, east double, south double, north double")
+    rows = reports.relevant(said, seen).toArrow()
+    image, report = rows["image_id"].to_numpy(), rows["report_id"].to_numpy()
+    want = (t[None, :] <= c[:, None]) & (t[None, :] >= c[:, None] - 7200)
+    got = np.zeros_like(want)
+    got[image, report] = True
+    assert len(image) == want.sum() and (got == want).all()
+    assert len(report) > 50 * (1 + np.count_nonzero(np.diff(report)))
+
+
 def test_config_is_checked():
     with pytest.raises(ValueError, match="nest"):
         Config(base=Base(critical_m=5000))
